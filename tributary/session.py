@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: dict[str, str] = {}
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -25,7 +28,21 @@ def get_session(app: str = "tributary", master: str | None = None, **conf) -> Sp
     }
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once a context, so that they need no installation of it."""
+    context = spark.sparkContext
+    if _shipped.get("application") != context.applicationId:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tributary-ship-")) / "tributary.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, Path(package.name) / source.relative_to(package))
+        context.addPyFile(str(archive))
+        _shipped["application"] = context.applicationId
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
