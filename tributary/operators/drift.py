@@ -190,7 +190,7 @@ def _features(observed: DataFrame) -> DataFrame:
     return observed.filter("type <> 'null'").select("feed", "seq", "field", F.explode(marks).alias("feature")).groupBy("feed", "seq", "field", "feature").agg(F.count("*").alias("weight"))
 
 
-def drift(parsed: DataFrame, same: float = 0.5) -> DataFrame:
+def drift(parsed: DataFrame, same: float = 0.75) -> DataFrame:
     """(feed, file_name, change_kind, field, new_field, old_type, new_type, score) of each file against the one before it.
 
     A removed and an added field make a rename if their contents agree: the cosine of their words,
