@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["packing", "mixing", "spans"]
+_MODULES = ["overlap", "packing", "mixing", "spans"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in _MODULES:
