@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["overlap", "packing", "mixing", "spans"]
+_MODULES = ["consensus", "overlap", "packing", "mixing", "spans"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in _MODULES:

@@ -37,15 +37,14 @@ def planned(sizes: DataFrame, targets: DataFrame, part_of_corpus: float = 0.5) -
     at any time.
     """
     listed = targets.groupBy(source_name("source").alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source is not null")
-    corpus = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double").alias("corpus"))
+    corpus = float(sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
     have = sizes.groupBy("source").agg(F.sum("n_tokens").cast("bigint").alias("available"))
-    # mix_targets is a table of fixed size; the corpus is one number
-    rows = listed.join(have, "source", "left").fillna(0, ["available"]).join(F.broadcast(corpus))
-    raised = F.when((F.col("available") > 0) & (F.col("target_share") > 0), F.tanh(F.log(F.col("target_share") / (F.col("available") / F.col("corpus"))))).otherwise(0.0)
+    rows = listed.join(have, "source", "left").fillna(0, ["available"])
+    raised = F.when((F.col("available") > 0) & (F.col("target_share") > 0), F.tanh(F.log(F.col("target_share") / (F.col("available") / F.lit(corpus))))).otherwise(0.0)
     rows = rows.withColumn("raised", raised)
-    centre = rows.agg((F.sum(F.col("target_share") * F.col("raised")) / F.sum("target_share")).alias("centre"))
-    wanted = F.col("target_share") * F.col("corpus") * part_of_corpus
-    return rows.join(F.broadcast(centre)).select("source", "target_share", "max_repeats", "available", wanted.alias("wanted"), F.least(wanted, F.col("available") * F.col("max_repeats").cast("double")).alias("drawable"), (0.5 * (F.col("raised") - F.col("centre"))).alias("slope"))
+    centre = rows.agg(F.try_divide(F.sum(F.col("target_share") * F.col("raised")), F.sum("target_share"))).first()[0] or 0.0
+    wanted = F.col("target_share") * corpus * part_of_corpus
+    return rows.select("source", "target_share", "max_repeats", "available", wanted.alias("wanted"), F.least(wanted, F.col("available") * F.col("max_repeats").cast("double")).alias("drawable"), (0.5 * (F.col("raised") - F.lit(centre))).alias("slope"))
 
 
 def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
@@ -74,10 +73,9 @@ def reached(drawn: DataFrame, plan: DataFrame) -> DataFrame:
     """Wanted and reached shares of every listed source."""
     got = drawn.groupBy("source").agg(F.sum("n_tokens").cast("bigint").alias("drawn"), F.count("*").alias("n_texts"), F.max("copy").alias("most_copies"))
     rows = plan.join(got, "source", "left").fillna(0, ["drawn", "n_texts", "most_copies"])
-    total = rows.agg(F.sum("drawn").alias("total"), F.sum("wanted").alias("total_wanted"))
-    rows = rows.join(F.broadcast(total))
-    share = lambda of: F.when(F.col(of) > 0, F.col("drawn") / F.col(of)).otherwise(0.0)
-    return rows.select("source", "target_share", "max_repeats", "available", F.round("wanted", 3).alias("wanted"), "drawn", "n_texts", "most_copies", share("total").alias("share_reached"), share("total_wanted").alias("share_of_planned_size"))
+    total, total_wanted = rows.agg(F.coalesce(F.sum("drawn"), F.lit(0)), F.coalesce(F.sum("wanted"), F.lit(0.0))).first()
+    share = lambda of: F.col("drawn") / F.lit(float(of)) if of > 0 else F.lit(0.0)
+    return rows.select("source", "target_share", "max_repeats", "available", F.round("wanted", 3).alias("wanted"), "drawn", "n_texts", "most_copies", share(total).alias("share_reached"), share(total_wanted).alias("share_of_planned_size"))
 
 
 def _inputs(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
