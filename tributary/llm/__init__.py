@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["consensus", "overlap", "answers", "packing", "mixing", "spans"]
+_MODULES = ["consensus", "sources", "overlap", "answers", "packing", "mixing", "spans"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in _MODULES:
