@@ -5,17 +5,28 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 from tributary.session import get_session  # noqa: E402
 
 
+def shown(v):
+    if isinstance(v, (list, dict, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
+        return str(v)
+    if v is None or pd.isna(v):
+        return "NULL"
+    if isinstance(v, (float, int)) or hasattr(v, "dtype") and v.dtype.kind in "fiu":
+        return f"{float(v):.6f}"
+    return str(v)
+
+
 def canon(frame):
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False):
-        rows.append(tuple("NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row))
+        rows.append(tuple(shown(v) for v in row))
     return sorted(rows)
 
 
