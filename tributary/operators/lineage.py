@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, partitions
 
 UNRESOLVED = "<unresolved>"
 
@@ -45,45 +45,127 @@ def column_steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return computed, plain.unionByName(sides).filter("from_node is not null").distinct()
 
 
-def provenance(edges: DataFrame, wanted: DataFrame | None = None, columns: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+PROVENANCE = "graph_id string, `table` string, `column` string, role string, from_table string, from_column string"
+
+
+def _walk(rows) -> list[tuple]:
+    """Provenance of one graph from its steps (kind, node, col, from_node, from_col, role, only, without)."""
+    computed: dict[tuple, list] = {}
+    passing: dict[str, list] = {}
+    wanted: list[tuple] = []
+    for kind, node, col, from_node, from_col, role, only, without in rows:
+        if kind == "c":
+            computed.setdefault((node, col), []).append((from_node, from_col, role))
+        elif kind == "p":
+            passing.setdefault(node, []).append((from_node, None if only is None else frozenset(only), frozenset(without if without is not None else ())))
+        else:
+            wanted.append((from_node, from_col, node, col))
+    found: dict[tuple, str] = {}
+    starts: dict[tuple, list] = {}
+    for table, column, node, col in wanted:
+        starts.setdefault((table, column), []).append((node, col))
+    for (table, column), begin in starts.items():
+        seen, frontier = set(), {(node, col): "passthrough" for node, col in begin}
+        while frontier:
+            fresh: dict[tuple, str] = {}
+            for (node, col), role in frontier.items():
+                seen.add((node, col))
+                if node.startswith(("table:", "ext:")):
+                    key = (table, column, node, col)
+                    found[key] = min(found.get(key, role), role)
+                    continue
+                steps = computed.get((node, col))
+                if steps is not None:
+                    reached = [((f, c), r if role == "passthrough" else role) for f, c, r in steps if c is not None and f is not None]
+                else:
+                    reached = [((f, col), role) for f, only, without in passing.get(node, ()) if (only is None or col in only) and col not in without]
+                for state, r in reached:
+                    if state not in seen:
+                        fresh[state] = min(fresh.get(state, r), r)
+            frontier = fresh
+    return [(table, column, role, node, col) for (table, column, node, col), role in found.items()]
+
+
+def _local(steps: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(graph, rows):
+            found = _walk(rows)
+            columns = [pa.array([graph] * len(found), pa.string()), *(pa.array([f[i] for f in found], pa.string()) for i in range(5))]
+            return pa.RecordBatch.from_arrays(columns, names=["graph_id", "table", "column", "role", "from_table", "from_column"])
+
+        graph, held = None, []
+        for batch in batches:
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if g != graph and held:
+                    yield flush(graph, held)
+                    held = []
+                graph = g
+                held.append(row)
+        if held:
+            yield flush(graph, held)
+
+    return steps.repartition(partitions(steps.sparkSession), "graph_id").sortWithinPartitions("graph_id").mapInArrow(run, PROVENANCE)
+
+
+def provenance(edges: DataFrame, wanted: DataFrame | None = None, columns: DataFrame | None = None, group_rows: int = 200_000) -> DataFrame:
     """(graph_id, table, column, role, from_table, from_column) of every column of every written table.
 
     ``wanted`` names (graph_id, table, column) to resolve; without it these are the columns that some
     node upstream of a write computes or keeps. ``columns`` (node, col) gives the known schema of nodes
     and tables; a node in it passes only its own columns. What cannot be followed further is left out.
+    Graphs up to ``group_rows`` steps are walked in one task each, larger ones by distributed joins, with
+    the same result.
     """
-    edges = durable(edges, "edges")
+    edges = durable(edges.filter("graph_id is not null"), "edges")
     computed, passing = (durable(x, "steps") for x in column_steps(edges))
-    writes = edges.filter("kind = 'writes' and target is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
+    writes = edges.filter("kind = 'writes' and target is not null and source is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
     if wanted is None:
         wanted = known_outputs(edges, computed, passing)
-    frontier = writes.join(wanted, ["graph_id", "table"]).select("graph_id", "table", "column", "node", F.col("column").alias("col"), F.lit("passthrough").alias("role"))
-    frontier = durable(frontier.distinct(), "frontier")
+    if columns is not None:
+        known = columns.select("node").distinct()
+        has = columns.select("node", "col").distinct()
+        passing = passing.join(columns.groupBy("node").agg(F.collect_set("col").alias("own")).withColumnRenamed("node", "from_node"), "from_node", "left")
+        # a known source passes its own columns only
+        passing = durable(passing.withColumn("only", F.when(F.col("own").isNull(), F.col("only")).when(F.col("only").isNull(), F.col("own")).otherwise(F.array_intersect("only", "own"))).drop("own").select("graph_id", "node", "from_node", "only", "without"), "steps")
+        marked = computed.join(known.withColumnRenamed("node", "from_node").withColumn("k", F.lit(True)), "from_node", "left").join(has.select(F.col("node").alias("from_node"), F.col("col").alias("from_col")).withColumn("h", F.lit(True)), ["from_node", "from_col"], "left")
+        computed = durable(marked.withColumn("from_col", F.when(F.col("k").isNull() | F.col("h"), F.col("from_col"))).select("graph_id", "node", "from_node", "col", "from_col", "role"), "steps")
+    start = durable(writes.join(wanted, ["graph_id", "table"]).select("graph_id", "table", "column", "node").distinct(), "start")
+    none, empty = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    steps = computed.select("graph_id", F.lit("c").alias("kind"), "node", "col", "from_node", "from_col", "role", empty.alias("only"), empty.alias("without"))
+    steps = steps.unionByName(passing.select("graph_id", F.lit("p").alias("kind"), "node", none.alias("col"), "from_node", none.alias("from_col"), none.alias("role"), "only", "without"))
+    steps = steps.unionByName(start.select("graph_id", F.lit("w").alias("kind"), "node", F.col("column").alias("col"), F.col("table").alias("from_node"), F.col("column").alias("from_col"), none.alias("role"), empty.alias("only"), empty.alias("without")))
+    large = durable(steps.groupBy("graph_id").count().filter(F.col("count") > group_rows).select("graph_id"), "large")
+    if large.isEmpty():
+        return _local(steps)
+    far = lambda df: df.join(large, "graph_id", "left_semi")
+    return _local(steps.join(large, "graph_id", "left_anti")).unionByName(_distributed(far(computed), far(passing), far(start)))
+
+
+def _distributed(computed: DataFrame, passing: DataFrame, start: DataFrame) -> DataFrame:
+    """The same walk for graphs of any size, one frontier join a round."""
     state = ["graph_id", "table", "column", "node", "col"]
-    found, seen = None, frontier.select(*state)
-    for _ in range(max_rounds):
-        hit = frontier.join(computed.withColumnRenamed("role", "step_role"), ["graph_id", "node", "col"])
-        hit = hit.filter("from_col is not null").select("graph_id", "table", "column", F.col("from_node").alias("node"), F.col("from_col").alias("col"), F.when(F.col("role") == "passthrough", F.col("step_role")).otherwise(F.col("role")).alias("role"))
+    step = durable(start.select("graph_id", "table", "column", "node", F.col("column").alias("col"), F.lit("passthrough").alias("role")), "step")
+    found, seen = None, None
+    while not step.isEmpty():
+        ends = step.filter(is_table("node"))
+        found = ends if found is None else found.unionByName(ends)
+        seen = step.select(*state) if seen is None else seen.unionByName(step.select(*state))
+        frontier = step.filter(~is_table("node"))
+        hit = frontier.join(computed.withColumnRenamed("role", "step_role"), ["graph_id", "node", "col"]).filter("from_col is not null and from_node is not null")
+        hit = hit.select("graph_id", "table", "column", F.col("from_node").alias("node"), F.col("from_col").alias("col"), F.when(F.col("role") == "passthrough", F.col("step_role")).otherwise(F.col("role")).alias("role"))
         rest = frontier.join(computed.select("graph_id", "node", "col").distinct(), ["graph_id", "node", "col"], "left_anti")
         through = rest.join(passing, ["graph_id", "node"]).filter((F.col("only").isNull() | F.array_contains("only", F.col("col"))) & (F.col("without").isNull() | ~F.array_contains("without", F.col("col"))))
         through = through.select("graph_id", "table", "column", F.col("from_node").alias("node"), "col", "role")
-        step = hit.unionByName(through).dropDuplicates(state)
-        if columns is not None:
-            known = columns.select("node").distinct().withColumn("known", F.lit(True))
-            step = step.join(known, "node", "left").join(columns.select("node", "col").distinct().withColumn("has", F.lit(True)), ["node", "col"], "left").filter("known is null or has").select(*state, "role")
+        step = hit.unionByName(through).groupBy(*state).agg(F.min("role").alias("role"))
         step = durable(step.join(seen, state, "left_anti"), "step")
-        if step.isEmpty():
-            break
-        ends = step.filter(is_table("node"))
-        found = ends if found is None else found.unionByName(ends)
-        frontier = step.filter(~is_table("node"))
-        seen = seen.unionByName(frontier.select(*state))
-    found = frontier.limit(0) if found is None else found
-    result = found.select("graph_id", "table", "column", "role", F.col("node").alias("from_table"), F.col("col").alias("from_column"))
-    return result.groupBy("graph_id", "table", "column", "from_table", "from_column").agg(F.min("role").alias("role")).select("graph_id", "table", "column", "role", "from_table", "from_column")
+    found = step if found is None else found
+    result = found.groupBy("graph_id", "table", "column", F.col("node").alias("from_table"), F.col("col").alias("from_column")).agg(F.min("role").alias("role"))
+    return result.select("graph_id", "table", "column", "role", "from_table", "from_column")
 
 
-def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame, max_rounds: int = 100) -> DataFrame:
+def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(graph_id, table, column): columns that nodes before a write compute or keep, unless a later step of the walk drops them."""
     named = computed.select("graph_id", "node", "col").unionByName(edges.filter("kind = 'projects'").select("graph_id", F.col("target").alias("node"), F.explode("kept_cols").alias("col"))).distinct()
     writes = edges.filter("kind = 'writes' and target is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
