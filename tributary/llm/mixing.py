@@ -51,7 +51,7 @@ def mixture(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source, copy, n_tokens, position), sorted by position: every drawn copy and its time in training."""
     salts = max(64, partitions(sizes.sparkSession))
     mixed = F.xxhash64("doc_id", F.lit(seed))
-    texts = sizes.filter("n_tokens > 0").join(F.broadcast(plan.filter("drawable > 0")), "source").withColumn("salt", F.pmod(mixed, F.lit(salts)).cast("int"))
+    texts = sizes.select("doc_id", "source", "n_tokens").filter("n_tokens > 0").join(F.broadcast(plan.filter("drawable > 0")), "source").withColumn("salt", F.pmod(mixed, F.lit(salts)).cast("int"))
     sums = texts.groupBy("source", "salt").agg(F.sum("n_tokens").alias("part"))
     before = sums.withColumn("before", F.sum("part").over(Window.partitionBy("source").orderBy("salt")) - F.col("part")).drop("part")
     # at most salts rows a listed source

@@ -26,6 +26,7 @@ from ..session import durable, partitions
 from .tokens import VOCABULARY, with_token_counts
 
 CAPACITY = 2048
+MOST_SALTS = 256  # the driver gets at most (capacity + 1) x this many counts
 
 
 def combinations(capacity: int, grid: int | None = None) -> np.ndarray:
@@ -135,7 +136,7 @@ def slots(found: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, t
 def packed(sizes: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", size_column: str = "n_tokens") -> DataFrame:
     """(id, piece, first_token, n_tokens, container_id) of every text or piece."""
     spark = sizes.sparkSession
-    salts = max(16, partitions(spark))
+    salts = min(MOST_SALTS, max(16, partitions(spark)))
     size = F.col(size_column)
     last = F.when(size > 0, F.ceil(size / capacity) - 1).otherwise(0)
     pieces = sizes.select(F.col(id_column).cast("bigint").alias("doc_id"), size.alias("size"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))

@@ -54,7 +54,7 @@ def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens",
     The vocabulary file (of fixed size, under 2 MB) is read on the driver and broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, name)]
     schema = T.StructType(df.select(*keep).schema.fields).add(name, T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
