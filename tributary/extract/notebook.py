@@ -42,9 +42,9 @@ def prepare_python(text: str) -> Prepared:
     out, cells, runs, cell = [], [0], [], []
 
     def close() -> None:
-        code = [line for line in cell if line.strip()]
-        magic = [line for line in cell if _MAGIC.match(line)]
-        out.extend(_magic_cell(cell, runs) if magic and len(magic) == len([c for c in code if not c.startswith("# DBTITLE")]) else ["" if _MAGIC.match(line) else line for line in cell])
+        magic = any(_MAGIC.match(line) for line in cell)
+        code = any(line.strip() and not line.startswith("#") for line in cell)
+        out.extend(_magic_cell(["" if line.startswith("#") and not _MAGIC.match(line) else line for line in cell], runs) if magic and not code else ["" if _MAGIC.match(line) else line for line in cell])
 
     for line in text.splitlines():
         if _COMMAND.match(line):

@@ -59,7 +59,7 @@ def _flat(value: dict, prefix: str, out: dict[str, tuple[str, str]]) -> None:
 
 def parse_records(df: DataFrame, payload: str = "payload") -> DataFrame:
     """``df`` with ``fields`` (path to type and text) and ``_error`` in place of the payload."""
-    keep = [c for c in df.columns if c != payload]
+    keep = [c for c in df.columns if c not in (payload, "fields", "_error")]
     pair = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
     schema = T.StructType(df.select(*keep).schema.fields).add("fields", T.MapType(T.StringType(), pair)).add("_error", T.StringType())
     kind = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("text", pa.string())]))
@@ -107,7 +107,7 @@ def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str]]]) -> DataF
 
     An approved path whose value does not cast stays in ``_rescued`` beside the unknown ones.
     """
-    keep = [c for c in parsed.columns if c not in ("fields", "_error")]
+    keep = [c for c in parsed.columns if c not in ("fields", "_error", "_rescued", *target)]
     typed, consumed = [], F.array().cast("array<string>")
     for name, (data_type, paths) in target.items():
         value, taken = F.lit(None).cast(data_type), F.lit(None).cast("string")
@@ -221,7 +221,8 @@ def drift(parsed: DataFrame, same: float = 0.75) -> DataFrame:
     skeletons = lambda x: F.transform(x, _skeleton)
     shared = F.greatest(F.size(F.array_intersect(a, b)), F.size(F.array_intersect(skeletons(a), skeletons(b))))
     smaller = F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    within = F.element_at(a, -1).contains(F.element_at(b, -1)) | F.element_at(b, -1).contains(F.element_at(a, -1))
+    last_a, last_b = F.try_element_at(a, F.lit(-1)), F.try_element_at(b, F.lit(-1))
+    within = F.coalesce(last_a.contains(last_b) | last_b.contains(last_a), F.lit(False))
     name = F.greatest(shared / smaller, F.when(within, 1.0).otherwise(0.0))
     textual = F.col("type").isin("string", "list") & F.col("type_of_new").isin("string", "list")
     known = F.col("type").isNotNull() & F.col("type_of_new").isNotNull()
