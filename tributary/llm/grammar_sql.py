@@ -85,7 +85,9 @@ quantifier: ('DISTINCT' / 'ALL') !('.' / ',' / COMPARE)
 select_items: select_item (',' select_item)*
 select_item: star_item / expr (alias / '(' names ')')?
 star_item: (name '.')? '*' ('EXCEPT' '(' names ')')? ('REPLACE' '(' anything_in ')')?
-alias: 'AS' (any_ident / '(' names ')') / ident / 'AS'
+alias: 'AS' (any_ident / '(' names ')') / ident / trailing
+trailing: any_ident &(';' / EOF)
+trailing_alias: !('ANTI' / 'CROSS' / 'EXCEPT' / 'FULL' / 'INNER' / 'INTERSECT' / 'JOIN' / 'LATERAL' / 'LEFT' / 'NATURAL' / 'ON' / 'RIGHT' / 'SEMI' / 'MINUS' / 'UNION' / 'USING') trailing
 relations: relation (',' relation)* pivot?
 relation: 'LATERAL'? relation_primary (join / pivot / lateral_view)*
 join: join_type 'JOIN' 'LATERAL'? relation_primary join_on? / 'NATURAL' join_type 'JOIN' relation_primary
@@ -95,7 +97,7 @@ relation_primary: '(' query ')' sample? table_alias? / '(' relation (',' relatio
 watermark: 'WATERMARK' expr 'DELAY' 'OF' expr
 time_travel: ('FOR'? ('SYSTEM_VERSION' / 'VERSION') 'AS' 'OF' primary) / ('FOR'? ('SYSTEM_TIME' / 'TIMESTAMP') 'AS' 'OF' primary)
 sample: 'TABLESAMPLE' 'SYSTEM'? '(' anything_in ')' ('REPEATABLE' '(' NUMBER ')')?
-table_alias: 'AS'? strict_ident ('(' names ')')?
+table_alias: 'AS'? strict_ident ('(' names ')')? / 'AS'? trailing_alias
 pivot: 'PIVOT' '(' select_items 'FOR' (name / '(' names ')') 'IN' '(' (expr alias? (',' expr alias?)*) ')' ')' table_alias? / 'UNPIVOT' (('INCLUDE' / 'EXCLUDE') 'NULLS')? '(' anything_deep ')' table_alias?
 anything_deep: (!('(' / ')') ANY / '(' anything_deep ')')*
 lateral_view: 'LATERAL' 'VIEW' 'OUTER'? name '(' exprs? ')' strict_ident? ('AS'? strict_ident (',' strict_ident)*)?
@@ -125,7 +127,7 @@ unary: ('+' / '-' / '~') unary / primary
 primary: head tail*
 tail: '.' (ident / any_ident / '*') / '[' expr ']' / '::' type / ':' path_part / 'COLLATE' name
 path_part: ident / '[' (STRING / NUMBER / '*') ']'
-head: 'CASE' (expr)? ('WHEN' expr 'THEN' expr)+ ('ELSE' expr)? 'END' / ('CAST' / 'TRY_CAST') '(' expr 'AS' type ')' / 'EXTRACT' '(' any_ident 'FROM' value ')' / interval / 'TRIM' '(' ('BOTH' / 'LEADING' / 'TRAILING')? expr? 'FROM' expr ')' / 'POSITION' '(' value 'IN' value ')' / ('SUBSTRING' / 'SUBSTR') '(' value 'FROM' value ('FOR' value)? ')' / 'OVERLAY' '(' value 'PLACING' value 'FROM' value ('FOR' value)? ')' / ('FIRST' / 'LAST' / 'ANY_VALUE') '(' expr 'IGNORE' 'NULLS' ')' call_rest / 'STRUCT' '(' named_exprs? ')' / call / typed_literal / literal / lambda / '(' query ')' / '(' named_exprs ')' / PARAMETER / ident
+head: 'CASE' (expr)? ('WHEN' expr 'THEN' expr)+ ('ELSE' expr)? 'END' / ('CAST' / 'TRY_CAST') '(' expr 'AS' type ')' / 'EXTRACT' '(' any_ident 'FROM' value ')' / interval / 'TRIM' '(' ('BOTH' / 'LEADING' / 'TRAILING')? expr? 'FROM' expr ')' / 'POSITION' '(' value 'IN' value ')' / ('SUBSTRING' / 'SUBSTR') '(' value 'FROM' value ('FOR' value)? ')' / 'OVERLAY' '(' value 'PLACING' value 'FROM' value ('FOR' value)? ')' / ('FIRST' / 'LAST' / 'ANY_VALUE') '(' expr 'IGNORE' 'NULLS' ')' call_rest / 'STRUCT' '(' named_exprs? ')' / call / typed_literal / literal / lambda / '(' query ')' / '(' named_exprs ')' / PARAMETER / ident / 'CASE' &(any_ident? (';' / EOF)) / trailing
 typed_literal: ('DATE' / 'TIMESTAMP' / 'TIMESTAMP_NTZ' / 'TIMESTAMP_LTZ' / 'X') STRING
 interval: 'INTERVAL' (interval_part+ / STRING) ('TO' any_ident)?
 interval_part: ('-' / '+')? (NUMBER / STRING) any_ident
@@ -143,9 +145,11 @@ type: ('ARRAY' '<' type close / 'MAP' '<' type ',' type close / 'STRUCT' ('<' (f
 close: '>'
 field: ident ':'? type ('NOT' 'NULL')? comment?
 name: ident_or_function ('.' any_ident)*
-ident_or_function: ident
+ident_or_function: ident / trailing
 """
 
+# The parser of the language takes almost any word for a name. Here clause words are names only where the
+# statement ends with them (a rule called trailing), which is where cut-off texts differ.
 # Words of the language that end an expression or start a clause and so name nothing without quotes here.
 CLAUSE_WORDS = frozenset(
     "SELECT FROM WHERE GROUP HAVING ORDER LIMIT UNION EXCEPT INTERSECT MINUS JOIN ON USING LEFT RIGHT FULL INNER CROSS NATURAL SEMI ANTI LATERAL AS WITH WHEN THEN ELSE END CASE AND OR NOT IN IS BETWEEN LIKE ILIKE RLIKE REGEXP "
