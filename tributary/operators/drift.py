@@ -108,21 +108,21 @@ def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str]]]) -> DataF
     An approved path whose value does not cast stays in ``_rescued`` beside the unknown ones.
     """
     keep = [c for c in parsed.columns if c not in ("fields", "_error", "_rescued", *target)]
-    typed, consumed = [], F.array().cast("array<string>")
+    taken: dict[str, Column] = {}
     for name, (data_type, paths) in target.items():
-        value, taken = F.lit(None).cast(data_type), F.lit(None).cast("string")
-        for path in reversed(paths):
+        options = []
+        for path in paths:
             entry = F.element_at("fields", F.lit(path))
             allowed = entry["type"].isin([k for k in ("string", "boolean", "integer", "decimal", "list") if _castable(k, data_type)])
             cast = F.when(allowed, F.from_json(entry["text"], data_type) if data_type.startswith("array") else entry["text"].try_cast(data_type))
-            empty = entry["type"] == "null"
-            fits = cast.isNotNull() | empty
-            value, taken = F.when(fits, cast).otherwise(value), F.when(fits, F.lit(path)).otherwise(taken)
-        typed.append(value.alias(name))
-        consumed = F.when(taken.isNotNull(), F.array_append(consumed, taken)).otherwise(consumed)
+            options.append(F.when(cast.isNotNull() | (entry["type"] == "null"), F.struct(cast.alias("value"), F.lit(path).alias("path"))))
+        none = F.lit(None).cast(f"struct<value:{data_type},path:string>")
+        taken[f"__taken_{name}"] = F.coalesce(*options, none)
+    held = parsed.withColumns(taken)
+    consumed = F.filter(F.array(*[F.col(f"`{t}`.path") for t in taken]), lambda p: p.isNotNull())
+    held = held.withColumn("__consumed", consumed)
     rest = F.map_filter("fields", lambda k, _: ~F.array_contains(F.col("__consumed"), k))
-    held = parsed.withColumn("__consumed", consumed)
-    return held.select(*keep, *typed, _rescued(rest).alias("_rescued"), "_error")
+    return held.select(*keep, *[F.col(f"`__taken_{name}`.value").alias(name) for name in target], _rescued(rest).alias("_rescued"), "_error")
 
 
 def replay(table: DataFrame, path: str, name: str, data_type: str) -> DataFrame:
