@@ -67,6 +67,18 @@ def test_deep_chain_and_hot_group(spark):
     assert near.filter("node_id = 'n0011'").first().depth == 11
 
 
+def test_cycle_paths_in_both_forms(spark):
+    ring = [f"r{i}" for i in (3, 0, 4, 1, 2)]
+    links = [("g", a, b, 0) for a, b in zip(ring, ring[1:] + ring[:1])] + [("g", "r4", "low", 0), ("g", "low", "leaf", 0), ("g", "s", "s", 0), ("g", "s", "t", 0), ("g", "a", "b", 0), ("h", "y", "x", 0), ("h", "x", "y", 0)]
+    df = spark.createDataFrame(links, LINK)
+    near, far = (hierarchy(df, group_rows=n) for n in (10_000, 0))
+    assert rows(near.select("graph_id", "node_id", "parent_id", "root_id", "path")) == rows(far.select("graph_id", "node_id", "parent_id", "root_id", "path"))
+    assert rows(near.select("node_id", "depth", "on_cycle", "below_cycle", "n_descendants")) == rows(far.select("node_id", "depth", "on_cycle", "below_cycle", "n_descendants"))
+    path = {r.node_id: r.path for r in far.collect()}
+    assert path["r3"] == "r0 > r4 > r1 > r2 > r3" and path["leaf"] == "r0 > r4 > low > leaf" and path["t"] == "s > t"
+    assert {r.path for r in hierarchy(df, group_rows=0, details=False).collect()} == {None}
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("gh"), st.sampled_from([*"abcdef", None]), st.sampled_from([*"abcdef", None])), min_size=1, max_size=14))
 def test_hierarchy_random(spark, links):

@@ -237,12 +237,24 @@ def _parents(links: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "node").agg(F.min("parent").alias("parent"))
 
 
-def _frontier_nodes(links: DataFrame, levels_per_job: int = 8) -> DataFrame:
+def _ring_paths(ring: DataFrame, size: int) -> DataFrame:
+    """(graph_id, node, path) of the nodes on cycles: around each cycle along the links, from its smallest id, by pointer doubling."""
+    part = ring.select("graph_id", "node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("up"), F.col("node").alias("path"))
+    step = 1
+    while step < size:
+        above = part.select("graph_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
+        part = durable(part.join(above, ["graph_id", "up"], "left").select("graph_id", "node", F.col("next").alias("up"), F.concat_ws(SEPARATOR, "before", "path").alias("path")))
+        step *= 2
+    return part.select("graph_id", "node", "path")
+
+
+def _frontier_nodes(links: DataFrame, details: bool = True, levels_per_job: int = 8) -> DataFrame:
     """The distributed frontier walk for groups of any size."""
+    own = F.col("node") if details else F.lit(None).cast("string")
     nodes = durable(_parents(links))
     children = nodes.filter("parent is not null").select("graph_id", F.col("parent").alias("up"), "node")
     no = F.lit(False)
-    seed = nodes.filter("parent is null").select("graph_id", "node", F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), no.alias("on_cycle"), no.alias("below_cycle"), F.col("node").alias("path"))
+    seed = nodes.filter("parent is null").select("graph_id", "node", F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), no.alias("on_cycle"), no.alias("below_cycle"), own.alias("path"))
 
     def descend(seed: DataFrame, below) -> DataFrame:
         found, frontier = [seed], seed
@@ -281,7 +293,10 @@ def _frontier_nodes(links: DataFrame, levels_per_job: int = 8) -> DataFrame:
             jump = durable(jump.join(on, ["graph_id", "to"]).select("graph_id", "node", F.col("next").alias("to"), F.least("least", "next_least").alias("least")))
             step *= 2
         rings = durable(jump.select("graph_id", F.col("to").alias("node")).distinct().join(jump.drop("to"), ["graph_id", "node"]))
-        ring = rings.join(nodes, ["graph_id", "node"]).select("graph_id", "node", "parent", F.col("least").alias("root"), F.lit(0).alias("depth"), F.lit(True).alias("on_cycle"), no.alias("below_cycle"), F.col("node").alias("path"))
+        ring = rings.join(nodes, ["graph_id", "node"]).select("graph_id", "node", "parent", F.col("least").alias("root"), F.lit(0).alias("depth"), F.lit(True).alias("on_cycle"), no.alias("below_cycle"), own.alias("path"))
+        if details:
+            longest = ring.groupBy("graph_id", "root").count().agg(F.max("count")).first()[0]
+            ring = durable(ring.drop("path").join(_ring_paths(ring, longest), ["graph_id", "node"]))
         forest = forest.unionByName(descend(ring, True))
     return forest.select("graph_id", F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "on_cycle", "below_cycle", F.lit(None).cast("bigint").alias("n_descendants"), "path")
 
@@ -289,14 +304,14 @@ def _frontier_nodes(links: DataFrame, levels_per_job: int = 8) -> DataFrame:
 def hierarchy(df: DataFrame, group: str = "graph_id", parent: str = "source", child: str = "target", details: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per node: root, depth, parent, cycle marks and, with ``details``, path and number of descendants.
 
-    In groups above ``group_rows`` links the path of a node on a cycle is the node alone and the
-    number of descendants is counted from ``descendants``.
+    The path of a node on a cycle leads around the cycle from its smallest id; paths below extend it.
+    In groups above ``group_rows`` links the number of descendants is counted from ``descendants``.
     """
     small, large = _split_by_size(durable(_links(df, group, parent, child), "links"), group_rows)
     nodes = _sorted_groups(small).mapInArrow(_local_nodes(details), NODE_SCHEMA)
     if large is None:
         return nodes
-    far = _frontier_nodes(large)
+    far = _frontier_nodes(large, details)
     if details:
         counts = _frontier_pairs(large).groupBy("graph_id", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
         far = far.join(counts, ["graph_id", "node_id"], "left").withColumn("n_descendants", F.coalesce("n", F.lit(0))).drop("n").select(*nodes.columns)
