@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tributary.cli import impact, main
-from tributary.extract.assemble import EDGE, extract, lineage_of
+from tributary.extract.assemble import EDGE, extract, lineage_of, script_texts, sql_rows
 from tributary.extract.notebook import prepare, run_target
 from tributary.extract.symbols import Registry
 from tributary.operators import lineage as L
@@ -102,6 +102,27 @@ def test_walks_agree(spark):
     assert not [r for r in near if r[1] == "table:lost"] and not L.provenance(edges.limit(0)).collect()
 
 
+def test_extract_static_is_whole(spark, tmp_path):
+    from datetime import datetime
+
+    from tributary.queries.plans import QUERIES
+
+    code = 'spark.table(f"{CATALOG}.t").write.saveAsTable("u")\nq = spark.sql("SELECT a, count(*) AS n FROM held GROUP BY a")\n'
+    files = [("1", "x", "config/setup.py", 'CATALOG = "one"\n'), ("2", "x", "job.py", code), ("3", "y", "conf/c.py", 'CATALOG = "two"\n'), ("4", "y", "job.py", code), ("5", "z", "job.py", code), ("6", "z", "s.sql", "INSERT INTO aim SELECT b FROM origin;\nSELECT 1 FROM")]
+    spark.createDataFrame([(*f, datetime(2024, 1, 1)) for f in files], "file_id string, repo string, rel_path string, content string, ingested_ts timestamp").write.parquet(f"{tmp_path}/source_files.parquet")
+    edges = QUERIES["extract_static"](spark, str(tmp_path)).collect()
+    reads = {(e.file, e.source) for e in edges if e.kind == "reads"}
+    assert {("x/job.py", "table:one.t"), ("y/job.py", "table:two.t"), ("z/job.py", "<unresolved>"), ("z/s.sql", "table:origin")} <= reads
+    assert {e.file for e in edges if e.source == "table:held"} == {"x/job.py", "y/job.py", "z/job.py"}
+    assert [(e.target, e.write_mode) for e in edges if e.file == "z/s.sql" and e.kind == "writes"] == [("table:aim", "append")]
+
+
+def test_sql_texts_in_batches(spark):
+    files = spark.createDataFrame([(f"f{i}.sql", f"SELECT a{i} AS b FROM t{i}") for i in range(7)], "rel_path string, content string")
+    got = sql_rows(spark, script_texts(files), batch=3).filter("row_type = 'table'")
+    assert rows(got.select("rel_path", F.get_json_object("payload", "$.fqn"))) == [(f"f{i}.sql", f"t{i}") for i in range(7)]
+
+
 def test_extraction_never_raises(spark):
     files = spark.createDataFrame([("a.py", None), ("b.ipynb", "{nope"), ("c.py", "\x00"), ("d.py", "df = df.x().y\n" * 50)], "rel_path string, content string")
     assert extract(files, symbols={}).filter("row_type = 'warning'").count() >= 2

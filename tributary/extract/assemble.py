@@ -8,6 +8,7 @@ the SQL texts the files hold (on the driver, where the parser is), and merging.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.sqltext import SqlLineage
-from ..session import durable
+from ..session import durable, scratch_path
 from ..sources.repository import run_order
 from .notebook import prepare, run_target
 from .pyfront import Extractor
@@ -41,60 +42,96 @@ def extract_text(path: str, text: str, symbols: dict | None = None, registry: Re
         return [("warning", {"file": path, "lineno": 0, "category": "extraction-error", "message": f"{type(error).__name__}: {error}"[:300]})]
 
 
-def constants(files: DataFrame, bound: int = 1_000) -> dict[str, object]:
-    """Constants of configuration files and of notebooks that others run; these are few, and more than ``bound`` are an error."""
+def _learned(config: list[dict]) -> dict[str, object]:
+    """Constants of the configuration files of one repository and of notebooks that others run, in run order."""
     import ast
 
-    small = files.filter(run_order("rel_path") <= 1).orderBy(run_order("rel_path"), "rel_path").select("rel_path", "content").limit(bound + 1).collect()
-    if len(small) > bound:
-        raise ValueError(f"more than {bound} configuration files")
     symbols = Symbols()
-    for row in small:
+    for held in config:
         try:
-            symbols.learn(ast.parse(prepare(row["rel_path"], row["content"] or "").text))
+            symbols.learn(ast.parse(prepare(held["rel_path"], held["content"] or "").text))
         except (SyntaxError, ValueError):
             continue
     return symbols.values
 
 
+def contexts(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """(repo, context): pickled constants and declared schemas of each repository, of files (repo, rel_path, content) and tables (repo, rel_path, ordinal, fqn, columns)."""
+    order = run_order("rel_path")
+    config = files.filter(order <= 1).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct(order.alias("run"), "rel_path", "content"))).alias("config"))
+    tables = declared.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("rel_path", "ordinal", "fqn", "columns"))).alias("tables"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [pickle.dumps((_learned(r["config"] or []), {t["fqn"]: t["columns"] for t in r["tables"] or []})) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("repo"), pa.array(held, pa.binary())], names=["repo", "context"])
+
+    return config.join(tables, "repo", "full_outer").select("repo", "config", "tables").mapInArrow(run, "repo string, context binary")
+
+
 def extract(files: DataFrame, registry: Registry | None = None, schemas: dict[str, list[str]] | None = None, symbols: dict | None = None) -> DataFrame:
-    """(rel_path, row_type, ordinal, payload) of all Python files and notebooks of (rel_path, content)."""
-    registry, schemas = registry or Registry(), schemas or {}
-    symbols = constants(files) if symbols is None else symbols
+    """(rel_path, row_type, ordinal, payload) of all Python files and notebooks of (rel_path, content).
+
+    A column ``context`` (see ``contexts``) holds the constants and schemas of a file's repository; ``symbols`` and ``schemas`` hold for files without.
+    """
+    registry, schemas, symbols = registry or Registry(), schemas or {}, symbols or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, (symbols, schemas)
         for batch in batches:
             out: list[tuple[str, str, int, str]] = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(path, kind, i, json.dumps(held)) for i, (kind, held) in enumerate(extract_text(path, text or "", symbols, registry, schemas))]
+            for path, text, context in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if context != last:
+                    last, known = context, (symbols, schemas) if context is None else pickle.loads(context)
+                out += [(path, kind, i, json.dumps(held)) for i, (kind, held) in enumerate(extract_text(path, text or "", known[0], registry, known[1]))]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["rel_path", "row_type", "ordinal", "payload"])
 
-    return files.filter(F.lower("rel_path").rlike(r"\.(?:py|ipynb)$")).select("rel_path", "content").mapInArrow(run, ROWS)
+    context = F.col("context") if "context" in files.columns else F.lit(None).cast("binary").alias("context")
+    return files.filter(F.lower("rel_path").rlike(r"\.(?:py|ipynb)$")).select("rel_path", "content", context).mapInArrow(run, ROWS)
 
 
-def sql_rows(spark: SparkSession, rows: DataFrame, files: DataFrame, most: int = 100_000) -> DataFrame:
-    """The same rows for the SQL texts in ``rows`` and for .sql files, parsed on the driver; more than ``most`` texts are an error."""
+_TEXT = ("rel_path", "ordinal", "lineno", "target", "sql")
+
+
+def held_texts(rows: DataFrame) -> DataFrame:
+    """The SQL texts in extracted rows."""
     held = rows.filter("row_type = 'sql'").select("rel_path", "ordinal", F.from_json("payload", "lineno int, target string, sql string").alias("p")).select("rel_path", "ordinal", "p.*")
+    return held.filter("sql <> '<unresolved>'").select(*_TEXT)
+
+
+def script_texts(files: DataFrame) -> DataFrame:
+    """The statements of .sql files."""
     scripts = files.filter(F.lower("rel_path").endswith(".sql")).select("rel_path", F.posexplode(F.split(F.regexp_replace("content", r"(?m)--.*$", ""), r";\s*(?:\n|$)")).alias("ordinal", "sql")).filter("length(trim(sql)) > 0")
-    whole = held.filter("sql <> '<unresolved>'").unionByName(scripts.withColumn("lineno", F.lit(1)).withColumn("target", F.lit(None).cast("string")))
-    texts = whole.limit(most + 1).collect()
-    if len(texts) > most:
-        raise ValueError(f"more than {most} SQL texts")
-    out = []
-    for t in texts:
+    return scripts.withColumn("lineno", F.lit(1)).withColumn("target", F.lit(None).cast("string")).select(*_TEXT)
+
+
+def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000) -> DataFrame:
+    """The same rows for SQL texts, parsed on the driver: any number of texts, ``batch`` at a time."""
+    path, out = scratch_path(spark, "sql"), []
+    schema = spark.createDataFrame([], ROWS).schema
+    write = lambda held: spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+    write([])
+    for n, t in enumerate(durable(texts, "texts").toLocalIterator(), 1):
         lineage = SqlLineage(spark, t["rel_path"], t["lineno"], t["sql"], t["target"])
         out += [(t["rel_path"], kind, 1_000_000 + 1_000 * t["ordinal"] + i, json.dumps(held)) for i, (kind, held) in enumerate(lineage.rows)]
-    return spark.createDataFrame(out, ROWS)
+        if n % batch == 0:
+            write(out)
+            out = []
+    if out:
+        write(out)
+    return spark.read.schema(schema).parquet(path)
 
 
 def lineage_of(spark: SparkSession, files: DataFrame, registry: Registry | None = None) -> dict[str, DataFrame]:
-    """edges, tables, warnings, expressions, column_rules and predicates of a repository's files."""
-    files = durable(files.select("rel_path", "content"), "files")
-    declared = sql_rows(spark, spark.createDataFrame([], ROWS), files)
-    tables = declared.filter("row_type = 'table'").select(F.from_json("payload", TABLE).alias("t")).select("t.*").filter("declared").collect()
-    python = durable(extract(files, registry, {t["fqn"]: t["columns"] for t in tables}), "rows")
-    rows = durable(python.unionByName(sql_rows(spark, python, files)), "rows")
+    """edges, tables, warnings, expressions, column_rules and predicates of (rel_path, content); with a column ``repo``, constants and schemas are those of each repository."""
+    repo = F.col("repo") if "repo" in files.columns else F.lit("")
+    files = durable(files.select("rel_path", "content", F.coalesce(repo, F.lit("")).alias("repo")), "files")
+    scripts = sql_rows(spark, script_texts(files))
+    declared = scripts.filter("row_type = 'table'").select("rel_path", "ordinal", F.from_json("payload", TABLE).alias("t")).select("rel_path", "ordinal", "t.fqn", "t.columns", "t.declared").filter("declared")
+    known = durable(contexts(files, declared.join(files.select("rel_path", "repo").distinct(), "rel_path")), "contexts")
+    python = durable(extract(files.join(known, "repo", "left"), registry), "rows")
+    rows = python.unionByName(scripts).unionByName(sql_rows(spark, held_texts(python)))
     part = lambda kind, schema: rows.filter(F.col("row_type") == kind).select("rel_path", "ordinal", F.from_json("payload", schema).alias("p")).select("ordinal", "p.*")
     edges = part("edge", EDGE).withColumn("ordinal", F.col("ordinal").cast("bigint"))
     edges = edges.withColumn("graph_id", F.lit("repository")).withColumn("edge_id", F.sha2(F.to_json(F.struct(*[c for c in edges.columns])), 256))

@@ -10,6 +10,19 @@ from .planmode import _seq
 _PASS = ("Sort", "GlobalLimit", "LocalLimit", "Distinct", "Deduplicate", "Sample", "Repartition", "RepartitionByExpression", "Offset", "UnresolvedHint", "WithWindowDefinition", "UnresolvedOrderBy", "Tail")
 
 
+class _Tree:
+    """An expression whose class and children are asked of the JVM once."""
+
+    def __init__(self, held):
+        self.held, self.kind, self._children = held, held.getClass().getSimpleName(), None
+
+    @property
+    def children(self) -> list[_Tree]:
+        if self._children is None:
+            self._children = [_Tree(c) for c in _seq(self.held.children())]
+        return self._children
+
+
 class SqlLineage:
     """Edges, tables and warnings of one SQL text whose result is the node ``target`` (none for a statement)."""
 
@@ -71,14 +84,16 @@ class SqlLineage:
 
     def names(self, expression) -> list[str]:
         """Column names in an expression, without qualifiers, each once."""
-        if expression.getClass().getSimpleName() == "UnresolvedAttribute":
-            return [_seq(expression.nameParts())[-1]]
-        return list(dict.fromkeys(n for c in _seq(expression.children()) for n in self.names(c)))
+        tree = expression if isinstance(expression, _Tree) else _Tree(expression)
+        if tree.kind == "UnresolvedAttribute":
+            return [_seq(tree.held.nameParts())[-1]]
+        return list(dict.fromkeys(n for c in tree.children for n in self.names(c)))
 
     def find(self, expression, kind: str):
-        if expression.getClass().getSimpleName() == kind:
-            return expression
-        return next((f for c in _seq(expression.children()) if (f := self.find(c, kind)) is not None), None)
+        tree = expression if isinstance(expression, _Tree) else _Tree(expression)
+        if tree.kind == kind:
+            return tree.held
+        return next((f for c in tree.children if (f := self.find(c, kind)) is not None), None)
 
     def pairs(self, condition) -> list[tuple[str, str]]:
         kind = condition.getClass().getSimpleName()
@@ -159,19 +174,20 @@ class SqlLineage:
                 continue
             alias = kind == "Alias"
             inner = item.child() if kind in ("Alias", "UnresolvedAlias") else item
-            plain = inner.getClass().getSimpleName() == "UnresolvedAttribute"
-            out = item.name() if alias else self.names(inner)[-1] if plain else inner.sql()
+            tree = _Tree(inner)
+            plain = tree.kind == "UnresolvedAttribute"
+            refs = self.names(tree)
+            out = item.name() if alias else refs[-1] if plain else inner.sql()
             outs.append(out)
-            refs = self.names(inner)
-            call = self.find(inner, "UnresolvedFunction")
-            window = self.find(inner, "WindowExpression") or self.find(inner, "UnresolvedWindowExpression")
+            call = self.find(tree, "UnresolvedFunction")
+            window = self.find(tree, "WindowExpression") or self.find(tree, "UnresolvedWindowExpression")
             if name == "Aggregate" and call is not None and window is None and not (plain and out in keys):
                 op = ".".join(_seq(call.nameParts())).lower()
                 aggs += [{"op": op, "input": c, "output": out} for c in refs or ["*"]]
             elif not plain or (alias and refs and refs[0] != out):
                 text = inner.sql()
                 self.rows.append(("expression", {"expr_id": expr_id(text), "text": text}))
-                self.edge("derives", source=source, target=node, output_col=out, source_cols=refs, expr_id=expr_id(text), window_spec=self.window(window), rule_logic=self.rules(inner))
+                self.edge("derives", source=source, target=node, output_col=out, source_cols=refs, expr_id=expr_id(text), window_spec=self.window(window), rule_logic=self.rules(tree))
         if name == "Aggregate":
             self.edge("aggregates", source=source, target=node, group_keys=keys, aggs=aggs)
             return node, outs

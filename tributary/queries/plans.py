@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..extract.assemble import EDGE, extract
+from ..extract.assemble import extract, lineage_of
 from ..operators.closure import closure
 from ..operators.lineage import forward_index
 from ..operators.versions import latest_version
@@ -46,10 +46,10 @@ def control_golden(spark, d):
 
 @query()
 def extract_static(spark, d):
-    """Edges of every Python file and notebook of the source table."""
-    files = latest_version(table(spark, d, "source_files").select("file_id", "repo", "rel_path", "content", "ingested_ts"), "file_id").select(F.concat_ws("/", "repo", "rel_path").alias("rel_path"), "content")
-    rows = extract(files, symbols={}).filter("row_type = 'edge'")
-    return rows.select("ordinal", F.from_json("payload", EDGE).alias("e")).select("ordinal", "e.kind", "e.file", "e.lineno", "e.source", "e.target", "e.output_col", F.array_join("e.source_cols", ",").alias("source_cols"), "e.write_mode", "e.join_type")
+    """Edges of every file of the source table: Python, notebooks, the SQL texts they hold, and .sql files."""
+    files = latest_version(table(spark, d, "source_files").select("file_id", "repo", "rel_path", "content", "ingested_ts"), "file_id").select("repo", F.concat_ws("/", "repo", "rel_path").alias("rel_path"), "content")
+    found = lineage_of(spark, files)["edges"]
+    return found.select(F.col("ordinal").cast("int"), "kind", "file", "lineno", "source", "target", "output_col", F.array_join("source_cols", ",").alias("source_cols"), "write_mode", "join_type")
 
 
 @query()
