@@ -3,7 +3,7 @@ from datetime import datetime
 
 from conftest import rows
 
-from tributary.operators.drift import drift, ingest, parse_records, replay
+from tributary.operators.drift import approved_names, drift, ingest, parse_records, replay
 from tributary.operators.nested import flatten_objects, list_items
 from tributary.queries.nestings import edge_shapes
 
@@ -54,3 +54,23 @@ def test_drift_and_ingest(spark):
     later = {(r.file_name, r.line_no): r for r in replay(typed, "Score", "score", "bigint").collect()}
     assert later["f3", 0].score == 2 and later["f3", 0]._rescued is None and later["f1", 0].score == 1
     assert drift(parse_records(spark.createDataFrame([], RUN))).count() == 0
+
+
+def test_every_rename_is_approved(spark, tmp_path):
+    from tributary.queries.drifts import QUERIES
+
+    t = [datetime(2024, 1, d) for d in (1, 2)]
+    text = [f"late {w} missing from the list" for w in ("join", "key", "set", "run")]
+    files = [("one", "f1", t[0], "notes"), ("one", "f2", t[1], "remarks"), ("two", "g1", t[0], "remarks"), ("three", "h1", t[0], "notes")]
+    data = [(f"{name}-{i}", feed, name, when, i, json.dumps({"id": f"Q{i}", field: x}), when) for feed, name, when, field in files for i, x in enumerate(text)]
+    data.append(("null", None, "n1", t[0], 0, json.dumps({"notes": "of no feed"}), t[0]))
+    spark.createDataFrame(data, "record_id string, feed string, file_name string, run_ts timestamp, line_no int, payload string, ingested_ts timestamp").write.parquet(f"{tmp_path}/run_records.parquet")
+    got = QUERIES["p3_records"](spark, str(tmp_path)).collect()
+    assert len(got) == 17 and all(r.notes is not None and r._rescued is None for r in got)
+
+
+def test_names_by_score_in_each_feed(spark):
+    report = spark.createDataFrame([("x", "renamed", "a", "n", 0.8), ("x", "renamed", "b", "n", 0.9), ("x", "renamed", "n", "m", 0.8), ("y", "renamed", "a", "n", 1.2), ("y", "added", "q", "", None)], "feed string, change_kind string, field string, new_field string, score double")
+    feeds = spark.createDataFrame([("x",), ("y",), ("z",)], "feed string")
+    got = {r.feed: r.names for r in approved_names(report, feeds, ["a", "b"]).collect()}
+    assert got == {"x": {"a": ["a"], "b": ["b", "n", "m"]}, "y": {"a": ["a", "n", "m"], "b": ["b"]}, "z": {"a": ["a", "n", "m"], "b": ["b"]}}

@@ -14,6 +14,7 @@ boolean, list holds. Files with the same time are ordered by name. An empty tabl
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -102,22 +103,28 @@ def _castable(kind: str, data_type: str) -> bool:
     return kind in accepted.get(data_type, {"list"})
 
 
-def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str]]]) -> DataFrame:
+def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str] | Column]]) -> DataFrame:
     """Typed columns of ``target`` (name to type and approved paths, first match holds) and ``_rescued``.
 
+    Paths may be an array column, where they differ between records.
+
     An approved path whose value does not cast stays in ``_rescued`` beside the unknown ones.
     """
     keep = [c for c in parsed.columns if c not in ("fields", "_error", "_rescued", *target)]
     taken: dict[str, Column] = {}
     for name, (data_type, paths) in target.items():
-        options = []
-        for path in paths:
-            entry = F.element_at("fields", F.lit(path))
+        def option(path: Column) -> Column:
+            entry = F.element_at("fields", path)
             allowed = entry["type"].isin([k for k in ("string", "boolean", "integer", "decimal", "list") if _castable(k, data_type)])
             cast = F.when(allowed, F.from_json(entry["text"], data_type) if data_type.startswith("array") else entry["text"].try_cast(data_type))
-            options.append(F.when(cast.isNotNull() | (entry["type"] == "null"), F.struct(cast.alias("value"), F.lit(path).alias("path"))))
+            return F.when(cast.isNotNull() | (entry["type"] == "null"), F.struct(cast.alias("value"), path.alias("path")))
+
         none = F.lit(None).cast(f"struct<value:{data_type},path:string>")
-        taken[f"__taken_{name}"] = F.coalesce(*options, none)
+        if isinstance(paths, Column):
+            present = F.filter(paths, lambda p: F.map_contains_key("fields", p))
+            taken[f"__taken_{name}"] = F.coalesce(F.try_element_at(F.filter(F.transform(present, lambda p: option(p)), lambda o: o.isNotNull()), F.lit(1)), none)
+        else:
+            taken[f"__taken_{name}"] = F.coalesce(*[option(F.lit(path)) for path in paths], none)
     held = parsed.withColumns(taken)
     consumed = F.filter(F.array(*[F.col(f"`{t}`.path") for t in taken]), lambda p: p.isNotNull())
     held = held.withColumn("__consumed", consumed)
@@ -239,23 +246,51 @@ def drift(parsed: DataFrame, same: float = 0.75) -> DataFrame:
     return whole.join(files, ["feed", "seq"]).drop("seq")
 
 
-def approved_names(report: DataFrame, fields: list[str], bound: int = 10_000) -> dict[str, list[str]]:
-    """For each target field the names it went by, from the renames of a drift report (those of at least two files, most frequent first).
-
-    At most ``bound`` different renames are expected; more are an error, never cut off.
+def _owners(edges: list[tuple[int, float, str, str]], fields: list[str]) -> dict[str, tuple[str, int]]:
+    """Name to its target field and its rank there: from the target names on, of all renames that reach a new name the first in (preference, best score) holds."""
+    near: dict[str, list[tuple[int, float, str]]] = {}
+    for preference, score, a, b in edges:
+        near.setdefault(a, []).append((preference, -score, b))
+        near.setdefault(b, []).append((preference, -score, a))
+    found = {f: (f, 0) for f in fields}
+    count = dict.fromkeys(fields, 0)
+    open_ = [(p, s, f, other) for f in fields for p, s, other in near.get(f, [])]
+    heapq.heapify(open_)
+    while open_:
+        _, _, known, other = heapq.heappop(open_)
+        if other in found:
+            continue
+        owner = found[known][0]
+        count[owner] += 1
+        found[other] = (owner, count[owner])
+        for p, s, more in near.get(other, []):
+            if more not in found:
+                heapq.heappush(open_, (p, s, other, more))
+    return found
+
+
+def approved_names(report: DataFrame, feeds: DataFrame, fields: list[str]) -> DataFrame:
+    """(feed, names): for each feed the names every target field went by, as a map from field to names, from all renames of a drift report.
+
+    A name that renames of a feed link to several fields goes with the best score in that feed; what
+    only other feeds renamed comes after that, with the best score among them.
     """
-    rows = report.filter("change_kind = 'renamed'").groupBy("field", "new_field").count().filter("count >= 2").orderBy(F.desc("count"), "field", "new_field").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} different renames")
-    names = {f: [f] for f in fields}
-    owner = {f: f for f in fields}
-    grown = True
-    while grown:
-        grown = False
-        for row in rows:
-            for known, other in ((row["field"], row["new_field"]), (row["new_field"], row["field"])):
-                if known in owner and other not in owner:
-                    owner[other] = owner[known]
-                    names[owner[known]].append(other)
-                    grown = True
-    return names
+    renames = report.filter("change_kind = 'renamed'").groupBy("feed", "field", "new_field").agg(F.max("score").alias("score"))
+    edges = F.sort_array(F.collect_list(F.struct("field", "new_field", "score"))).alias("edges")
+    every = renames.groupBy("field", "new_field").agg(F.max("score").alias("score")).agg(edges).select(F.col("edges").alias("others"))
+    feeds = feeds.select("feed").distinct()
+    own = renames.groupBy("feed").agg(edges)
+    whole = feeds.join(own, feeds["feed"].eqNullSafe(own["feed"]), "left").select(feeds["feed"], "edges").crossJoin(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
+                edges = [(k, e["score"], e["field"], e["new_field"]) for k, held in enumerate(row) for e in held or []]
+                names: dict[str, list[tuple[int, str]]] = {}
+                for name, (owner, rank) in _owners(edges, fields).items():
+                    names.setdefault(owner, []).append((rank, name))
+                out.append([(f, [n for _, n in sorted(held)]) for f, held in names.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.map_(pa.string(), pa.list_(pa.string())))], names=["feed", "names"])
+
+    return whole.mapInArrow(run, "feed string, names map<string,array<string>>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.drift import approved_names, drift, ingest, parse_records
 from ..operators.versions import latest_version
@@ -31,9 +32,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records in the target schema; fields it does not know, and values that do not cast, in ``_rescued``."""
     whole = durable(parsed(spark, sf_dir), "parsed")
-    names = approved_names(drift(whole), list(TARGET))
-    target = {field.rpartition(".")[2]: (kind, names[field]) for field, kind in TARGET.items()}
-    return ingest(whole, target)
+    names = durable(approved_names(drift(whole), whole, list(TARGET)), "names").withColumnRenamed("feed", "__feed")
+    named = whole.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left").drop("__feed")
+    target = {field.rpartition(".")[2]: (kind, F.col("names")[field]) for field, kind in TARGET.items()}
+    return ingest(named, target).drop("names")
 
 
 SQL: dict[str, str] = {}
