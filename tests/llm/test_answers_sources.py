@@ -79,6 +79,11 @@ def test_defects(spark, models):
     assert defects(df, Languages([], __import__("numpy").zeros((0, 1 << 16))), Endings({})).count() > 0
 
 
+def test_endings_count_every_answer(spark):
+    texts = spark.range(30_000).selectExpr("concat('row ', id, ' ends here.') AS text")
+    assert fit_endings(texts).counts[".",] == (30_000, 30_000)
+
+
 def test_small_parts():
     assert without_question("What is a b c d? yes", "What is a b c d?") == ("yes", False)
     assert not is_truncated("", Endings({})) and is_truncated("see (", Endings({}))

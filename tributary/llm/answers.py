@@ -1,8 +1,8 @@
 """Problem 7: defective answers to questions.
 
-Two small models are fitted first, by distributed counts over bounded samples: a character trigram naive
-Bayes of languages (from labelled documents, about ``LANGUAGE_ROWS`` rows a language) and the likelihood that a
-text ends after a word n-gram (from reference answers, about ``ENDING_ROWS`` rows). Each answer then goes through
+Two small models are fitted first, by distributed counts: a character trigram naive Bayes of languages (from a
+bounded sample of labelled documents, about ``LANGUAGE_ROWS`` rows a language) and the likelihood that a text
+ends after a word n-gram (from all reference answers). Each answer then goes through
 one pass: emptiness, restated question, refusal, language against the question's, and its ending.
 
 Defined results: a null answer is empty; with a null or empty question an answer is neither copied nor in
@@ -27,7 +27,7 @@ from ..operators.versions import latest_version
 from ..queries.tables import table
 
 LANGUAGE_ROWS = 2_000
-ENDING_ROWS = 20_000
+HELD_CONTEXTS = 200_000
 BUCKETS = 1 << 16
 
 # Texts that stand for no answer, compared without case and marks.
@@ -182,9 +182,13 @@ class Endings:
         return p
 
 
-def fit_endings(answers: DataFrame, rows: int = ENDING_ROWS, least: int = 2) -> Endings:
-    """End counts of token n-grams over a bounded sample of complete answers."""
-    sample = _sample(answers.filter("length(text) > 0"), rows, "text").select("text")
+def fit_endings(answers: DataFrame, least: int = 2) -> Endings:
+    """End counts of token n-grams over all complete answers; n-grams seen fewer than ``least`` times are left to shorter ones."""
+    whole = answers.filter("length(text) > 0").select("text")
+
+    def rows(seen: Counter, ended: Counter) -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ended[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["context", "ended", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -199,10 +203,12 @@ def fit_endings(answers: DataFrame, rows: int = ENDING_ROWS, least: int = 2) ->
                 seen.update(tokens)
                 seen.update(f"{a}\t{b}" for a, b in zip(tokens, tokens[1:]))
                 ended.update([kinds[-1], tokens[-1], "\t".join(tokens[-2:]) if len(tokens) > 1 else ""])
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ended[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["context", "ended", "seen"])
+            if len(seen) > HELD_CONTEXTS:
+                yield rows(seen, ended)
+                seen, ended = Counter(), Counter()
+        yield rows(seen, ended)
 
-    counts = sample.mapInArrow(run, "context string, ended bigint, seen bigint").groupBy("context").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")).filter(F.col("seen") >= least).toPandas()
+    counts = whole.mapInArrow(run, "context string, ended bigint, seen bigint").groupBy("context").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")).filter(F.col("seen") >= least).toPandas()
     return Endings({tuple(c.split("\t")): (int(e), int(s)) for c, e, s in zip(counts["context"], counts["ended"], counts["seen"])})
 
 
