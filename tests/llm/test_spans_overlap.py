@@ -1,11 +1,12 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 from conftest import rows
 
 from tributary.llm.fingerprints import winnow
-from tributary.llm.overlap import overlaps, split_roles, words_of
+from tributary.llm.overlap import TILE, Overlap, least_common, passages, split_roles, tiles
 from tributary.llm.spans import FingerprintIndex, shared_pairs, shared_spans, verified
 
 
@@ -91,14 +92,50 @@ def test_overlap_is_exact(spark):
         rnd.shuffle(words)
         data.append((i, rnd.choice(["train", "test", "heldout", "other"]), " ".join(words) + rnd.choice([".", " ?", "  !"])))
     data += [(200, "train", None), (201, "test", ""), (202, "test", "..."), (203, "train", "same same SAME"), (204, "test", "Same")]
-    df = spark.createDataFrame(data, "question_key long, role string, question string").selectExpr("question_key", "role", "'f' as split_file", "'b' as benchmark", "question")
-    got = {(r.train_key, r.eval_key) for r in overlaps(df.withColumn("words", words_of("question")).drop("question")).collect()}
-    import re
-
+    data += [(210 + i, "train", "the long text says " + " ".join(base[i]) + " and goes on") for i in range(8)] + [(220 + i, "test", " ".join(base[i])) for i in range(8)]
+    df = spark.createDataFrame(data, "question_key long, role string, question string").selectExpr("*", "1 as side", "'x' as running")
     sets = {i: (r, set(re.findall(r"\w+", (t or "").lower()))) for i, r, t in data}
     want = {(a, b) for a, (ra, x) in sets.items() for b, (rb, y) in sets.items() if ra == "train" and rb in ("test", "heldout") and x and y and 10 * len(x & y) >= 7 * len(x | y)}
-    assert got == want and (203, 204) in got
-    assert overlaps(df.limit(0).withColumn("words", words_of("question")).drop("question")).count() == 0
+    running = {i: re.findall(r"\w+", (t or "").lower()) for i, r, t in data}
+    train = [f" {' '.join(w)} " for i, w in running.items() if sets[i][0] == "train" and w]
+    covered = {}
+    for i, words in running.items():
+        if sets[i][0] in ("test", "heldout"):
+            marks = set()
+            for a, b in tiles(words):
+                if any(f" {' '.join(words[a:b])} " in t for t in train):
+                    marks |= set(range(a, b))
+            covered[i] = len(marks)
+    for sizes in ({}, {"shard_characters": 700, "block_characters": 400}):
+        overlap = Overlap(df, **sizes)
+        got = overlap.pairs().select("train_key", "eval_key").collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and (203, 204) in want
+        whole = {r.question_key: r for r in overlap.evaluated().collect()}
+        assert {i: r.covered for i, r in whole.items()} == covered and max(covered.values()) > TILE
+        assert {i: r.partners for i, r in whole.items()} == {i: sum(b == i for _, b in want) for i in covered}
+        assert all(whole[220 + i].covered == whole[220 + i].n_words for i in range(8))
+    empty = Overlap(df.limit(0))
+    assert empty.pairs().count() == 0 and empty.evaluated().count() == 0
+
+
+def test_passages_lose_no_pair():
+    """Sets that share 0.7 have a common passage among the first ones of both, for every way to place what differs."""
+    rnd = random.Random(8)
+    for _ in range(20_000):
+        common, other = rnd.randint(1, 14), rnd.randint(0, 6)
+        if 10 * common < 7 * (common + other):
+            continue
+        owner = [2] * common + [rnd.randint(0, 1) for _ in range(other)]
+        rnd.shuffle(owner)
+        a, b = ([i for i, o in enumerate(owner) if o in (side, 2)] for side in (0, 1))
+        first = lambda s: set(list(zip(s, s[1:]))[: passages(len(s), 0.7)]) if len(s) > 1 else {tuple(s)}
+        assert first(a) & first(b)
+        both = set(zip(a, a[1:])) & set(zip(b, b[1:]))
+        assert len(both) >= least_common(len(a), len(b), 0.7)
+
+
+def test_tiles():
+    assert [tiles(["w"] * n) for n in (0, 2, 5, 7, 10)] == [[], [(0, 2)], [(0, 5)], [(0, 5), (2, 7)], [(0, 5), (5, 10)]]
 
 
 def test_roles(spark):

@@ -1,19 +1,26 @@
 """Problem 6: the same or near-same records across splits, by Aho-Corasick scans.
 
-Evaluation records are normalised and cut into passages; the passages of one shard of records make an
-automaton, which scans every training text. Matched intervals are merged into the part of each
-evaluation record that a training text covers, and pairs that cover enough are verified.
-
-Near-sameness is measured on sets of words, so passages are chosen such that no near-same pair can be
-missed: of a record's words in order of rarity over all records, the rarest ``n - ceil(t * n) + 1`` are
-its passages (two sets that share t of their union share one of these), each between word bounds. A
-training text needs to be scanned for its own rarest words only, by the same argument.
-
-Training texts are dealt to blocks and evaluation records to shards of bounded size by hash; each task
-holds one shard's automaton and streams one block. Only the counts of words, never records, go through
-a shared table. A word that a third of all records have is among the passages of a record only if
-nearly all its words are as frequent; exact copies are folded into one text before, so a group of copies
-is one passage set and one scanned text.
+Evaluation records are normalised and cut into passages of several consecutive words. The passages of a shard of
+records make one automaton, which scans the training texts; matched intervals are merged into the part of each
+evaluation record that stands in training texts (``coverage``), and into the part of one record that one training
+text covers, from which pairs are chosen and then verified (``scan``).
+
+A text is scanned in two normal forms:
+
+* the running form, its words in lower case as they follow each other. Passages are tiles of ``TILE`` words of the
+  evaluation record (the last one ends with it; a shorter record is one tile), matched wherever they stand in the
+  training text, so that a record inside a longer text is seen.
+* the ordered form, its distinct words in one order for all records, rare ones first. Passages are two neighbouring
+  words of it. If two sets share at least 0.7 of their union, c common and d other words, then c >= d + 2 or the
+  sets are equal; the d others cut the ordered union into d + 1 runs at most, so that at least c - d - 1 >= 1
+  passages are common, whatever the word order of the texts was. The first passages of a record in that order, all
+  but the least number of common ones less one, therefore hold a common one (prefix filter), and no pair is lost.
+
+Volume: each training text goes only to the shards that own one of its passages, as a join of passage hashes tells;
+shards and blocks hold a bounded amount of text, and a block has at least as much text as the shard that joins it, so that what
+is shuffled grows with the texts and the matches and not with their product. Exact copies (the same running form)
+are folded into one class before. Only the ``LISTED`` most frequent words, up to ``LISTED_LENGTH`` characters long,
+are sent to all tasks; they stand last in the order of words, by count, and all others first by their hash.
 
 Defined results: words are maximal runs of letters, digits and underscores in lower case; a record
 without words has no overlap with any; the role of a split is that of its latest sealing, without outer
@@ -27,100 +34,186 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.versions import latest_version
 from ..queries.tables import table
-from ..session import durable, partitions
+from ..session import durable
 
 SIMILAR = 0.7
-SHARD_RECORDS = 20_000
-BLOCK_RECORDS = 50_000
+TILE = 5
+SHARD_CHARACTERS = 4_000_000
+BLOCK_CHARACTERS = 8_000_000
+LISTED = 20_000
+LISTED_LENGTH = 64
+BOUND = "\x01"
+
 
+def tokens_of(column: str):
+    """The words of a text in their order."""
+    return F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
-def words_of(column: str):
-    """The sorted set of words of a text."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))
 
+def least_common(n: int, m: int, similar: float) -> int:
+    """The least number of passages that ordered sets of n and m words have in common if they are near the same."""
+    common = math.ceil(similar / (1 + similar) * (n + m) - 1e-9)
+    return 3 * common - n - m - 1
 
-def _kept(n: int, similar: float) -> int:
-    """How many of n words, from the rarest on, make the passages."""
-    return n - math.ceil(similar * n - 1e-9) + 1
 
+def passages(n: int, similar: float) -> int:
+    """How many of the first passages of n ordered words must hold a common one."""
+    if n < 2:
+        return n
+    partners = range(math.ceil(similar * n - 1e-9), math.floor(n / similar + 1e-9) + 1)
+    return n - min(least_common(n, m, similar) for m in partners)
 
-def ranked_words(records: DataFrame) -> DataFrame:
-    """(content, words): each distinct word set, its words from the rarest to the most frequent over all records."""
-    words = records.select("content", F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = words.join(counts, "word").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))
-    return ranked.select("content", F.col("ranked.word").alias("words"))
 
+def tiles(tokens: list[str]) -> list[tuple[int, int]]:
+    """(begin, end) of the tiles of a record."""
+    n = len(tokens)
+    if n <= TILE:
+        return [(0, n)] if n else []
+    return [(i, i + TILE) for i in range(0, n - TILE + 1, TILE)] + ([(n - TILE, n)] if n % TILE else [])
 
-def scan(train: DataFrame, evaluation: DataFrame, similar: float = SIMILAR, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """(train, eval, covered, similarity) of all pairs of word sets at least ``similar``.
 
-    Both sides are (content, words) with the words ranked; ``covered`` is the part of the evaluation
-    record's passage characters that the training text matched.
+def frequent_words(texts: DataFrame, column: str = "running", listed: int = LISTED) -> dict[str, int]:
+    """The most frequent words with their rank from the rarest on: at most ``listed`` words of ``LISTED_LENGTH`` characters."""
+    words = texts.select(F.explode(F.array_distinct(F.split(F.trim(column), " "))).alias("word")).filter(F.length("word") <= LISTED_LENGTH)
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(listed).collect()
+    return {r["word"]: len(top) - i for i, r in enumerate(top)}
+
+
+def prepared(texts: DataFrame, listed: dict[str, int], similar: float, short: list[int]) -> DataFrame:
+    """(side, class, running, ordered, routes): the two forms and the hashes of the passages.
+
+    ``short`` are the lengths of evaluation records of less than a tile.
     """
-    spark = train.sparkSession
-    shards = max(1, -(-evaluation.count() // shard_records))
-    blocks = max(1, -(-partitions(spark) // shards), -(-train.count() // BLOCK_RECORDS))
-    of = lambda n, seed: F.pmod(F.xxhash64("content", F.lit(seed)), F.lit(n)).cast("int")
-    left = evaluation.withColumn("shard", of(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = train.withColumn("block", of(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(found: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        owners: dict[str, list[int]] = {}
-        sizes = []
-        for i, words in enumerate(found["words"]):
-            n = len(words)
-            passages = words[: _kept(n, similar)]
-            sizes.append(sum(len(w) for w in passages))
-            for word in passages:
-                owners.setdefault(word, []).append(i)
-        for word, held in owners.items():
-            # a word is a passage between bounds, so that it does not match inside a longer one
-            automaton.add_word(f" {word} ", (len(word), np.array(held)))
-        out: list[tuple[str, str, float, float]] = []
-        if owners:
-            automaton.make_automaton()
-            sets = [frozenset(w) for w in found["words"]]
-            counts = np.array([len(s) for s in sets])
-            kept = np.array([_kept(int(c), similar) for c in counts])
-            keys = found["content"].tolist()
-            for content, words in zip(texts["content"], texts["words"]):
-                n = len(words)
-                text = " " + "  ".join(words) + " "
-                hit: list[np.ndarray] = []
-                spans: list[int] = []
-                for _, (length, held) in automaton.iter(text):
-                    hit.append(held)
-                    spans.append(length)
-                if not hit:
-                    continue
-                which = np.concatenate(hit)
-                near, times = np.unique(which, return_counts=True)
-                # the least number of common words leaves at most m - least of the m words unmatched
-                least = np.ceil(similar / (1 + similar) * (n + counts[near]) - 1e-9)
-                fits = (times >= kept[near] - (counts[near] - least)) & (counts[near] >= similar * n - 1e-9) & (similar * counts[near] <= n + 1e-9)
-                near = near[fits]
-                own = frozenset(words)
-                covered = np.bincount(which, weights=np.repeat(spans, [len(h) for h in hit]), minlength=len(keys)) if len(near) else None
-                for i in near.tolist():
-                    common = len(own & sets[i])
-                    union = n + len(sets[i]) - common
-                    if common >= similar * union - 1e-9:
-                        out.append((content, keys[i], float(covered[i] / sizes[i]), common / union))
-        return pd.DataFrame(out, columns=["train", "eval", "covered", "similarity"])
-
-    pair = "train string, eval string, covered double, similarity double"
-    return right.groupBy("shard", "block").cogroup(left.groupBy("shard", "block")).applyInPandas(lambda r, e: run(e, r), pair)
+    import xxhash
+
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+    lengths = [TILE, *short]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, h = shared.value, xxhash.xxh64_intdigest
+        signed = lambda texts: np.fromiter((h(t) for t in texts), np.uint64, len(texts)).astype(np.int64)
+        first: dict[int, int] = {}
+        for batch in batches:
+            ordered, routes = [], []
+            for side, text in zip(batch.column("side").to_pylist(), batch.column("running").to_pylist()):
+                words = text.split(" ")[1:-1]
+                order = sorted(set(words), key=lambda w: (rank.get(w, 0), h(w), w))
+                n = len(order)
+                if n not in first:
+                    first[n] = passages(n, similar)
+                own = [f"{BOUND}{a}{BOUND}{b}{BOUND}" for a, b in zip(order[: first[n]], order[1 : first[n] + 1])] if n > 1 else [f"{BOUND}{w}{BOUND}" for w in order]
+                if side == "eval":
+                    spans = [words[a:b] for a, b in tiles(words)]
+                else:
+                    spans = [words[i : i + k] for k in lengths for i in range(len(words) - k + 1)]
+                own += {f" {' '.join(s)} " for s in spans}
+                ordered.append(f"{BOUND}{BOUND.join(order)}{BOUND}")
+                routes.append(np.unique(signed(own)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "class", "running")), pa.array(ordered, pa.string()), pa.array(routes, pa.list_(pa.int64()))], names=["side", "class", "running", "ordered", "routes"])
+
+    return texts.select("side", "class", "running").mapInArrow(run, "side string, class binary, running string, ordered string, routes array<bigint>")
+
+
+def matched(records: pd.DataFrame, texts: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """Scan the texts by the automaton of the records: near-same pairs (train, eval, similarity) and merged intervals (eval, begin, end)."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    owners: dict[str, list[tuple[int, int]]] = {}
+    sets, spans = [], []
+    for i, (running, ordered) in enumerate(zip(records["running"], records["ordered"])):
+        words = running.split(" ")[1:-1]
+        order = ordered.split(BOUND)[1:-1]
+        sets.append(frozenset(order))
+        spans.append(tiles(words))
+        for k, (a, b) in enumerate(spans[-1]):
+            owners.setdefault(f" {' '.join(words[a:b])} ", []).append((i, k))
+        for at in range(passages(len(order), similar) if len(order) > 1 else len(order)):
+            owners.setdefault(BOUND + BOUND.join(order[at : at + 2]) + BOUND, []).append((i, at))
+    keys = records["class"].tolist()
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    first = np.array([passages(int(c), similar) for c in n], dtype=np.int64)
+    width = int(n.max(initial=0)) + 2
+    held: list[np.ndarray] = []
+    for passage, own in owners.items():
+        ordered = passage[0] == BOUND
+        automaton.add_word(passage, (ordered, len(held)))
+        own = np.array(own, dtype=np.int64)
+        held.append(own[:, 0] * width + own[:, 1] if ordered else own)
+    seen = np.zeros(len(held), dtype=bool)
+    pairs: list[tuple[bytes, bytes, float]] = []
+    if owners:
+        automaton.make_automaton()
+        for text, running, ordered in zip(texts["class"], texts["running"], texts["ordered"]):
+            hit = []
+            for _, (is_ordered, p) in automaton.iter(running + ordered):
+                if is_ordered:
+                    hit.append(held[p])
+                else:
+                    seen[p] = True
+            if not hit:
+                continue
+            own = ordered.split(BOUND)[1:-1]
+            m = len(own)
+            at = np.concatenate(hit)
+            # an interval is two neighbouring words: their union is what the text covers of the record
+            covered = np.unique(np.concatenate((at, at + 1)) if m > 1 else at) // width
+            near, size = np.unique(covered, return_counts=True)
+            common = np.ceil(similar / (1 + similar) * (n[near] + m) - 1e-9)
+            least = np.where(n[near] > 1, first[near] - (n[near] - 1) + (3 * common - n[near] - m - 1), 0)
+            near = near[(size >= least + (least > 0)) & (n[near] >= similar * m - 1e-9) & (similar * n[near] <= m + 1e-9)]
+            mine = frozenset(own)
+            for i in near.tolist():
+                both = len(mine & sets[i])
+                union = m + len(sets[i]) - both
+                if both >= similar * union - 1e-9:
+                    pairs.append((text, keys[i], both / union))
+    marks: dict[int, list[tuple[int, int]]] = {}
+    for p in np.flatnonzero(seen):
+        for i, k in held[p].tolist():
+            marks.setdefault(i, []).append(spans[i][k])
+    merged = [(keys[i], a, b) for i, own in marks.items() for a, b in merge(own)]
+    return pd.concat([pd.DataFrame(pairs, columns=["train", "eval", "similarity"]), pd.DataFrame(merged, columns=["eval", "begin", "end"]).astype({"begin": "Int32", "end": "Int32"})])[["train", "eval", "similarity", "begin", "end"]]
+
+
+def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def scan(texts: DataFrame, similar: float = SIMILAR, shard_characters: int = SHARD_CHARACTERS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+    """(train, eval, similarity) of near-same classes, and (eval, begin, end) of the matched intervals of each, from (side, class, running)."""
+    if similar < 0.7:
+        raise ValueError("two neighbouring words are only certain to be common from a similarity of 0.7 on")
+    size = texts.filter("side = 'eval'").agg(
+        F.sum(F.length("running").cast("bigint")).alias("n"), F.collect_set(F.when(F.size(F.split("running", " ")) < TILE + 2, F.size(F.split("running", " ")) - 2)).alias("short")).first()
+    shards = max(1, -(-(size["n"] or 0) // shard_characters))
+    known = durable(prepared(texts, frequent_words(texts), similar, sorted(size["short"])), "texts")
+    shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
+    records = known.filter("side = 'eval'").withColumn("shard", shard)
+    train = known.filter("side = 'train'")
+    owned = records.select(F.explode("routes").alias("route"), "shard").distinct()
+    routed = train.select("class", F.explode("routes").alias("route")).join(owned, "route").select("class", "shard").distinct()
+    sent = durable(routed.join(train.select("class", "running", "ordered"), "class"), "sent")
+    total = sent.agg(F.sum(F.length("running").cast("bigint"))).first()[0] or 0
+    blocks = max(1, -(-total // (shards * block_characters)))
+    # a block has more text than the shard it is joined with, so copies of shards do not outgrow the texts
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(blocks)).cast("int"))
+    ready = records.select("class", "running", "ordered", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    schema = "train binary, eval binary, similarity double, begin int, end int"
+    return sent.groupBy("shard", "block").cogroup(ready.groupBy("shard", "block")).applyInPandas(lambda t, r: matched(r, t, similar), schema)
 
 
 def split_roles(manifest: DataFrame) -> DataFrame:
@@ -134,52 +227,106 @@ def labelled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = latest_version(questions, "question_key").filter("question_key is not null")
     roles = split_roles(table(spark, sf_dir, "split_manifest").select("split_file", "split_role", "sealed_at"))
     # the manifest has one row a split; Spark broadcasts it where it is small
-    return held.join(roles, "split_file").select("question_key", "split_file", "benchmark", "role", words_of("question").alias("words"))
+    return held.join(roles, "split_file").select("question_key", "split_file", "benchmark", "role", "question")
+
+
+class Overlap:
+    """The overlap of training and evaluation records of (question_key, role, question and what else a report needs)."""
 
+    def __init__(self, records: DataFrame, similar: float = SIMILAR, evaluation_roles: tuple[str, ...] = ("heldout", "test"), **sizes: int):
+        side = F.when(F.col("role") == "train", "train").when(F.col("role").isin(*evaluation_roles), "eval")
+        words = tokens_of("question")
+        running = F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+        named = records.withColumn("side", side).filter("side is not null").withColumn("running", running).drop("question")
+        self.records = durable(named.withColumn("class", F.substring(F.unhex(F.sha2("running", 256)), 1, 16)), "records")
+        held = self.records.filter("running is not null")
+        texts = durable(held.groupBy("side", "class").agg(F.first("running").alias("running")), "classes")
+        self.found = durable(scan(texts, similar, **sizes), "found")
 
-def overlaps(records: DataFrame, similar: float = SIMILAR, evaluation_roles: tuple[str, ...] = ("heldout", "test")) -> DataFrame:
-    """Classes of equal word sets that overlap, with the members of both sides: (train_key, eval_key, covered, similarity)."""
-    side = F.when(F.col("role") == "train", "train").when(F.col("role").isin(*evaluation_roles), "eval")
-    named = records.withColumn("side", side).filter("side is not null and size(words) > 0")
-    named = durable(named.withColumn("content", F.sha2(F.array_join("words", " "), 256)), "records")
-    texts = named.groupBy("side", "content").agg(F.first("words").alias("words"))
-    ranks = durable(ranked_words(texts.dropDuplicates(["content"])), "ranks")
-    of = lambda s: durable(ranks.join(texts.filter(F.col("side") == s).select("content"), "content", "left_semi"), s)
-    found = durable(scan(of("train"), of("eval"), similar), "found")
-    member = lambda s, key: named.filter(F.col("side") == s).select(F.col("content").alias(s), F.col("question_key").alias(key), *(F.col(c).alias(f"{s}_{c}") for c in ("split_file", "benchmark")))
-    return found.join(member("train", "train_key"), "train").join(member("eval", "eval_key"), "eval")
+    def members(self, side: str, *columns: str) -> DataFrame:
+        return self.records.filter((F.col("side") == side) & F.col("class").isNotNull()).select(F.col("class").alias(side), *columns)
+
+    def pairs(self) -> DataFrame:
+        """(train_key, eval_key, similarity) of all members of near-same classes."""
+        links = self.found.filter("train is not null").select("train", "eval", "similarity")
+        key = F.col("question_key")
+        return links.join(self.members("train", key.alias("train_key")), "train").join(self.members("eval", key.alias("eval_key")), "eval")
+
+    def coverage(self) -> DataFrame:
+        """(eval class, covered, spans): matched words and merged intervals of each evaluation text."""
+        parts = self.found.filter("begin is not null").groupBy("eval").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("parts"))
+        start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("spans"), F.lit(-1).alias("upto"))
+
+        def step(state, part):
+            fresh = part["begin"] > state["upto"]
+            return F.struct(
+                (state["covered"] + F.greatest(F.lit(0), part["end"] - F.greatest(part["begin"], state["upto"]))).alias("covered"),
+                (state["spans"] + fresh.cast("int")).alias("spans"), F.greatest(state["upto"], part["end"]).alias("upto"))
+
+        return parts.select("eval", F.aggregate("parts", start, step).alias("s")).select("eval", "s.covered", "s.spans")
+
+    def partners(self) -> DataFrame:
+        """(eval class, partners, best): training members and the greatest similarity; classes are counted, not expanded."""
+        sizes = self.members("train").groupBy("train").agg(F.count("*").alias("n"))
+        return self.found.filter("train is not null").join(sizes, "train").groupBy("eval").agg(F.sum("n").alias("partners"), F.max("similarity").alias("best"))
+
+    def evaluated(self, *columns: str) -> DataFrame:
+        """Every evaluation record with its words, covered words, spans, partners and best similarity."""
+        whole = self.records.filter("side = 'eval'").select("question_key", *columns, F.col("class").alias("eval"), F.coalesce(F.size(F.split("running", " ")) - 2, F.lit(0)).alias("n_words"))
+        whole = whole.join(self.coverage(), "eval", "left").join(self.partners(), "eval", "left")
+        return whole.select("question_key", *columns, "n_words", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("covered", "spans")), F.coalesce("partners", F.lit(0)).cast("bigint").alias("partners"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlaps(labelled_questions(spark, sf_dir))
+    pairs = Overlap(labelled_questions(spark, sf_dir)).pairs()
     return pairs.select(F.least("train_key", "eval_key").alias("question_key_a"), F.greatest("train_key", "eval_key").alias("question_key_b"))
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each evaluation question stands in training questions, and how many near-same partners it has."""
+    return Overlap(labelled_questions(spark, sf_dir)).evaluated().select("question_key", "n_words", "covered", "spans", "partners")
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and benchmark: records, and how many overlap with training."""
-    records = durable(labelled_questions(spark, sf_dir), "questions")
-    hit = overlaps(records).groupBy("eval_key").agg(F.count("*").alias("partners"), F.max("similarity").alias("best"))
-    whole = records.filter(F.col("role").isin("heldout", "test")).join(hit.withColumnRenamed("eval_key", "question_key"), "question_key", "left")
-    best = F.coalesce(F.col("best"), F.lit(0.0))
+    """Per evaluation split and benchmark: records, how many overlap with training, and how many of their words stand there."""
+    whole = Overlap(labelled_questions(spark, sf_dir)).evaluated("split_file", "benchmark", "role")
     return whole.groupBy("split_file", "benchmark", "role").agg(
-        F.count("*").alias("questions"), F.count("partners").alias("overlapping"), F.sum(F.coalesce("partners", F.lit(0))).cast("bigint").alias("pairs"), F.count_if(best >= 1).alias("same_words"))
+        F.count("*").alias("questions"), F.count_if(F.col("partners") > 0).alias("overlapping"), F.sum("partners").alias("pairs"), F.count_if(F.col("best") >= 1).alias("same_words"),
+        F.sum("n_words").alias("words"), F.sum("covered").alias("covered_words"), F.count_if((F.col("n_words") > 0) & (F.col("covered") == F.col("n_words"))).alias("covered_whole"))
 
 
 _PAIRS = r"""
 WITH held AS (SELECT * FROM questions WHERE question_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_key ORDER BY ingested_ts DESC NULLS LAST) = 1),
 roles AS (SELECT split_file, lower(trim(split_role)) AS role FROM split_manifest WHERE split_file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY split_file ORDER BY sealed_at DESC NULLS LAST) = 1),
-q AS (SELECT question_key, split_file, benchmark, role, list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS w FROM held JOIN roles USING (split_file)),
+q AS (SELECT question_key, split_file, benchmark, role, x, list_distinct(x) AS w FROM (SELECT question_key, split_file, benchmark, role, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS x FROM held JOIN roles USING (split_file))),
 pairs AS (
   SELECT t.question_key AS t, e.question_key AS e, len(list_intersect(t.w, e.w)) AS c, len(t.w) + len(e.w) AS n
   FROM q t JOIN q e ON t.role = 'train' AND e.role IN ('heldout', 'test') AND len(t.w) > 0 AND len(e.w) > 0 AND len(t.w) * 10 >= len(e.w) * 7 AND len(e.w) * 10 >= len(t.w) * 7
 ), hits AS (SELECT t, e, c / (n - c) AS s FROM pairs WHERE c * 10 >= (n - c) * 7)
 """
+_COVERAGE = _PAIRS + """
+, tile AS (
+  SELECT DISTINCT question_key, k AS b, ' ' || array_to_string(x[k + 1 : k + least(len(x), 5)], ' ') || ' ' AS passage, k + least(len(x), 5) AS f
+  FROM (SELECT question_key, x, unnest(list_distinct(list_append(CASE WHEN len(x) > 5 THEN range(0, len(x) - 4, 5) ELSE [0] END, greatest(len(x) - 5, 0)))) AS k FROM q WHERE role IN ('heldout', 'test') AND len(x) > 0)
+), texts AS (SELECT DISTINCT ' ' || array_to_string(x, ' ') || ' ' AS running FROM q WHERE role = 'train' AND len(x) > 0),
+passages AS (SELECT passage FROM (SELECT DISTINCT passage FROM tile) p WHERE EXISTS (SELECT 1 FROM texts WHERE contains(running, passage))),
+word AS (SELECT DISTINCT question_key, unnest(range(b, f)) AS at FROM tile JOIN passages USING (passage)),
+edge AS (SELECT t.question_key, t.b, t.f, max(t.f) OVER (PARTITION BY t.question_key ORDER BY t.b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tile t JOIN passages USING (passage)),
+span AS (SELECT question_key, count(*) AS spans FROM edge WHERE before IS NULL OR b > before GROUP BY question_key),
+cov AS (SELECT question_key, count(*) AS covered FROM word GROUP BY question_key),
+per AS (SELECT e, count(*) AS p, max(s) AS best FROM hits GROUP BY e),
+whole AS (
+  SELECT q.question_key, split_file, benchmark, role, coalesce(len(x), 0) AS n_words, coalesce(covered, 0) AS covered, coalesce(spans, 0) AS spans, coalesce(p, 0) AS partners, coalesce(best, 0) AS best
+  FROM q LEFT JOIN cov USING (question_key) LEFT JOIN span USING (question_key) LEFT JOIN per ON per.e = q.question_key WHERE role IN ('heldout', 'test')
+)
+"""
 SQL = {
     "p6_found": _PAIRS + "SELECT least(t, e) AS question_key_a, greatest(t, e) AS question_key_b FROM hits",
-    "p6_report": _PAIRS + """
-, per AS (SELECT e, count(*) AS p, max(s) AS best FROM hits GROUP BY e)
-SELECT split_file, benchmark, role, count(*) AS questions, count(p) AS overlapping, CAST(sum(coalesce(p, 0)) AS BIGINT) AS pairs, count(*) FILTER (best >= 1) AS same_words
-FROM q LEFT JOIN per ON per.e = q.question_key WHERE role IN ('heldout', 'test') GROUP BY split_file, benchmark, role
+    "p6_coverage": _COVERAGE + "SELECT question_key, CAST(n_words AS INT) AS n_words, CAST(covered AS INT) AS covered, CAST(spans AS INT) AS spans, CAST(partners AS BIGINT) AS partners FROM whole",
+    "p6_report": _COVERAGE + """
+SELECT split_file, benchmark, role, count(*) AS questions, count(*) FILTER (partners > 0) AS overlapping, CAST(sum(partners) AS BIGINT) AS pairs, count(*) FILTER (best >= 1) AS same_words,
+  CAST(sum(n_words) AS BIGINT) AS words, CAST(sum(covered) AS BIGINT) AS covered_words, count(*) FILTER (n_words > 0 AND covered = n_words) AS covered_whole
+FROM whole GROUP BY split_file, benchmark, role
 """,
 }
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p6_found": p6_found, "p6_coverage": p6_coverage, "p6_report": p6_report}
