@@ -1,20 +1,17 @@
 """Problem 6: the same or near-same records across splits, by Aho-Corasick scans.
 
-Evaluation records are normalised and cut into passages of several consecutive words. The passages of a shard of
-records make one automaton, which scans the training texts; matched intervals are merged into the part of each
-evaluation record that stands in training texts (``coverage``), and into the part of one record that one training
-text covers, from which pairs are chosen and then verified (``scan``).
-
-A text is scanned in two normal forms:
-
-* the running form, its words in lower case as they follow each other. Passages are tiles of ``TILE`` words of the
-  evaluation record (the last one ends with it; a shorter record is one tile), matched wherever they stand in the
-  training text, so that a record inside a longer text is seen.
-* the ordered form, its distinct words in one order for all records, rare ones first. Passages are two neighbouring
-  words of it. If two sets share at least 0.7 of their union, c common and d other words, then c >= d + 2 or the
-  sets are equal; the d others cut the ordered union into d + 1 runs at most, so that at least c - d - 1 >= 1
-  passages are common, whatever the word order of the texts was. The first passages of a record in that order, all
-  but the least number of common ones less one, therefore hold a common one (prefix filter), and no pair is lost.
+Evaluation records are normalised to their words in lower case as they follow each other (the running form) and cut
+into passages. The passages of a shard of records make one automaton, which scans the running form of the training
+texts; matched intervals are merged into the part of each evaluation record that stands in training texts
+(``coverage``), and into the part of a record that one text covers.
+
+Passages are tiles of ``TILE`` consecutive words (the last one ends with the record; a shorter record is one tile),
+matched wherever they stand in the training text, so that a record inside a longer text is seen. As near-sameness is
+measured on sets of words and their order may change, the rarest words of a record are passages too: of its n
+distinct words in one order for all records, rare ones first, the first n - ceil(t * n) + 1. Two sets that share t of
+their union share one of these on either side, and a text of m words must hold all but n - c of them, where c is the
+least number of common words; so pairs are chosen where that many of the rarest words are matched, none is lost, and
+the sets of words of the chosen ones are compared.
 
 Volume: each training text goes only to the shards that own one of its passages, as a join of passage hashes tells;
 shards and blocks hold a bounded amount of text, and a block has at least as much text as the shard that joins it, so that what
@@ -49,7 +46,6 @@ SHARD_CHARACTERS = 4_000_000
 BLOCK_CHARACTERS = 8_000_000
 LISTED = 20_000
 LISTED_LENGTH = 64
-BOUND = "\x01"
 
 
 def tokens_of(column: str):
@@ -57,18 +53,14 @@ def tokens_of(column: str):
     return F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
-def least_common(n: int, m: int, similar: float) -> int:
-    """The least number of passages that ordered sets of n and m words have in common if they are near the same."""
-    common = math.ceil(similar / (1 + similar) * (n + m) - 1e-9)
-    return 3 * common - n - m - 1
+def least_common(n, m, similar: float):
+    """The least number of common words of near-same sets of n and m words."""
+    return np.ceil(similar / (1 + similar) * (n + m) - 1e-9).astype(np.int64)
 
 
-def passages(n: int, similar: float) -> int:
-    """How many of the first passages of n ordered words must hold a common one."""
-    if n < 2:
-        return n
-    partners = range(math.ceil(similar * n - 1e-9), math.floor(n / similar + 1e-9) + 1)
-    return n - min(least_common(n, m, similar) for m in partners)
+def rarest(n: int, similar: float) -> int:
+    """How many of n words, from the rarest on, are passages."""
+    return n - math.ceil(similar * n - 1e-9) + 1
 
 
 def tiles(tokens: list[str]) -> list[tuple[int, int]]:
@@ -87,7 +79,7 @@ def frequent_words(texts: DataFrame, column: str = "running", listed: int = LIST
 
 
 def prepared(texts: DataFrame, listed: dict[str, int], similar: float, short: list[int]) -> DataFrame:
-    """(side, class, running, ordered, routes): the two forms and the hashes of the passages.
+    """(side, class, running, rare, routes): the running form, its rarest words and the hashes of the passages.
 
     ``short`` are the lengths of evaluation records of less than a tile.
     """
@@ -98,89 +90,76 @@ def prepared(texts: DataFrame, listed: dict[str, int], similar: float, short: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, h = shared.value, xxhash.xxh64_intdigest
-        signed = lambda texts: np.fromiter((h(t) for t in texts), np.uint64, len(texts)).astype(np.int64)
-        first: dict[int, int] = {}
         for batch in batches:
-            ordered, routes = [], []
+            rare, routes = [], []
             for side, text in zip(batch.column("side").to_pylist(), batch.column("running").to_pylist()):
                 words = text.split(" ")[1:-1]
                 order = sorted(set(words), key=lambda w: (rank.get(w, 0), h(w), w))
-                n = len(order)
-                if n not in first:
-                    first[n] = passages(n, similar)
-                own = [f"{BOUND}{a}{BOUND}{b}{BOUND}" for a, b in zip(order[: first[n]], order[1 : first[n] + 1])] if n > 1 else [f"{BOUND}{w}{BOUND}" for w in order]
+                order = order[: rarest(len(order), similar)]
                 if side == "eval":
                     spans = [words[a:b] for a, b in tiles(words)]
                 else:
                     spans = [words[i : i + k] for k in lengths for i in range(len(words) - k + 1)]
-                own += {f" {' '.join(s)} " for s in spans}
-                ordered.append(f"{BOUND}{BOUND.join(order)}{BOUND}")
-                routes.append(np.unique(signed(own)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "class", "running")), pa.array(ordered, pa.string()), pa.array(routes, pa.list_(pa.int64()))], names=["side", "class", "running", "ordered", "routes"])
+                own = {*order, *(" ".join(s) for s in spans)}
+                rare.append(" ".join(order))
+                routes.append(np.unique(np.fromiter((h(p) for p in own), np.uint64, len(own))).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "class", "running")), pa.array(rare, pa.string()), pa.array(routes, pa.list_(pa.int64()))], names=["side", "class", "running", "rare", "routes"])
 
-    return texts.select("side", "class", "running").mapInArrow(run, "side string, class binary, running string, ordered string, routes array<bigint>")
+    return texts.select("side", "class", "running").mapInArrow(run, "side string, class binary, running string, rare string, routes array<bigint>")
 
 
 def matched(records: pd.DataFrame, texts: pd.DataFrame, similar: float) -> pd.DataFrame:
-    """Scan the texts by the automaton of the records: near-same pairs (train, eval, similarity) and merged intervals (eval, begin, end)."""
+    """Scan the texts by the automaton of the records: near-same pairs (train, eval, similarity, covered) and merged intervals (eval, begin, end)."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    owners: dict[str, list[tuple[int, int]]] = {}
-    sets, spans = [], []
-    for i, (running, ordered) in enumerate(zip(records["running"], records["ordered"])):
+    numbers: dict[str, int] = {}
+    owners: list[list[int]] = []  # of the passages that are rare words of a record
+    sets, parts_of, n_tiles, n_words = [], [], [], []
+    for i, (running, rare) in enumerate(zip(records["running"], records["rare"])):
         words = running.split(" ")[1:-1]
-        order = ordered.split(BOUND)[1:-1]
-        sets.append(frozenset(order))
-        spans.append(tiles(words))
-        for k, (a, b) in enumerate(spans[-1]):
-            owners.setdefault(f" {' '.join(words[a:b])} ", []).append((i, k))
-        for at in range(passages(len(order), similar) if len(order) > 1 else len(order)):
-            owners.setdefault(BOUND + BOUND.join(order[at : at + 2]) + BOUND, []).append((i, at))
+        sets.append(frozenset(words))
+        own = [(a, b, f" {' '.join(words[a:b])} ") for a, b in tiles(words)]
+        n_tiles.append(len(own))
+        n_words.append(len(words))
+        first = set(rare.split(" "))
+        own += [(a, a + 1, f" {w} ") for a, w in enumerate(words) if w in first]
+        for _, _, passage in own:
+            if passage not in numbers:
+                numbers[passage] = len(owners)
+                owners.append([])
+        for word in first:
+            owners[numbers[f" {word} "]].append(i)
+        parts_of.append([((a, b), numbers[p]) for a, b, p in own])
     keys = records["class"].tolist()
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    first = np.array([passages(int(c), similar) for c in n], dtype=np.int64)
-    width = int(n.max(initial=0)) + 2
-    held: list[np.ndarray] = []
-    for passage, own in owners.items():
-        ordered = passage[0] == BOUND
-        automaton.add_word(passage, (ordered, len(held)))
-        own = np.array(own, dtype=np.int64)
-        held.append(own[:, 0] * width + own[:, 1] if ordered else own)
-    seen = np.zeros(len(held), dtype=bool)
-    pairs: list[tuple[bytes, bytes, float]] = []
-    if owners:
+    first_n = np.array([rarest(int(c), similar) for c in n], dtype=np.int64)
+    owned = [np.array(o, dtype=np.int64) for o in owners]
+    seen: set[int] = set()
+    pairs: list[tuple[bytes, bytes, float, float]] = []
+    if numbers:
+        automaton = ahocorasick.Automaton()
+        for passage, number in numbers.items():
+            automaton.add_word(passage, number)
         automaton.make_automaton()
-        for text, running, ordered in zip(texts["class"], texts["running"], texts["ordered"]):
-            hit = []
-            for _, (is_ordered, p) in automaton.iter(running + ordered):
-                if is_ordered:
-                    hit.append(held[p])
-                else:
-                    seen[p] = True
+        for text, running in zip(texts["class"], texts["running"]):
+            hit = {p for _, p in automaton.iter(running)}
             if not hit:
                 continue
-            own = ordered.split(BOUND)[1:-1]
-            m = len(own)
-            at = np.concatenate(hit)
-            # an interval is two neighbouring words: their union is what the text covers of the record
-            covered = np.unique(np.concatenate((at, at + 1)) if m > 1 else at) // width
-            near, size = np.unique(covered, return_counts=True)
-            common = np.ceil(similar / (1 + similar) * (n[near] + m) - 1e-9)
-            least = np.where(n[near] > 1, first[near] - (n[near] - 1) + (3 * common - n[near] - m - 1), 0)
-            near = near[(size >= least + (least > 0)) & (n[near] >= similar * m - 1e-9) & (similar * n[near] <= m + 1e-9)]
-            mine = frozenset(own)
-            for i in near.tolist():
+            seen |= hit
+            near, count = np.unique(np.concatenate([owned[p] for p in hit]), return_counts=True)
+            mine = frozenset(running.split(" ")[1:-1])
+            m = len(mine)
+            least = first_n[near] - (n[near] - least_common(n[near], m, similar))
+            for i in near[(count >= least) & (n[near] >= similar * m - 1e-9) & (similar * n[near] <= m + 1e-9)].tolist():
                 both = len(mine & sets[i])
                 union = m + len(sets[i]) - both
                 if both >= similar * union - 1e-9:
-                    pairs.append((text, keys[i], both / union))
-    marks: dict[int, list[tuple[int, int]]] = {}
-    for p in np.flatnonzero(seen):
-        for i, k in held[p].tolist():
-            marks.setdefault(i, []).append(spans[i][k])
-    merged = [(keys[i], a, b) for i, own in marks.items() for a, b in merge(own)]
-    return pd.concat([pd.DataFrame(pairs, columns=["train", "eval", "similarity"]), pd.DataFrame(merged, columns=["eval", "begin", "end"]).astype({"begin": "Int32", "end": "Int32"})])[["train", "eval", "similarity", "begin", "end"]]
+                    covered = sum(b - a for a, b in merge([span for span, p in parts_of[i] if p in hit]))
+                    pairs.append((text, keys[i], both / union, covered / n_words[i]))
+    merged = []
+    for i, key in enumerate(keys):
+        merged += [(key, a, b) for a, b in merge([span for span, p in parts_of[i][: n_tiles[i]] if p in seen])]
+    return pd.concat([pd.DataFrame(pairs, columns=["train", "eval", "similarity", "covered"]), pd.DataFrame(merged, columns=["eval", "begin", "end"]).astype({"begin": "Int32", "end": "Int32"})])[["train", "eval", "similarity", "covered", "begin", "end"]]
 
 
 def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,9 +173,7 @@ def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scan(texts: DataFrame, similar: float = SIMILAR, shard_characters: int = SHARD_CHARACTERS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
-    """(train, eval, similarity) of near-same classes, and (eval, begin, end) of the matched intervals of each, from (side, class, running)."""
-    if similar < 0.7:
-        raise ValueError("two neighbouring words are only certain to be common from a similarity of 0.7 on")
+    """(train, eval, similarity, covered) of near-same classes, and (eval, begin, end) of the matched intervals of each, from (side, class, running)."""
     size = texts.filter("side = 'eval'").agg(
         F.sum(F.length("running").cast("bigint")).alias("n"), F.collect_set(F.when(F.size(F.split("running", " ")) < TILE + 2, F.size(F.split("running", " ")) - 2)).alias("short")).first()
     shards = max(1, -(-(size["n"] or 0) // shard_characters))
@@ -206,13 +183,13 @@ def scan(texts: DataFrame, similar: float = SIMILAR, shard_characters: int = SHA
     train = known.filter("side = 'train'")
     owned = records.select(F.explode("routes").alias("route"), "shard").distinct()
     routed = train.select("class", F.explode("routes").alias("route")).join(owned, "route").select("class", "shard").distinct()
-    sent = durable(routed.join(train.select("class", "running", "ordered"), "class"), "sent")
+    sent = durable(routed.join(train.select("class", "running"), "class"), "sent")
     total = sent.agg(F.sum(F.length("running").cast("bigint"))).first()[0] or 0
     blocks = max(1, -(-total // (shards * block_characters)))
     # a block has more text than the shard it is joined with, so copies of shards do not outgrow the texts
     sent = sent.withColumn("block", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(blocks)).cast("int"))
-    ready = records.select("class", "running", "ordered", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    schema = "train binary, eval binary, similarity double, begin int, end int"
+    ready = records.select("class", "running", "rare", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    schema = "train binary, eval binary, similarity double, covered double, begin int, end int"
     return sent.groupBy("shard", "block").cogroup(ready.groupBy("shard", "block")).applyInPandas(lambda t, r: matched(r, t, similar), schema)
 
 
@@ -247,8 +224,8 @@ class Overlap:
         return self.records.filter((F.col("side") == side) & F.col("class").isNotNull()).select(F.col("class").alias(side), *columns)
 
     def pairs(self) -> DataFrame:
-        """(train_key, eval_key, similarity) of all members of near-same classes."""
-        links = self.found.filter("train is not null").select("train", "eval", "similarity")
+        """(train_key, eval_key, similarity, covered) of all members of near-same classes."""
+        links = self.found.filter("train is not null").select("train", "eval", "similarity", "covered")
         key = F.col("question_key")
         return links.join(self.members("train", key.alias("train_key")), "train").join(self.members("eval", key.alias("eval_key")), "eval")
 
