@@ -3,7 +3,8 @@ import ast
 import pytest
 from conftest import rows
 
-from tributary.llm.answers import Endings, Languages, defects, fit_endings, fit_languages, is_truncated, without_question
+from tributary.llm.answers import COMPLETE, Endings, Languages, defects, end_classes, fit_endings, fit_languages, fit_refusals, is_truncated, without_question
+from tributary.llm.refusals import Refusals
 from tributary.llm.sources import diagnosed, judged
 
 GOOD_PYTHON = ["", "x = 1\n", "def f(a, /, b=1, *c, d, **e) -> int:\n  return a\n", "match x:\n    case {'a': [1, *_]} if y: pass\n    case A(b=2) | None: pass\n", "f'{x!r:>{w}} {{}} {y=}'\n", "async def g():\n    async with a as b, c: await d\n", "type X[T] = list[T]\nmatch = 3\nprint(match)\n", "try: pass\nexcept* E as e: pass\n", "a: int = (yield)\n", "x = [i async for i in y if (z := i)]\n", "with (open(a) as b, c): pass\n", "lambda *a, k=1, **b: (a, b)\n", "if a:\n\tb\n\tc\n", "a = 1 if b else 2; del a, (c)\n", "@d(1)\nclass A(B, m=C): x: int\n", "x = '''a\nb''' \"c\"\n", "print(*a, **b)\n", "a[1:2, ::3] = b = c\n", "0x_ff + 1_0j\n"]
@@ -58,9 +59,9 @@ def models(spark):
     german = ["der verbund der tabellen benutzt den schlüssel und die umbenennung ist riskant", "nach dem letzten lauf fehlten noch zeilen weil der abgleich zu spät kam"]
     docs = [(i, lang, t) for i, (lang, t) in enumerate([("en", t) for t in english * 4] + [("DE", t) for t in german * 4] + [(None, "x"), ("und", "zz")])]
     languages = fit_languages(spark.createDataFrame(docs, "doc_id long, lang string, text string"))
-    endings = fit_endings(spark.createDataFrame([(t + ".",) for t in english * 3], "text string"))
+    answers = spark.createDataFrame([("which?", t + ".") for t in english * 30], "question string, text string")
     assert languages.names == ["de", "en"]
-    return languages, endings
+    return languages, fit_endings(answers.select("text")), fit_refusals(answers)
 
 
 def test_defects(spark, models):
@@ -76,14 +77,45 @@ def test_defects(spark, models):
     got = dict(rows(defects(df, *models)))
     assert got == {i: d for i, _, _, d in cases if d}
     assert defects(df.limit(0), *models).count() == 0
-    assert defects(df, Languages([], __import__("numpy").zeros((0, 1 << 16))), Endings({})).count() > 0
+    assert defects(df, Languages([], __import__("numpy").zeros((0, 1 << 16))), Endings({}), Refusals([])).count() > 0
+
+
+def test_refusals():
+    refusals = Refusals([])
+    asked = "Who reads `orders`?"
+    for text in ["I am not going to answer this question about `orders`.", "Sorry, this falls outside my remit.", "Mi spiace, non posso rispondere a questa domanda.", "I cannot answer that. " * 20, "Sorry. I cannot help with that. Is there anything else? I hope you understand.", "I would not like to comment on that."]:
+        assert refusals.refuses(text, asked), text
+    for text in ["The job cannot run twice in a row because a lock is held.", "Rows that do not match are dropped, so the join cannot fan out.", "I cannot answer that. What I can see: `sales` reads `orders` in `x.py`.", "The graph cannot determine the type of `orders`, sorry.", "Yes.", "42", "", "The column cannot be null."]:
+        assert not refusals.refuses(text, asked), text
+
+
+def test_endings_decide():
+    from collections import Counter
+
+    from tributary.llm.answers import _ending_counts
+
+    seen, ended = Counter(), Counter()
+    _ending_counts(["Column `a` comes from `b.c`, which the owner keeps (see `d`). It is read by 3 jobs."] * 50, seen, ended)
+    _ending_counts(COMPLETE, seen, ended, only_whole=True)
+    endings = Endings({c: (ended[c], n) for c, n in seen.items()})
+    for text in ["It is read by 3 jobs.", "Yes", "`x_y`", "`a` -> `b`", "- `p` (q.py)\n- `r` (s.py)"]:
+        assert not is_truncated(text, endings), text
+    for text in ["It is read by 3 jo", "Column `a` comes from", "which the owner keeps (see", "so:\n```\nx = 1", "- `p` (q.py)\n- `r", "It is read by,"]:
+        assert is_truncated(text, endings), text
+    assert end_classes("")[-1] == "<s>"
+
+
+def test_many_repeats_of_the_question():
+    asked = "Which tables read the column after it was renamed?"
+    assert without_question(" ".join([asked] * 3000), asked) == ("", True)
+    assert without_question("Why now", "why now?") == ("", True) and without_question("why now or then", "why now?") == ("why now or then", False)
 
 
 def test_endings_count_every_answer(spark):
     texts = spark.range(30_000).selectExpr("concat('row ', id, ' ends here.') AS text")
-    assert fit_endings(texts).counts[".",] == (30_000, 30_000)
+    assert fit_endings(texts).counts["."][0] >= 30_000
 
 
 def test_small_parts():
     assert without_question("What is a b c d? yes", "What is a b c d?") == ("yes", False)
-    assert not is_truncated("", Endings({})) and is_truncated("see (", Endings({}))
+    assert not is_truncated("", Endings({})) and not is_truncated("see (", Endings({})) and is_truncated("see `a", Endings({}))

@@ -1,9 +1,10 @@
 """Problem 7: defective answers to questions.
 
-Two small models are fitted first, by distributed counts: a character trigram naive Bayes of languages (from a
-bounded sample of labelled documents, about ``LANGUAGE_ROWS`` rows a language) and the likelihood that a text
-ends after a word n-gram (from all reference answers). Each answer then goes through
-one pass: emptiness, restated question, refusal, language against the question's, and its ending.
+Three small models are fitted first: a character trigram naive Bayes of languages (from a bounded sample of labelled
+documents, about ``LANGUAGE_ROWS`` rows a language), the likelihood that a text ends after a word n-gram (from all
+reference answers and the short complete forms of ``COMPLETE``), and a classifier of declining sentences
+(``refusals``). Each answer then goes through one pass: emptiness, restated question, refusal, language against the
+question's, and the likelihood of its ending; only code that is left open is found without a model.
 
 Defined results: a null answer is empty; with a null or empty question an answer is neither copied nor in
 another language; of several defects the first of empty, copied, refusal, other_language, truncated is
@@ -13,7 +14,7 @@ An empty table gives no rows, and without samples the models decide nothing. Ext
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,31 +26,32 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import latest_version
 from ..queries.tables import table
+from .refusals import REFERENCE_ROWS, Refusals
 
 LANGUAGE_ROWS = 2_000
 HELD_CONTEXTS = 200_000
 BUCKETS = 1 << 16
+#: An answer whose likelihood to end where it does is below this is cut off.
+LEAST_LIKELY = 0.03
+#: Words seen less often than this, and in endings less often than half as likely as the above, are as unseen ones.
+LEAST_SEEN = 200
+#: Weight of the short complete forms beside all reference answers.
+COMPLETE_SHARE = 0.2
+#: Texts of fewer tokens are a context as a whole.
+SHORT = 13
+COMPLETE = [
+    "`a`", "a_b", "Yes", "No", "True", "False", "None", "Sí", "Si", "Oui", "Non", "Ja", "Nein", "7", "1,204", "3.5", "12%", "-3", "`a`, `b`", "`a`, `b`, `c`", "`a` -> `b`", "`a` -> `b` -> `c`", "`a` and `b`",
+    "- `a`", "- `a`\n- `b`", "- `a` (x.py)", "- `a` (x.py)\n- `b` (y.py)", "1. `a`\n2. `b`", "- a_b: 3",
+]
 
 # Texts that stand for no answer, compared without case and marks.
 PLACEHOLDERS = {"", "null", "none", "nil", "na", "n/a", "nan", "empty", "no output", "no answer", "answer", "no response", "undefined", "tbd", "todo", "blank"}
 ERROR_NOTICE = re.compile(r"^\W*(?:error|exception|traceback|internal error|fatal)\b\s*[:(\]]", re.I)
 INVISIBLE = re.compile(r"[\s­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯⠀ㅤ﻿ﾠ]+")
 
-# How refusals are worded, by language.
-REFUSALS = re.compile(
-    r"(?:"
-    r"\b(?:cannot|can't|can not|could not|couldn't|won't|will not|unable to|not able to|not be able to|refuse to|decline to|have to decline|must decline|must refrain|refrain from|prefer not to|rather not|not in a position to|not allowed to|not permitted to)\b"
-    r"|\bnot (?:be )?appropriate\b|\bnot something i can\b|\bnot something that i can\b|\boutside (?:of )?what i can\b|\bbeyond what i can\b|\bdecline this\b|\bnot comfortable\b|\bas an? (?:ai|language) (?:model|assistant)\b"
-    r"|\btut mir leid\b|\bnicht (?:beantworten|helfen|weiterhelfen|antworten)\b|\bkeine auskunft\b|\bkeine antwort\b|\bmöchte (?:ich )?nicht\b"
-    r"|\bdésolé|\bne (?:peux|puis) pas\b|\bpas possible\b|\bpréfère ne pas\b|\bne suis pas (?:en mesure|autorisé)"
-    r"|\blo siento\b|\bno puedo\b|\bno (?:me )?es posible\b|\bprefiero no\b|\bno estoy (?:autorizad|en condiciones)"
-    r"|не могу|извините|无法|不能回答|抱歉"
-    r")",
-    re.I,
-)
 CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 QUOTED = re.compile(r"`[^`\n]*`?|„[^“”\n]*[“”]|“[^”\n]*”|«[^»\n]*»|\"[^\"\n]*\"|(?<!\w)'[^'\n]+'(?!\w)|\S*[_/\\]\S*|\S*\d\S*")
-FACT = re.compile(r"`[^`]+`|\w_\w|\w/\w+\.\w|\b\d+\b")
+_ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+")
 WORD = re.compile(r"`[^`\n]*`|\w+|[^\w\s]")
 _BLANKS = re.compile(r"\s+")
 LETTERS = re.compile(r"[^\W\d_]", re.U)
@@ -152,73 +154,101 @@ def fit_languages(documents: DataFrame, rows: int = LANGUAGE_ROWS, least: int =
 
 
 def end_classes(text: str) -> list[str]:
-    """Tokens of a text, identifiers and numbers as classes."""
-    out = []
-    for token in WORD.findall(text):
-        if token[0] == "`":
-            out.append("<id>" if len(token) > 1 and token[-1] == "`" else "<open>")
-        elif "_" in token:
-            out.append("<id>")
-        elif token.isdigit():
-            out.append("<n>")
-        else:
-            out.append(token.lower())
+    """Tokens of a text from its start mark on: identifiers and numbers as classes, line ends and list items marked."""
+    out = ["<s>"]
+    for k, line in enumerate(text.strip().split("\n")):
+        item = _ITEM.match(line)
+        if k:
+            out.append("<nl>")
+        if item:
+            out.append("<item>")
+            line = line[item.end() :]
+        for token in WORD.findall(line):
+            if token[0] == "`":
+                token = "<id>" if len(token) > 1 and token[-1] == "`" else "<open>"
+            elif "_" in token:
+                token = "<id>"
+            elif token.isdigit():
+                token = "<n>"
+            out.append(("-" if item else "") + token.lower())
     return out
 
 
+def _kind(token: str) -> str:
+    """What a token counts as where it was not seen: by list item or not, a word, a class or a mark."""
+    item, bare = token[1:2] and token[0] == "-", token.lstrip("-")
+    return ("<item> " if item else "") + (bare if bare[:1] == "<" else "<word>" if bare[:1].isalnum() else "<mark>")
+
+
+def _contexts(tokens: list[str], i: int) -> list[str]:
+    """The contexts of token i, its kind first."""
+    found = ["kind\t" + _kind(tokens[i]), tokens[i], f"{tokens[i - 1]}\t{tokens[i]}"]
+    return [*found, "whole\t" + "\t".join(tokens[1 : i + 1])] if i < SHORT else found
+
+
 class Endings:
-    """Likelihood that a text ends after its last tokens: counts of token n-grams, backing off to shorter ones."""
+    """Likelihood that a text ends after its last tokens: the best of what its last one, its last two and, if it is short, all give."""
 
-    def __init__(self, counts: dict[tuple[str, ...], tuple[int, int]], weight: float = 4.0):
+    def __init__(self, counts: dict[str, tuple[float, float]], weight: float = 4.0):
         self.counts, self.weight = counts, weight
 
     def likelihood(self, tokens: list[str]) -> float:
-        p = None
-        last = tokens[-1] if tokens else ""
-        kind = "<word>" if last[:1].isalnum() else "<mark>"
-        for context in ((kind,), tuple(tokens[-1:]), tuple(tokens[-2:])):
+        ended, seen = self.counts.get("kind\t" + _kind(tokens[-1]), (0, 0))
+        base = (ended + self.weight / 2) / (seen + self.weight)
+        best = None
+        for context in _contexts(tokens, len(tokens) - 1)[1:]:
             ended, seen = self.counts.get(context, (0, 0))
-            p = (ended + self.weight * (0.5 if p is None else p)) / (seen + self.weight)
-        return p
+            if seen:
+                best = max(best or 0.0, (ended + self.weight * base) / (seen + self.weight))
+        return base if best is None else best
+
 
+def _ending_counts(texts: list[str], seen: Counter, ended: Counter, weight: float = 1, only_whole: bool = False) -> None:
+    for text in texts:
+        tokens = end_classes(text)
+        if len(tokens) > 1:
+            for counter, of in ((seen, range(1, len(tokens))), (ended, (len(tokens) - 1,))):
+                for i in of:
+                    for context in _contexts(tokens, i)[3 if only_whole else 0 :]:
+                        counter[context] += weight
 
-def fit_endings(answers: DataFrame, least: int = 2) -> Endings:
-    """End counts of token n-grams over all complete answers; n-grams seen fewer than ``least`` times are left to shorter ones."""
+
+def fit_endings(answers: DataFrame) -> Endings:
+    """End counts of token n-grams over all complete answers; contexts that end no text, or too few to decide, stay with the executors.
+
+    What is kept is at most three contexts a text, and of those only the ones that make an ending likely.
+    """
     whole = answers.filter("length(text) > 0").select("text")
 
-    def rows(seen: Counter, ended: Counter) -> pa.RecordBatch:
+    def rows(seen: Counter, ended: Counter, texts: int) -> pa.RecordBatch:
         keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ended[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["context", "ended", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array([*(ended[k] for k in keys), 0], pa.int64()), pa.array([*(seen[k] for k in keys), texts], pa.int64())], names=["context", "ended", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         ended: Counter = Counter()
+        texts = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = end_classes(text.strip())
-                if not tokens:
-                    continue
-                kinds = ["<word>" if t[:1].isalnum() else "<mark>" for t in tokens]
-                seen.update(kinds)
-                seen.update(tokens)
-                seen.update(f"{a}\t{b}" for a, b in zip(tokens, tokens[1:]))
-                ended.update([kinds[-1], tokens[-1], "\t".join(tokens[-2:]) if len(tokens) > 1 else ""])
+            texts += batch.num_rows
+            _ending_counts(batch.column(0).to_pylist(), seen, ended)
             if len(seen) > HELD_CONTEXTS:
-                yield rows(seen, ended)
-                seen, ended = Counter(), Counter()
-        yield rows(seen, ended)
+                yield rows(seen, ended, texts)
+                seen, ended, texts = Counter(), Counter(), 0
+        yield rows(seen, ended, texts)
 
-    counts = whole.mapInArrow(run, "context string, ended bigint, seen bigint").groupBy("context").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")).filter(F.col("seen") >= least).toPandas()
-    return Endings({tuple(c.split("\t")): (int(e), int(s)) for c, e, s in zip(counts["context"], counts["ended"], counts["seen"])})
+    counts = whole.mapInArrow(run, "context string, ended bigint, seen bigint").groupBy("context").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen"))
+    # marks, and words that are seen often, are known even if they end no text; all else only matters where it makes an ending likely
+    single = ~F.col("context").contains("\t") & (~F.col("context").rlike(r"^-?[\p{L}\p{N}]") | (F.col("seen") >= LEAST_SEEN))
+    counts = counts.filter((F.col("context") == "") | F.col("context").startswith("kind\t") | (F.col("ended") >= LEAST_LIKELY / 2 * F.col("seen")) | single)
+    held = {c: (float(e), float(s)) for c, e, s in counts.toPandas().itertuples(index=False)}
+    texts = held.pop("", (0, 0))[1]
+    seen, ended = Counter({c: s for c, (_, s) in held.items()}), Counter({c: e for c, (e, _) in held.items()})
+    _ending_counts(COMPLETE, seen, ended, max(1.0, COMPLETE_SHARE * texts / len(COMPLETE)), only_whole=True)
+    return Endings({c: (ended[c], n) for c, n in seen.items()})
 
 
 # ---- one answer ----------------------------------------------------------------------------------
 
-_CLOSERS = "\"'”“’»)]}*_"
-_STOPS = ".!?。！？…؟।"
-_SHORT = re.compile(r"^(?:yes|no|true|false|sí|si|oui|non|ja|nein|none|[+-]?\d[\d.,]*%?)$", re.I)
-_CHAIN = re.compile(r"^`[^`\n]+`(?:\s*(?:->|→|=>|,|;|and|und|et|y)\s*`[^`\n]+`)*$")
-_ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+(.*)$")
 _LABEL = re.compile(r"^\s*(?:--?|—|–|:)?\s*(?:answer|antwort|réponse|respuesta)?\s*:?\s*", re.I)
 
 
@@ -241,26 +271,22 @@ def _plain_words(text: str) -> list[str]:
 
 def without_question(answer: str, question: str | None) -> tuple[str, bool]:
     """What follows the restated question, and whether the answer is nothing but the question, perhaps altered."""
-    if not question:
+    asked = _plain_words(question or "")
+    if not asked:
         return answer, False
-    asked, given = _plain_words(question), _plain_words(answer)
-    if len(asked) < 4 or len(given) < 4:
-        return answer, False
-    same = 0
-    for a, b in zip(asked, given):
-        if a != b:
+    while True:
+        given = _plain_words(answer)
+        if given[: len(asked)] != asked:
             break
-        same += 1
-    if same == len(asked):
-        spot = 0
-        for n, match in enumerate(re.finditer(r"\w+", answer)):
-            if n == same - 1:
-                spot = match.end()
-                break
+        spot = next(itertools.islice(re.finditer(r"\w+", answer), len(asked) - 1, None)).end()
         rest = _LABEL.sub("", re.sub(r"^[`'\"”“).,;:?!\]]*", "", answer[spot:]), count=1)
         if not re.search(r"[^\W_]", rest):
             return "", True
-        return without_question(rest, question)
+        if len(asked) < 4:  # an answer may begin with the few words of a short question
+            return answer, False
+        answer = rest
+    if len(asked) < 4 or len(given) < 4:
+        return answer, "".join(asked) == "".join(given)
     count = Counter(asked)
     common = sum((Counter(given) & count).values())
     if common < 0.55 * len(given) or common < 0.45 * len(asked):
@@ -282,11 +308,6 @@ def without_question(answer: str, question: str | None) -> tuple[str, bool]:
     return answer, strange <= max(2, 0.12 * len(given)) and covered >= 0.6
 
 
-def is_refusal(answer: str) -> bool:
-    """Declines and states nothing: after the sentences that decline, or apologise, or offer something, no fact is left."""
-    return len(answer) < 1000 and not FACT.search(answer) and bool(REFUSALS.search(answer)) and len(_plain_words(answer)) <= 60
-
-
 def is_truncated(answer: str, endings: Endings) -> bool:
     text = answer.rstrip()
     if not text:
@@ -295,64 +316,42 @@ def is_truncated(answer: str, endings: Endings) -> bool:
         return True
     if text.endswith("```"):
         return False
-    last = text.rsplit("\n", 1)[-1]
-    if last.count("`") % 2:
-        return True
-    item = _ITEM.match(last)
-    if item:
-        body = item.group(1).rstrip()
-        if not body or body.count("(") > body.count(")") or body.count("[") > body.count("]"):
-            return True
-        if body[-1] in _STOPS:
-            return False
-        others = [m.group(1).rstrip() for line in text.split("\n")[:-1] if (m := _ITEM.match(line))]
-        if others:
-            # items of a list end alike
-            return not any(_shape(o) == _shape(body) for o in others)
-        return not (body.endswith(")") or _CHAIN.match(body))
-    core = text.rstrip(_CLOSERS)
-    if core and core[-1] in _STOPS:
-        return False
-    if text[-1] in ")" and last.count("(") <= last.count(")"):
-        return False
-    if _SHORT.match(text.strip()) or _CHAIN.match(last.strip()):
-        return False
-    tokens = end_classes(last)
-    if tokens and tokens[-1] in (",", ":", ";", "(", "[", "{", "-", "=", "/"):
+    if text.rsplit("\n", 1)[-1].count("`") % 2:
         return True
-    return endings.likelihood(tokens) < 0.05
-
-
-def _shape(item: str) -> str:
-    """How a list item ends: the mark, or the class of its last word."""
-    return item[-1] if item and not item[-1].isalnum() and item[-1] != "_" else "word"
+    return endings.likelihood(end_classes(text)) < LEAST_LIKELY
 
 
-def defect_of(answer: str | None, question: str | None, endings: Endings) -> tuple[str | None, str]:
+def defect_of(answer: str | None, question: str | None, endings: Endings, refusals: Refusals) -> tuple[str | None, str]:
     """(defect but for the language, the part of the answer to judge the language of)."""
     if is_empty(answer):
         return "empty", ""
     rest, copied = without_question(answer, question)
     if copied:
         return "copied", ""
-    if is_refusal(rest):
+    if refusals.refuses(rest, question):
         return "refusal", ""
     return ("truncated" if is_truncated(rest, endings) else None), rest
 
 
-def defects(results: DataFrame, languages: Languages, endings: Endings, least_letters: int = 24) -> DataFrame:
+def fit_refusals(answers: DataFrame) -> Refusals:
+    """The classifier of declining sentences, with a bounded sample of (question, text) as statements."""
+    sample = _sample(answers.filter("length(text) > 0"), REFERENCE_ROWS, "text").groupBy("text").agg(F.min("question").alias("question"))
+    return Refusals(sorted((r["question"] or "", r["text"]) for r in sample.collect()))
+
+
+def defects(results: DataFrame, languages: Languages, endings: Endings, refusals: Refusals, least_letters: int = 24) -> DataFrame:
     """(result_id, defect) of every defective row of (result_id, question, model_answer)."""
-    shared = results.sparkSession.sparkContext.broadcast((languages, endings))
+    shared = results.sparkSession.sparkContext.broadcast((languages, endings, refusals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, endings = shared.value
+        languages, endings, refusals = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 questions = batch.column("question").to_pylist()
                 found, parts = [], []
                 for answer, question in zip(batch.column("model_answer").to_pylist(), questions):
-                    defect, part = defect_of(answer, question, endings)
+                    defect, part = defect_of(answer, question, endings, refusals)
                     found.append(defect)
                     parts.append(prose(part) if question else "")
                 own, letters, script = languages.scores(parts)
@@ -378,7 +377,8 @@ def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     held = latest_version(results.select("result_id", "question", "model_answer", "model", "context_mode", "ingested_ts"), "result_id").filter("result_id is not null")
     languages = fit_languages(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     endings = fit_endings(results.select(F.col("reference_answer").alias("text")))
-    return held, defects(held, languages, endings)
+    refusals = fit_refusals(results.select("question", F.col("reference_answer").alias("text")))
+    return held, defects(held, languages, endings, refusals)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
