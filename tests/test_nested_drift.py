@@ -51,7 +51,7 @@ def test_drift_and_ingest(spark):
     by = {(r.file_name, r.line_no): r for r in typed.collect()}
     assert by["f2", 0].notes == "late key missing from the list" and by["f2", 1].score == 2
     assert json.loads(by["f1", 0]._rescued) == {"x.n": 5} and by["f3", 9]._error == "{cut" and by["s1"[:2], 1]._error == '{"a": NaN}'
-    later = {(r.file_name, r.line_no): r for r in replay(typed, "Score", "score", "bigint").collect()}
+    later = {(r.file_name, r.line_no): r for r in replay(typed, {"score": ("bigint", ["Score"])}).collect()}
     assert later["f3", 0].score == 2 and later["f3", 0]._rescued is None and later["f1", 0].score == 1
     assert drift(parse_records(spark.createDataFrame([], RUN))).count() == 0
 
@@ -74,3 +74,28 @@ def test_names_by_score_in_each_feed(spark):
     feeds = spark.createDataFrame([("x",), ("y",), ("z",)], "feed string")
     got = {r.feed: r.names for r in approved_names(report, feeds, ["a", "b"]).collect()}
     assert got == {"x": {"a": ["a"], "b": ["b", "n", "m"]}, "y": {"a": ["a", "n", "m"], "b": ["b"]}, "z": {"a": ["a", "n", "m"], "b": ["b"]}}
+
+
+def test_files_are_numbered_in_time_whatever_the_feed(spark):
+    import random
+
+    from tributary.operators.drift import numbered
+
+    rnd = random.Random(3)
+    files = [(rnd.choice("aaaab"), f"f{i:03}", rnd.choice([None, datetime(2024, 1, rnd.randint(1, 9))]), {"x": "string"}) for i in range(200)]
+    df = spark.createDataFrame(files, "feed string, file_name string, run_ts timestamp, schema map<string,string>")
+    got = {r.seq: (r.feed, r.run_ts, r.file_name) for r in numbered(df).collect()}
+    assert sorted(got) == list(range(200))
+    for feed in "ab":
+        assert [got[k][1:] for k in sorted(got) if got[k][0] == feed] == sorted(((t, n) for f, n, t, _ in files if f == feed), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        seqs = [k for k in sorted(got) if got[k][0] == feed]
+        assert seqs == list(range(seqs[0], seqs[0] + len(seqs)))
+    assert numbered(df.limit(0)).count() == 0
+
+
+def test_long_names_differ_at_the_end(spark):
+    t = [datetime(2024, 1, d) for d in (1, 2)]
+    stem = "b" + "e" * 120
+    data = [(1, "f", "a", t[0], 1, json.dumps({"k": "x", stem + "fst": 1}), 0), (2, "f", "b", t[1], 1, json.dumps({"k": "x", stem + "gnd": 700}), 0)]
+    got = rows(drift(parse_records(spark.createDataFrame(data, RUN))).select("change_kind", "field", "new_field"))
+    assert got == [("added", stem + "gnd", ""), ("removed", stem + "fst", "")]

@@ -2,8 +2,14 @@
 
 ``parse_records`` turns each JSON payload into a flat map of dotted paths to JSON texts. ``ingest``
 enforces a target schema on it: approved names of a target field are cast to its type, and whatever is
-unknown or does not cast stays, as JSON, in ``_rescued``. ``replay`` moves a rescued field into a typed
-column once it is approved. ``drift`` compares each file with the one before it in its feed.
+unknown or does not cast stays, as JSON, in ``_rescued``. ``replay`` moves rescued values into the typed
+columns once their names are approved.
+
+The report is read off the same rescue step: ``rescue`` ingests each file of a feed into the schema of the file
+before it (and that file into the schema of the next one), with the JSON types of the values in place of casts.
+A rescued field that the target does not know was added (or, the other way round, removed), one whose values
+have another type was retyped, and a removed and an added field with the same contents are one renamed field; the
+renames are what ``approved_names`` promotes.
 
 Defined results: a payload that is null or no JSON is kept with its text in ``_error`` and takes no part
 in the comparison; one that is JSON but no object has no fields; a name that occurs twice in one object
@@ -20,11 +26,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import durable
+from ..session import durable, partitions
 
 
 class _Point(str):
@@ -103,14 +109,8 @@ def _castable(kind: str, data_type: str) -> bool:
     return kind in accepted.get(data_type, {"list"})
 
 
-def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str] | Column]]) -> DataFrame:
-    """Typed columns of ``target`` (name to type and approved paths, first match holds) and ``_rescued``.
-
-    Paths may be an array column, where they differ between records.
-
-    An approved path whose value does not cast stays in ``_rescued`` beside the unknown ones.
-    """
-    keep = [c for c in parsed.columns if c not in ("fields", "_error", "_rescued", *target)]
+def _taken(target: dict[str, tuple[str, list[str] | Column]]) -> dict[str, Column]:
+    """For each target field the value and path of the first approved path in ``fields`` that casts."""
     taken: dict[str, Column] = {}
     for name, (data_type, paths) in target.items():
         def option(path: Column) -> Column:
@@ -122,128 +122,225 @@ def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str] | Column]])
         none = F.lit(None).cast(f"struct<value:{data_type},path:string>")
         if isinstance(paths, Column):
             present = F.filter(paths, lambda p: F.map_contains_key("fields", p))
-            taken[f"__taken_{name}"] = F.coalesce(F.try_element_at(F.filter(F.transform(present, lambda p: option(p)), lambda o: o.isNotNull()), F.lit(1)), none)
+            taken[name] = F.coalesce(F.try_element_at(F.filter(F.transform(present, lambda p: option(p)), lambda o: o.isNotNull()), F.lit(1)), none)
         else:
-            taken[f"__taken_{name}"] = F.coalesce(*[option(F.lit(path)) for path in paths], none)
-    held = parsed.withColumns(taken)
-    consumed = F.filter(F.array(*[F.col(f"`{t}`.path") for t in taken]), lambda p: p.isNotNull())
-    held = held.withColumn("__consumed", consumed)
-    rest = F.map_filter("fields", lambda k, _: ~F.array_contains(F.col("__consumed"), k))
-    return held.select(*keep, *[F.col(f"`__taken_{name}`.value").alias(name) for name in target], _rescued(rest).alias("_rescued"), "_error")
+            taken[name] = F.coalesce(*[option(F.lit(path)) for path in paths], none)
+    return taken
 
 
-def replay(table: DataFrame, path: str, name: str, data_type: str) -> DataFrame:
-    """Promote a rescued field: cast its rescued values into column ``name`` and take them out of ``_rescued``.
+def ingest(parsed: DataFrame, target: dict[str, tuple[str, list[str] | Column]]) -> DataFrame:
+    """Typed columns of ``target`` (name to type and approved paths, first match holds) and ``_rescued``.
 
-    Values that do not cast stay rescued; a value the column already has is not replaced.
+    Paths may be an array column, where they differ between records. An approved path whose value does not cast
+    stays in ``_rescued`` beside the unknown ones.
     """
-    held = F.from_json("_rescued", "map<string,string>")
-    raw = F.element_at(held, F.lit(path))
-    fresh = raw.try_cast(data_type)
-    old = F.col(name) if name in table.columns else F.lit(None).cast(data_type)
-    take = old.isNull() & fresh.isNotNull()
-    key = re.escape(json.dumps(path, ensure_ascii=False))
-    # The rescued JSON is flat and its keys are unique: cut one member without rewriting the others.
-    member = rf'{key}: (?:"(?:[^"\\]|\\.)*"|[^,\[\]{{}}"]+)'
-    cut = F.regexp_replace(F.regexp_replace("_rescued", rf"(?<=[{{]){member}(?:, )?|, {member}", ""), r"^\{\}$", "")
-    columns = [c for c in table.columns if c not in (name, "_rescued")]
-    return table.select(*columns, F.when(take, fresh).otherwise(old).alias(name), F.when(take, F.when(cut != "", cut)).otherwise(F.col("_rescued")).alias("_rescued"))
+    return _typed(parsed, target, [c for c in parsed.columns if c not in ("fields", "_error", "_rescued", *target)], {})
 
 
-# ---- comparison of files -------------------------------------------------------------------------
+def replay(table: DataFrame, target: dict[str, tuple[str, list[str] | Column]]) -> DataFrame:
+    """Promote rescued fields: cast the values of approved paths in ``_rescued`` into the columns of ``target`` and take them out of it.
 
-_TYPES = ["integer", "decimal", "string", "boolean", "list"]
+    Values that do not cast stay rescued; a value the column already has is not replaced, and what would have
+    replaced it stays rescued too. Columns that the table lacks are added.
+    """
+    keep = [c for c in table.columns if c not in ("_rescued", "_error", *target)]
+    old = {name: F.col(f"`{name}`") for name in target if name in table.columns}
+    held = table.select(*keep, *old.values(), "_rescued", F.col("_error").alias("__error"))
+    parsed = parse_records(held, "_rescued").withColumn("_error", F.col("__error")).drop("__error")
+    return _typed(parsed, target, keep, old)
+
+
+def _typed(parsed: DataFrame, target: dict, keep: list[str], old: dict[str, Column]) -> DataFrame:
+    taken = _taken(target)
+    fresh = {name: F.when(old[name].isNull(), F.col(f"`__taken_{name}`")) if name in old else F.col(f"`__taken_{name}`") for name in target}
+    held = parsed.withColumns({f"__taken_{name}": column for name, column in taken.items()})
+    consumed = F.filter(F.array(*[fresh[name]["path"] for name in target]), lambda p: p.isNotNull())
+    held = held.withColumn("__consumed", consumed)
+    rest = F.map_filter("fields", lambda k, _: ~F.array_contains(F.col("__consumed"), k))
+    typed = [F.coalesce(old[name], fresh[name]["value"]).alias(name) if name in old else fresh[name]["value"].alias(name) for name in target]
+    return held.select(*keep, *typed, _rescued(rest).alias("_rescued"), "_error")
 
 
-def observations(parsed: DataFrame) -> DataFrame:
-    """One row per record and field."""
-    return parsed.filter("_error is null").select("feed", "file_name", "run_ts", F.explode("fields").alias("field", "value")).select("feed", "file_name", "run_ts", "field", "value.type", "value.text")
+# ---- comparison of files -------------------------------------------------------------------------
 
+_TYPES = ["integer", "decimal", "string", "boolean", "list"]
 
-def numbered_files(parsed: DataFrame) -> DataFrame:
-    """The files of each feed with their number in time; a file of broken payloads only counts as a file without fields."""
-    files = parsed.groupBy("feed", "file_name").agg(F.min("run_ts").alias("run_ts"))
-    order = Window.partitionBy("feed").orderBy(F.col("run_ts").asc_nulls_first(), "file_name")
-    return files.withColumn("seq", F.row_number().over(order)).drop("run_ts")
 
+def schemas(parsed: DataFrame) -> DataFrame:
+    """(feed, file_name, run_ts, schema): each field of a file with the type of most of its non-null values, 'null' without any.
 
-def profiles(parsed: DataFrame) -> DataFrame:
-    """Type of each field in each file: what most of its non-null values have."""
-    counts = [F.count_if(F.col("type") == t).alias(t) for t in _TYPES]
-    whole = observations(parsed).groupBy("feed", "file_name", "field").agg(*counts, F.count("*").alias("n"))
+    A file of broken payloads only has an empty schema.
+    """
+    fields = F.explode_outer(F.when(F.col("_error").isNull(), F.col("fields"))).alias("field", "value")
+    counts = [F.count_if(F.col("value.type") == t).alias(t) for t in _TYPES]
+    whole = parsed.select("feed", "file_name", "run_ts", fields).groupBy("feed", "file_name", "field").agg(*counts, F.min("run_ts").alias("run_ts"))
     best = F.greatest(*_TYPES)
-    chosen = F.coalesce(*[F.when((F.col(t) == best) & (best > 0), F.lit(t)) for t in _TYPES])
-    return whole.select("feed", "file_name", "field", chosen.alias("type"), (F.col("n") - sum((F.col(t) for t in _TYPES), F.lit(0))).alias("n_null"), "n")
-
-
-def _name_parts(field: Column) -> Column:
+    chosen = F.coalesce(*[F.when((F.col(t) == best) & (best > 0), F.lit(t)) for t in _TYPES], F.lit("null"))
+    entries = F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", chosen.alias("type"))))
+    return whole.groupBy("feed", "file_name").agg(F.min("run_ts").alias("run_ts"), F.map_from_entries(entries).alias("schema"))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """``files`` with ``seq``: consecutive numbers of the files of each feed in time, by one range sort, so that a feed of any size is split."""
+    spark = files.sparkSession
+    order = [F.col("feed"), F.col("run_ts").asc_nulls_first(), F.col("file_name")]
+    held = durable(files.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "files")
+    part = F.shiftright("__id", 33)
+    sizes = {r[0]: r[1] for r in held.groupBy(part).count().collect()}  # one row a partition
+    start, begins = 0, []
+    for number in sorted(sizes):
+        begins += [F.lit(number), F.lit(start)]
+        start += sizes[number]
+    begin = F.create_map(*begins)[part] if begins else F.lit(0)
+    return held.select(*files.columns, (begin + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("bigint").alias("seq"))
+
+
+def neighbours(files: DataFrame) -> DataFrame:
+    """(feed, file_name, seq, own, before, after, next_file): the schemas of each file, of the one before it and of the one after it."""
+    one = lambda by, **held: files.select("feed", (F.col("seq") + by).alias("seq"), *(F.col(c).alias(n) if c else F.lit(None).cast(t).alias(n) for n, (c, t) in held.items()))
+    schema = "map<string,string>"
+    whole = one(0, file_name=("file_name", ""), own=("schema", ""), before=(None, schema), after=(None, schema), next_file=(None, "string"))
+    whole = whole.unionByName(one(1, file_name=(None, "string"), own=(None, schema), before=("schema", ""), after=(None, schema), next_file=(None, "string")))
+    whole = whole.unionByName(one(-1, file_name=(None, "string"), own=(None, schema), before=(None, schema), after=("schema", ""), next_file=("file_name", "")))
+    held = whole.groupBy("feed", "seq").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("file_name", "own", "before", "after", "next_file")))
+    return held.filter("own is not null")
+
+
+def rescue(parsed: DataFrame, near: DataFrame) -> DataFrame:
+    """What ingestion into the neighbouring file's schema rescues: (feed, seq, file_name, change_kind, field, old_type, new_type, type, text).
+
+    ``seq`` and ``file_name`` are those of the later file of the two.
+    """
+    held = parsed.filter("_error is null").select("feed", "file_name", "fields").join(near, ["feed", "file_name"])
+    entries = F.map_entries("fields")
+    known = lambda schema, e: F.map_contains_key(schema, e["key"])
+    typed = lambda schema, e: F.nullif(F.element_at(schema, e["key"]), F.lit("null"))
+    row = lambda e, kind, later, old, new: F.struct(
+        (F.col("seq") + later).alias("seq"), F.col("next_file" if later else "file_name").alias("file_name"), F.lit(kind).alias("change_kind"), e["key"].alias("field"), old.alias("old_type"), new.alias("new_type"), e["value"]["type"].alias("type"), e["value"]["text"].alias("text"))
+    none = F.lit(None).cast("string")
+    rescued = F.concat(
+        F.when(F.col("before").isNull(), F.array()).otherwise(F.transform(F.filter(entries, lambda e: ~known("before", e)), lambda e: row(e, "added", 0, none, typed("own", e)))),
+        F.when(F.col("before").isNull(), F.array()).otherwise(F.transform(F.filter(entries, lambda e: known("before", e) & (typed("before", e) != typed("own", e))), lambda e: row(e, "retyped", 0, typed("before", e), typed("own", e)))),
+        F.when(F.col("after").isNull(), F.array()).otherwise(F.transform(F.filter(entries, lambda e: ~known("after", e)), lambda e: row(e, "removed", 1, typed("own", e), none))),
+    )
+    return held.select("feed", F.explode(rescued).alias("r")).select("feed", "r.*")
+
+
+def _name_parts(field: str) -> list[str]:
     """Lower-case words of a path, camel case split."""
-    split = F.regexp_replace(field, r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.filter(F.split(F.lower(split), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+    return [w for w in re.split(r"[\W_]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", field).lower()) if len(w) > 1]
 
 
-def _skeleton(word: Column) -> Column:
-    return F.concat(F.substring(word, 1, 1), F.regexp_replace(F.substring(word, 2, 100), "[aeiou]", ""))
+def _skeleton(word: str) -> str:
+    return word[0] + re.sub("[aeiou]", "", word[1:])
 
 
-def _features(observed: DataFrame) -> DataFrame:
-    """(feed, seq, field, feature, weight): words and shapes of text, magnitudes of numbers."""
+def _features() -> Column:
+    """Words and shapes of a text, magnitude of a number, each with a mark for what it is of; and an empty one for every value."""
     text = F.col("text")
     words = F.transform(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.concat(F.lit("w:"), w))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}?\p{Ll}+|\p{Lu}+", "a"), r"\d+", "9"), r"a(?: a)+", "a+")
     magnitude = F.floor(F.log2(F.abs(text.try_cast("double")) + 1))
-    marks = F.when(F.col("type").isin("integer", "decimal"), F.array(F.concat(F.lit("m:"), magnitude.cast("string")), F.concat(F.lit("t:"), "type"))).otherwise(
-        F.array_union(F.filter(words, lambda w: F.length(w) > 2), F.array(F.concat(F.lit("s:"), F.substring(shape, 1, 40)), F.concat(F.lit("t:"), F.when(F.col("type") == "boolean", "type").otherwise("text")))))
-    return observed.filter("type <> 'null'").select("feed", "seq", "field", F.explode(marks).alias("feature")).groupBy("feed", "seq", "field", "feature").agg(F.count("*").alias("weight"))
+    numbers = F.array(F.lit(""), F.concat(F.lit("m:"), F.coalesce(magnitude.cast("string"), F.lit(""))), F.concat(F.lit("t:"), "type"))
+    texts = F.array_union(F.filter(words, lambda w: F.length(w) > 2), F.array(F.lit(""), F.concat(F.lit("s:"), shape), F.concat(F.lit("t:"), F.when(F.col("type") == "boolean", "type").otherwise("text"))))
+    return F.when((F.col("type") == "null") | (F.col("change_kind") == "retyped"), F.array(F.lit(""))).when(F.col("type").isin("integer", "decimal"), numbers).otherwise(texts)
+
+
+def _score(field: str, old: str | None, new_field: str, new: str | None, content: float) -> float:
+    """How surely a removed and an added field are one: the cosine of their contents and what their names share.
+
+    Where contents say little (numbers, truth values) the names must share a word.
+    """
+    a, b = _name_parts(field), _name_parts(new_field)
+    shared = max(len(set(a) & set(b)), len({_skeleton(w) for w in a} & {_skeleton(w) for w in b}))
+    within = bool(a and b) and (a[-1] in b[-1] or b[-1] in a[-1])
+    name = max(shared / max(min(len(a), len(b)), 1), 1.0 if within else 0.0)
+    if old is None or new is None:
+        return 0.6 * name if name >= 1 else 0.0
+    text, number = {"string", "list"}, {"integer", "decimal"}
+    textual = old in text and new in text
+    if not (old == new or textual or (old in number and new in number)):
+        return 0.5 * content + 0.3 if name >= 1 else 0.0
+    if textual:
+        return content + 0.5 * name
+    return 0.5 * content + name if name > 0 else 0.0
+
+
+_CHANGE = "feed string, file_name string, change_kind string, field string, new_field string, old_type string, new_type string, score double"
+
+
+def _decided(same: float):
+    """The changes of each pair of files from its changed fields (with the squared norm of their features) and the products of the features of two."""
+
+    def changes(key: tuple, fields: list, dots: dict) -> Iterator[tuple]:
+        feed, file_name = key
+        gone, come = {}, {}
+        for kind, field, old, new, norm in fields:
+            if kind == "retyped":
+                yield feed, file_name, kind, field, "", old, new, None
+            else:
+                (gone if kind == "removed" else come)[field] = (old if kind == "removed" else new, norm)
+        first: dict[str, tuple] = {}
+        for a, (old, norm) in gone.items():
+            for b, (new, other) in come.items():
+                score = _score(a, old, b, new, dots.get((a, b), 0.0) / (norm * other) ** 0.5 if norm and other else 0.0)
+                if score >= same - 1e-9:
+                    first[a] = min(first.get(a, (1,)), (-score, a, b))
+        best: dict[str, tuple] = {}
+        for score, a, b in first.values():
+            best[b] = min(best.get(b, (1,)), (score, a, b))
+        for score, a, b in best.values():
+            yield feed, file_name, "renamed", a, b, gone.pop(a)[0], come.pop(b)[0], -score
+        for field, (old, _) in gone.items():
+            yield feed, file_name, "removed", field, "", old, None, None
+        for field, (new, _) in come.items():
+            yield feed, file_name, "added", field, "", None, new, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("feed", "seq", "file_name", "change_kind", "field", "other", "old_type", "new_type", "value")
+        kinds = [pa.string()] * 7 + [pa.float64()]
+        spot, key, fields, dots, out = None, ("", ""), [], {}, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split(" ")[0] for c in _CHANGE.split(", ")])
+
+        for part in batches:
+            for feed, seq, file_name, kind, field, other, old, new, value in zip(*(part.column(n).to_pylist() for n in names)):
+                if (feed, seq) != spot:
+                    out += changes(key, fields, dots)
+                    spot, fields, dots = (feed, seq), [], {}
+                if other is None:
+                    key = (feed, file_name)
+                    fields.append((kind, field, old, new, value))
+                else:
+                    dots[field, other] = value
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        out += changes(key, fields, dots)
+        yield batch()
+
+    return run
 
 
 def drift(parsed: DataFrame, same: float = 0.75) -> DataFrame:
     """(feed, file_name, change_kind, field, new_field, old_type, new_type, score) of each file against the one before it.
 
-    A removed and an added field make a rename if their contents agree: the cosine of their words,
-    value shapes and magnitudes, together with what their names share, reaches ``same``. Where
-    contents say little (numbers, truth values) the names must share a word. Each field is part of
+    A removed and an added field make a rename if what was rescued of them agrees: the cosine of their words,
+    value shapes and magnitudes, together with what their names share, reaches ``same``. Each field is part of
     one rename at most, the best.
     """
     parsed = durable(parsed, "parsed")
-    files = numbered_files(parsed)
-    shape = durable(profiles(parsed).join(files, ["feed", "file_name"]), "profiles")
-    last = files.groupBy("feed").agg(F.max("seq").alias("last_seq"))
-    old = shape.select("feed", (F.col("seq") + 1).alias("seq"), "field", F.col("type").alias("old_type"), F.lit(True).alias("was"))
-    new = shape.select("feed", "seq", "field", F.col("type").alias("new_type"), F.lit(True).alias("is"))
-    both = old.join(new, ["feed", "seq", "field"], "full_outer").join(last, "feed").filter("seq > 1 and seq <= last_seq")
-    changes = durable(both.select("feed", "seq", "field", "old_type", "new_type", F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("old_type") != F.col("new_type"), "retyped").alias("change_kind")).filter("change_kind is not null"), "changes")
-    gone = changes.filter("change_kind = 'removed'").select("feed", "seq", F.col("field"), F.col("old_type").alias("type"))
-    come = changes.filter("change_kind = 'added'").select("feed", "seq", F.col("field").alias("new_field"), F.col("new_type").alias("type_of_new"))
-    seen = observations(parsed).drop("run_ts").join(files, ["feed", "file_name"]).drop("file_name")
-    before = _features(seen.withColumn("seq", F.col("seq") + 1).join(gone.select("feed", "seq", "field"), ["feed", "seq", "field"], "left_semi"))
-    after = _features(seen.join(come.select("feed", "seq", F.col("new_field").alias("field")), ["feed", "seq", "field"], "left_semi"))
-    norm = lambda d: d.groupBy("feed", "seq", "field").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    before, after = durable(before, "before"), durable(after, "after")
-    dots = before.join(after.withColumnRenamed("field", "new_field").withColumnRenamed("weight", "new_weight"), ["feed", "seq", "feature"]).groupBy("feed", "seq", "field", "new_field").agg(F.sum(F.col("weight") * F.col("new_weight")).alias("dot"))
-    pairs = gone.join(come, ["feed", "seq"]).join(dots, ["feed", "seq", "field", "new_field"], "left")
-    pairs = pairs.join(norm(before), ["feed", "seq", "field"], "left").join(norm(after).select("feed", "seq", F.col("field").alias("new_field"), F.col("norm").alias("new_norm")), ["feed", "seq", "new_field"], "left")
-    content = F.coalesce(F.col("dot") / (F.col("norm") * F.col("new_norm")), F.lit(0.0))
-    a, b = _name_parts(F.col("field")), _name_parts(F.col("new_field"))
-    skeletons = lambda x: F.transform(x, _skeleton)
-    shared = F.greatest(F.size(F.array_intersect(a, b)), F.size(F.array_intersect(skeletons(a), skeletons(b))))
-    smaller = F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    last_a, last_b = F.try_element_at(a, F.lit(-1)), F.try_element_at(b, F.lit(-1))
-    within = F.coalesce(last_a.contains(last_b) | last_b.contains(last_a), F.lit(False))
-    name = F.greatest(shared / smaller, F.when(within, 1.0).otherwise(0.0))
-    textual = F.col("type").isin("string", "list") & F.col("type_of_new").isin("string", "list")
-    known = F.col("type").isNotNull() & F.col("type_of_new").isNotNull()
-    alike = (F.col("type") == F.col("type_of_new")) | textual | (F.col("type").isin("integer", "decimal") & F.col("type_of_new").isin("integer", "decimal"))
-    score = F.when(~known, F.when(name >= 1, name * 0.6).otherwise(0.0)).when(~alike, F.when(name >= 1, 0.5 * content + 0.3).otherwise(0.0)).when(textual, content + 0.5 * name).otherwise(F.when(name > 0, 0.5 * content + name).otherwise(0.0))
-    pairs = pairs.withColumn("score", score).filter(F.col("score") >= same)
-    here = lambda c: Window.partitionBy("feed", "seq", c).orderBy(F.desc("score"), "field", "new_field")
-    renames = pairs.withColumn("r1", F.row_number().over(here("field"))).filter("r1 = 1").withColumn("r2", F.row_number().over(here("new_field"))).filter("r2 = 1")
-    renames = durable(renames.select("feed", "seq", "field", "new_field", "type", "type_of_new", "score"), "renames")
-    plain = changes.join(renames.select("feed", "seq", "field", F.lit("removed").alias("change_kind")), ["feed", "seq", "field", "change_kind"], "left_anti")
-    plain = plain.join(renames.select("feed", "seq", F.col("new_field").alias("field"), F.lit("added").alias("change_kind")), ["feed", "seq", "field", "change_kind"], "left_anti")
-    whole = plain.select("feed", "seq", "change_kind", "field", F.lit("").alias("new_field"), "old_type", "new_type", F.lit(None).cast("double").alias("score")).unionByName(
-        renames.select("feed", "seq", F.lit("renamed").alias("change_kind"), "field", "new_field", F.col("type").alias("old_type"), F.col("type_of_new").alias("new_type"), "score"))
-    return whole.join(files, ["feed", "seq"]).drop("seq")
+    near = durable(neighbours(numbered(schemas(parsed))), "schemas")
+    counted = ["feed", "seq", "file_name", "change_kind", "field", "old_type", "new_type"]
+    features = durable(rescue(parsed, near).select(*counted, F.explode(_features()).alias("feature")).groupBy(*counted, "feature").agg(F.count("*").cast("double").alias("weight")), "rescued")
+    said = features.filter("feature <> ''")
+    gone, come = (said.filter(F.col("change_kind") == k) for k in ("removed", "added"))
+    dots = gone.select("feed", "seq", "feature", "field", "weight").join(come.select("feed", "seq", "feature", F.col("field").alias("other"), F.col("weight").alias("also")), ["feed", "seq", "feature"])
+    dots = dots.groupBy("feed", "seq", "field", "other").agg(F.sum(F.col("weight") * F.col("also")).alias("value"))
+    norms = features.groupBy(*counted).agg(F.sum(F.when(F.col("feature") != "", F.col("weight") * F.col("weight")).otherwise(0.0)).alias("value"))
+    whole = norms.unionByName(dots, allowMissingColumns=True)
+    return whole.repartition(partitions(parsed.sparkSession), "feed", "seq").sortWithinPartitions("feed", "seq").mapInArrow(_decided(same), _CHANGE)
 
 
 def _owners(edges: list[tuple[int, float, str, str]], fields: list[str]) -> dict[str, tuple[str, int]]:

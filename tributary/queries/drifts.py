@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.drift import approved_names, drift, ingest, parse_records
+from ..operators.drift import approved_names, drift, ingest, parse_records, replay
 from ..operators.versions import latest_version
 from ..session import durable
 from .tables import table
@@ -30,12 +30,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records in the target schema; fields it does not know, and values that do not cast, in ``_rescued``."""
+    """All records in the target schema; fields it does not know, and values that do not cast, in ``_rescued``.
+
+    Records are ingested under the target's own names first; then the renames of the drift report are approved, and
+    what was rescued under those names is replayed into the typed columns.
+    """
     whole = durable(parsed(spark, sf_dir), "parsed")
+    own = {field.rpartition(".")[2]: (kind, [field]) for field, kind in TARGET.items()}
+    held = durable(ingest(whole, own), "ingested")
     names = durable(approved_names(drift(whole), whole, list(TARGET)), "names").withColumnRenamed("feed", "__feed")
-    named = whole.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left").drop("__feed")
-    target = {field.rpartition(".")[2]: (kind, F.col("names")[field]) for field, kind in TARGET.items()}
-    return ingest(named, target).drop("names")
+    named = held.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left").drop("__feed")
+    return replay(named, {field.rpartition(".")[2]: (kind, F.col("names")[field]) for field, kind in TARGET.items()}).drop("names")
 
 
 SQL: dict[str, str] = {}
