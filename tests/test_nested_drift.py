@@ -32,6 +32,59 @@ def test_flatten(spark):
     assert flatten_objects(spark.createDataFrame([], SCHEMA), "edge_id", edge_shapes(), "raw_detail").count() == 0
 
 
+def walked(text):
+    """Objects of a JSON text by plain recursion: (path, attributes)."""
+    def reject(x):
+        raise ValueError(x)
+
+    try:
+        whole = json.loads(text, parse_constant=reject)
+    except (ValueError, RecursionError):
+        return []
+    out = []
+
+    def under(value, name, prefix, below):
+        many = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
+        for i, x in enumerate(many):
+            if isinstance(x, dict):
+                path = f"{prefix}{name}[{i}]"
+                out.append((path, {k: x[k] if isinstance(x[k], str) else json.dumps(x[k]) for k in ("field", "kind", "cond", "value") if k in x and x[k] is not None and (k in ("cond", "value")) <= (name == "rule_logic" or k == "value") and (k in ("field", "kind")) <= (name == "struct_fields")}))
+                if below:
+                    under(x.get("rule_logic"), "rule_logic", path + ".", False)
+                    under(x.get("struct_fields"), "struct_fields", path + ".", True)
+
+    if isinstance(whole, dict):
+        if isinstance(whole.get("window_spec"), dict):
+            out.append(("window_spec", {}))
+        under(whole.get("rule_logic"), "rule_logic", "", False)
+        under(whole.get("struct_fields"), "struct_fields", "", True)
+    return out
+
+
+def test_texts_keep_to_their_own_keys(spark):
+    import random
+
+    rnd = random.Random(5)
+
+    def rules():
+        held = [{"cond": rnd.choice(["a > 1", 'q"x', "é\n"]), "value": rnd.choice(["1", None, 2])} for _ in range(rnd.randint(0, 3))]
+        return held[0] if held and rnd.random() < 0.1 else held
+
+    def fields(depth):
+        return [None if rnd.random() < 0.1 else {"field": "f", "kind": "lit", "source_cols": ["s"], "rule_logic": rules(), **({"struct_fields": fields(depth - 1)} if depth and rnd.random() < 0.5 else {})} for _ in range(rnd.randint(0, 3))]
+
+    texts = ['{"struct_fields":[{"field":"a"}', "]}", '{"rule_logic":[{"cond":"x"},', '{"rule_logic":[{"cond":"y"}]}]}', '{"rule_logic":[]} {"rule_logic":[{"cond":"z"}]}', "", "{}", " { } ", "1,2", "[", '{"rule_logic":[{"cond":"\\ud83d"}]}', '{"__row": 3, "rule_logic":[{"cond":"r"}]}', '{"rule_logic":[{"cond":"d"}],"rule_logic":[]}', '{"rule_logic": "text"}', '{"rule_logic":[{"cond": NaN}]}', '{"rule_logic":[{"cond":"raw\nline"}]}']
+    for _ in range(600):
+        text = json.dumps({**({"rule_logic": rules()} if rnd.random() < 0.5 else {}), **({"struct_fields": fields(4)} if rnd.random() < 0.6 else {}), **({"window_spec": {"frame": None}} if rnd.random() < 0.2 else {}), "other": [{"z": 1}]}, indent=rnd.choice([None, None, 2]))
+        texts.append(text[: rnd.randint(1, len(text))] if rnd.random() < 0.02 else text)
+    rnd.shuffle(texts)
+    for part in (texts, [t for t in texts if len(walked(t)) > 0]):
+        df = spark.createDataFrame([(str(i), 0, None, None, None, t) for i, t in enumerate(part)], SCHEMA)
+        got = {(r.key, r.object_path): {k: r[k] for k in ("field", "kind", "cond", "value") if r[k] is not None} for r in flatten_objects(df, "edge_id", edge_shapes(), "raw_detail").collect()}
+        want = {(str(i), path): {k: v.replace("\ud83d", "\ufffd") for k, v in held.items()} for i, t in enumerate(part) for path, held in walked(t)}
+        assert got == want and len(got) > 500
+
+
 RUN = "record_id long, feed string, file_name string, run_ts timestamp, line_no int, payload string, fields int"
 
 

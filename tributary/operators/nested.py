@@ -3,8 +3,10 @@
 A ``Shape`` names an object or array of objects, its attributes and the shapes below it (itself
 included). Columns are flattened in Arrow: the offsets of a list give the number of children of each
 parent, list_parent_indices gives the parent of each child, and keys and paths follow with ``take``;
-no row is looked at alone. JSON text of the same, less regular objects is parsed once a batch and goes
-through the same step, level by level, to any depth.
+no row is looked at alone. JSON text of the same objects is read by Arrow's own JSON reader into such columns, a batch
+of texts at once and to the depth that the batch has, and goes through the same kernels; every text carries its
+number into the parse, so that none can take another's place. Only texts that are less regular (a lone object in place of an
+array, a number in place of a text, what is no JSON) are parsed by themselves and flattened level by level.
 
 Defined results: a null element keeps its position and makes no row, as does an element that is no
 object; a lone object in place of an array has position 0; null and empty arrays give no rows; a
@@ -15,6 +17,7 @@ Rows with a null key keep their objects under the null key. Extra columns are no
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -22,6 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.json as pj
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,25 +119,87 @@ def _reject(constant: str):
     raise ValueError(constant)
 
 
-def parse_batch(texts: list[str | None]) -> list:
-    """The parsed texts, None where one is null or no JSON: one parse for the whole batch, singly only if that fails."""
+def parse_text(text: str | None):
+    """The parsed text, None where it is null or no JSON."""
     try:
-        found = json.loads("[" + ",".join("null" if t is None else t for t in texts) + "]", parse_constant=_reject)
-        if len(found) == len(texts):
-            return found
+        return None if text is None else json.loads(text, parse_constant=_reject)
     except (ValueError, RecursionError):
-        pass
-    found = []
-    for text in texts:
+        return None
+
+
+_ROW = "__row"
+#: A block of texts that Arrow does not read as a whole is halved down to this size.
+LEAST_BLOCK = 64
+MOST_BRACKETS = 20_000
+
+
+class _Reader:
+    """Reads JSON texts of regular objects into Arrow columns of the shapes."""
+
+    def __init__(self, shapes: list[Shape]):
+        self.shapes = shapes
+        every, todo = {}, list(shapes)
+        while todo:
+            shape = todo.pop()
+            if id(shape) not in every:
+                every[id(shape)] = shape
+                todo += shape.below
+        texts, lists = attributes(shapes)
+        names = lambda found: "|".join(pc.replace_substring_regex(n, r"([^A-Za-z0-9_])", r"\\\1").as_py() for n in sorted(found)) or "$^"
+        many, single = ({s.name for s in every.values() if s.many is m} for m in (True, False))
+        # what Arrow would not read as the shape has it, by the first sign of the value behind a name
+        self.odd = "|".join((
+            rf'"(?:{names(many)})"\s*:\s*[^\[\sn]', rf'"(?:{names(single)})"\s*:\s*[^{{\sn]', rf'"(?:{names(texts)})"\s*:\s*[^"\sn]', rf'"(?:{names(lists)})"\s*:\s*[^\[\sn]', rf'"{_ROW}"', r"^\s*[^{\s]", r"^\s*\{\s*\}", r"^\s*$"))
+        self.recursive = [s.name for s in every.values() if s in s.below]
+
+    def regular(self, texts: pa.Array) -> np.ndarray:
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.greater(pc.count_substring_regex(texts, r"[\[{]"), MOST_BRACKETS))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def type_of(self, shape: Shape, depth: int) -> pa.DataType:
+        fields = [pa.field(n, _TEXT) for n in shape.texts] + [pa.field(n, _LIST) for n in shape.lists]
+        fields += [pa.field(low.name, self.type_of(low, depth - 1)) for low in shape.below if depth > 0 or low.name not in self.recursive]
+        return pa.list_(pa.struct(fields)) if shape.many else pa.struct(fields)
+
+    def blocks(self, texts: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table | None]]:
+        """(rows, columns) of blocks of texts; None in place of columns where the texts must be parsed by themselves."""
+        if not len(rows):
+            return
+        table = self._read(texts)
+        if table is not None or len(rows) <= LEAST_BLOCK:
+            yield rows, table
+        else:
+            half = len(rows) // 2
+            yield from self.blocks(texts[:half], rows[:half])
+            yield from self.blocks(texts[half:], rows[half:])
+
+    def _read(self, texts: pa.Array) -> pa.Table | None:
+        deepest = max((pc.max(pc.count_substring(texts, f'"{name}"')).as_py() or 0 for name in self.recursive), default=0)
+        number = pa.array(np.arange(len(texts))).cast(_TEXT)
+        bodies = pc.replace_substring_regex(texts, r"^\s*\{", "", max_replacements=1)
+        lines = pc.binary_join_element_wise(pa.scalar(f'{{"{_ROW}": '), number, pa.scalar(", "), bodies, pa.scalar("\n"), "")
+        held = lines.buffers()
+        data = held[2][: np.frombuffer(held[1], dtype=np.int32)[len(lines)]] if not lines.offset else "".join(lines.to_pylist()).encode()
+        schema = pa.schema([pa.field(_ROW, pa.int64()), *(pa.field(s.name, self.type_of(s, deepest)) for s in self.shapes)])
+        options = pj.ParseOptions(explicit_schema=schema, newlines_in_values=True, unexpected_field_behavior="ignore")
         try:
-            found.append(None if text is None else json.loads(text, parse_constant=_reject))
-        except (ValueError, RecursionError):
-            found.append(None)
-    return found
+            table = pj.read_json(io.BytesIO(data), pj.ReadOptions(use_threads=False, block_size=len(data) + 1024), options)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            return None
+        # each object must be the one its text begins: then no text took part in another's
+        same = table.num_rows == len(texts) and table.column(_ROW).null_count == 0 and bool((table.column(_ROW).to_numpy() == np.arange(len(texts))).all())
+        return table if same else None
 
 
 def _as_text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # half of a pair of \\u escapes
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def _as_list(value) -> list | None:
@@ -181,7 +247,7 @@ def flatten_objects(df: DataFrame, key: str, shapes: list[Shape], json_column: s
     cut = df.filter(some).select(F.col(key).cast("string").alias("__key"), *wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emitter = _Emitter(shapes, with_attributes)
+        emitter, reader = _Emitter(shapes, with_attributes), _Reader(shapes)
         for batch in batches:
             keys = batch.column("__key").cast(_TEXT)
             empty = pa.nulls(batch.num_rows, _TEXT)
@@ -193,13 +259,23 @@ def flatten_objects(df: DataFrame, key: str, shapes: list[Shape], json_column: s
             if json_column:
                 raw = batch.column(json_column)
                 spot = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False) & ~typed)
-                if len(spot):
-                    parsed = parse_batch(raw.take(pa.array(spot)).to_pylist())
-                    whole = np.fromiter((isinstance(o, dict) for o in parsed), bool, len(parsed))
-                    take = pa.array(spot[whole])
-                    objects = [o for o in parsed if isinstance(o, dict)]
+                texts = raw.take(pa.array(spot)).cast(_TEXT)
+                regular = reader.regular(texts)
+                alone = [spot[~regular]]
+                for rows, table in reader.blocks(texts.filter(pa.array(regular)), spot[regular]):
+                    if table is None:
+                        alone.append(rows)
+                        continue
+                    own = keys.take(pa.array(rows))
                     for shape in shapes:
-                        yield from _parsed(emitter, shape, objects, keys.take(take), empty.take(take), 0)
+                        yield from _typed(emitter, shape, table.column(shape.name).combine_chunks(), own, empty[: len(rows)], 0)
+                rest = np.concatenate(alone)
+                parsed = [parse_text(t) for t in raw.take(pa.array(rest)).to_pylist()]
+                whole = np.fromiter((isinstance(o, dict) for o in parsed), bool, len(parsed))
+                take = pa.array(rest[whole])
+                objects = [o for o in parsed if isinstance(o, dict)]
+                for shape in shapes:
+                    yield from _parsed(emitter, shape, objects, keys.take(take), empty.take(take), 0)
 
     return cut.mapInArrow(run, object_schema(shapes, with_attributes))
 

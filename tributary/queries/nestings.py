@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.nested import Shape, flatten_objects, list_items
 from ..operators.versions import latest_version
@@ -28,7 +29,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects(spark, sf_dir)
+    """All objects with their texts; of their lists, which are the rows of ``p5_list_items``, the number of elements."""
+    whole = objects(spark, sf_dir)
+    lists = ["partition_cols", "order_cols", "source_cols"]
+    return whole.select(*(c for c in whole.columns if c not in lists), *(F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint").alias(f"n_{c}") for c in lists))
 
 
 def p5_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,31 @@ WITH RECURSIVE held AS (
 )
 """
 
+_WHOLE = _OBJECTS + """
+, whole AS (
+  SELECT edge_id, object_path, parent_path, kind AS object_kind, position, depth, j FROM obj
+  UNION ALL SELECT edge_id, object_path, NULL, 'window_spec', 0, 0, j FROM win
+), lists AS (SELECT edge_id, object_path, object_kind, n AS list_name, json_extract(j, '$.' || n) AS l FROM whole, (VALUES ('partition_cols'), ('order_cols'), ('source_cols')) AS t(n)
+  WHERE (n = 'source_cols') = (object_kind = 'struct_fields') AND object_kind <> 'rule_logic')
+"""
+
+
+def _text(name: str, *kinds: str) -> str:
+    return f"CASE WHEN object_kind IN ({', '.join(repr(k) for k in kinds)}) THEN json_extract_string(j, '$.{name}') END AS \"{name}\""
+
+
+def _length(name: str, kind: str) -> str:
+    value = f"json_extract(j, '$.{name}')"
+    return f"CASE WHEN object_kind = '{kind}' THEN CASE json_type({value}) WHEN 'ARRAY' THEN CAST(json_array_length({value}) AS BIGINT) WHEN 'NULL' THEN NULL ELSE CASE WHEN {value} IS NOT NULL THEN 1 END END END AS n_{name}"
+
+
 SQL = {
+    "p5_objects": _WHOLE + f"""SELECT edge_id, object_path, parent_path, object_kind, position, depth, {_text("frame", "window_spec")}, {_text("cond", "rule_logic")}, {_text("value", "rule_logic", "struct_fields")},
+  {_text("field", "struct_fields")}, {_text("kind", "struct_fields")}, {_length("partition_cols", "window_spec")}, {_length("order_cols", "window_spec")}, {_length("source_cols", "struct_fields")} FROM whole""",
+    "p5_list_items": _WHOLE + """
+SELECT edge_id, object_path, list_name, CAST(p AS INT) AS position, CASE WHEN json_type(l) = 'ARRAY' THEN json_extract_string(l, '$[' || p || ']') ELSE json_extract_string(l, '$') END AS item
+FROM lists, unnest(range(CAST(CASE json_type(l) WHEN 'ARRAY' THEN json_array_length(l) WHEN 'NULL' THEN 0 ELSE 1 END AS BIGINT))) AS u(p)
+WHERE l IS NOT NULL AND CASE WHEN json_type(l) = 'ARRAY' THEN json_extract_string(l, '$[' || p || ']') ELSE json_extract_string(l, '$') END IS NOT NULL""",
     "p5_found": _OBJECTS + "SELECT edge_id, object_path FROM obj UNION ALL SELECT edge_id, object_path FROM win",
     "p5_windows": _OBJECTS + "SELECT edge_id, object_path, json_extract_string(j, '$.frame') AS frame FROM win",
     "p5_rules": _OBJECTS + "SELECT edge_id, object_path, parent_path, position, json_extract_string(j, '$.cond') AS cond, json_extract_string(j, '$.value') AS value FROM obj WHERE kind = 'rule_logic'",
