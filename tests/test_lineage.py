@@ -123,6 +123,43 @@ def test_sql_texts_in_batches(spark):
     assert rows(got.select("rel_path", F.get_json_object("payload", "$.fqn"))) == [(f"f{i}.sql", f"t{i}") for i in range(7)]
 
 
+def edges_of(text, path="p.py", **known):
+    from tributary.extract.assemble import extract_text
+
+    return [held for kind, held in extract_text(path, text, **known) if kind == "edge"], [held for kind, held in extract_text(path, text, **known) if kind == "warning"]
+
+
+def test_long_predicates_differ(spark):
+    ids = set()
+    for last in ("1", "2"):
+        parts = " & ".join(f"(F.col('column_{i}') > {i})" for i in range(200))
+        found, _ = edges_of(f"a = spark.table('t').filter({parts} & (F.col('z') > {last}))")
+        ids.add(found[-1]["expr_id"])
+    assert len(ids) == 2
+
+
+def test_calls_of_any_depth_and_in_circles():
+    deep = "def f0(x):\n    return x.filter('a > 1')\n" + "".join(f"def f{i}(x):\n    return f{i - 1}(x)\n" for i in range(1, 30)) + "f29(spark.table('t')).write.saveAsTable('u')\n"
+    found, _ = edges_of(deep)
+    assert [e["kind"] for e in found] == ["reads", "filters", "writes"]
+    found, _ = edges_of("def f(x):\n    return g(x)\ndef g(x):\n    return f(x.limit(1))\nf(spark.table('t')).write.saveAsTable('u')\n")
+    assert {e["kind"] for e in found} >= {"reads", "writes"}
+
+
+def test_constants_belong_to_their_module():
+    found, warnings = edges_of("import config, other\na = spark.table(config.TABLE)\nb = spark.table(other.TABLE)\nTABLE = 'mine'\nc = spark.table(TABLE)\n", symbols={"config.TABLE": "x", "TABLE": "x"})
+    assert [e["source"] for e in found] == ["table:x", "<unresolved>", "table:mine"]
+
+
+def test_bodies_are_never_silent():
+    found, _ = edges_of("class A:\n    def m(self):\n        self.spark.table('h.i').write.saveAsTable('j')\n")
+    assert [e["kind"] for e in found] == ["reads", "writes"]
+    found, _ = edges_of("session = SparkSession.builder.getOrCreate()\ntry:\n    x = 1\nexcept Exception:\n    session.table('e.f').show()\n")
+    assert [e["source"] for e in found] == ["table:e.f"]
+    found, warnings = edges_of("d = spark.table('t').groupBy('k').pivot('m').agg(F.sum('v').alias('s'))\ne = d.toDF('a', 'b')\n")
+    assert found[1]["group_keys"] == ["k"] and found[1]["is_dynamic"] and len(warnings) == 2
+
+
 def test_extraction_never_raises(spark):
     files = spark.createDataFrame([("a.py", None), ("b.ipynb", "{nope"), ("c.py", "\x00"), ("d.py", "df = df.x().y\n" * 50)], "rel_path string, content string")
     assert extract(files, symbols={}).filter("row_type = 'warning'").count() >= 2
@@ -154,6 +191,33 @@ def test_closure(spark):
     assert closure(links.limit(0), seeds).count() == 0
 
 
+def test_closure_in_groups_and_forms(spark, monkeypatch):
+    import random
+
+    from tributary.operators import closure as module
+
+    rnd = random.Random(4)
+    links = [(rnd.choice("gh"), f"n{rnd.randint(0, 14)}", f"n{rnd.randint(0, 14)}") for _ in range(40)] + [(None, "n0", "n1"), ("g", None, "n1")]
+    seeds = [(g, f"s{k}", f"n{rnd.randint(0, 14)}") for g in "gh" for k in (0, 1, 1, 2)]
+    df = spark.createDataFrame(links, "graph_id string, src string, dst string").selectExpr("*", "1 as depth")
+    of = spark.createDataFrame(seeds, "graph_id string, seed string, node string").selectExpr("*", "1 as of")
+    want = {}
+    for g, s, node in seeds:
+        frontier, depth, seen = {node}, 0, set()
+        while frontier:
+            depth += 1
+            frontier = {b for x, a, b in links if x == g and a in frontier and b} - seen
+            seen |= frontier
+            for n in frontier:
+                want[g, s, n] = min(want.get((g, s, n), depth), depth)
+    for rows_in_task, broadcast in ((200_000, 100_000), (0, 100_000), (0, 0)):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+        got = rows(closure(df, of, group="graph_id", group_rows=rows_in_task))
+        assert got == sorted((g, s, n, d) for (g, s, n), d in want.items())
+    assert rows(closure(df, of, group="graph_id", max_depth=1)) == sorted((g, s, n, d) for (g, s, n), d in want.items() if d == 1)
+    assert closure(df.limit(0), of, group="graph_id").count() == 0
+
+
 def test_seeds(spark):
     from tributary.queries.lineage import SQL, seed_resolution_cases
 

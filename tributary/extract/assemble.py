@@ -12,9 +12,10 @@ import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import closure
 from ..plans.sqltext import SqlLineage
 from ..session import durable, scratch_path
 from ..sources.repository import run_order
@@ -43,13 +44,14 @@ def extract_text(path: str, text: str, symbols: dict | None = None, registry: Re
 
 
 def _learned(config: list[dict]) -> dict[str, object]:
-    """Constants of the configuration files of one repository and of notebooks that others run, in run order."""
+    """Constants of files (rel_path, content) in their order: the configuration of a repository, or what a notebook runs."""
     import ast
 
     symbols = Symbols()
     for held in config:
         try:
-            symbols.learn(ast.parse(prepare(held["rel_path"], held["content"] or "").text))
+            path = held["rel_path"]
+            symbols.learn(ast.parse(prepare(path, held["content"] or "").text), path.rpartition("/")[2].partition(".")[0])
         except (SyntaxError, ValueError):
             continue
     return symbols.values
@@ -69,10 +71,44 @@ def contexts(files: DataFrame, declared: DataFrame) -> DataFrame:
     return config.join(tables, "repo", "full_outer").select("repo", "config", "tables").mapInArrow(run, "repo string, context binary")
 
 
+def runs_of(path: str, text: str) -> list[str]:
+    """The notebooks a notebook runs, as repository paths without extension."""
+    try:
+        return [run_target(path, t) for t in prepare(path, text).runs]
+    except ValueError:
+        return []
+
+
+def _stem(path: str) -> Column:
+    return F.regexp_replace(path, r"\.(?:py|ipynb)$", "")
+
+
+def followed_runs(files: DataFrame) -> DataFrame:
+    """(repo, rel_path, ran): for each file of (repo, rel_path, content) the files it runs, and those they run, as (distance, rel_path, content), the farthest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(repo, path, target) for repo, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for target in runs_of(path, text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["repo", "rel_path", "target"])
+
+    code = files.filter(F.lower("rel_path").rlike(r"\.(?:py|ipynb)$"))
+    asked = code.filter(F.col("content").contains("%run")).select("repo", "rel_path", "content").mapInArrow(run, "repo string, rel_path string, target string")
+    stems = code.select("repo", _stem("rel_path").alias("target"), F.col("rel_path").alias("ran"))
+    links = durable(asked.join(stems, ["repo", "target"]).select("repo", "rel_path", "ran").distinct(), "runs")
+    tag = lambda c: F.concat_ws("\u0001", "repo", c)
+    part = lambda c, i: F.split_part(c, F.lit("\u0001"), F.lit(i))
+    reached = closure(links.select(tag("rel_path").alias("src"), tag("ran").alias("dst")), links.select(tag("rel_path").alias("seed"), tag("rel_path").alias("node")))
+    reached = reached.select(part("seed", 1).alias("repo"), part("seed", 2).alias("by"), part("node", 2).alias("rel_path"), "depth")
+    held = reached.join(code.select("repo", "rel_path", "content"), ["repo", "rel_path"])
+    far = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("distance"), "rel_path", "content"))).alias("ran")
+    return held.groupBy("repo", F.col("by").alias("rel_path")).agg(far)
+
+
 def extract(files: DataFrame, registry: Registry | None = None, schemas: dict[str, list[str]] | None = None, symbols: dict | None = None) -> DataFrame:
     """(rel_path, row_type, ordinal, payload) of all Python files and notebooks of (rel_path, content).
 
     A column ``context`` (see ``contexts``) holds the constants and schemas of a file's repository; ``symbols`` and ``schemas`` hold for files without.
+    A column ``ran`` (see ``followed_runs``) holds the notebooks a file runs, whose constants it knows.
     """
     registry, schemas, symbols = registry or Registry(), schemas or {}, symbols or {}
 
@@ -80,15 +116,16 @@ def extract(files: DataFrame, registry: Registry | None = None, schemas: dict[st
         last, known = None, (symbols, schemas)
         for batch in batches:
             out: list[tuple[str, str, int, str]] = []
-            for path, text, context in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for path, text, context, ran in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if context != last:
                     last, known = context, (symbols, schemas) if context is None else pickle.loads(context)
-                out += [(path, kind, i, json.dumps(held)) for i, (kind, held) in enumerate(extract_text(path, text or "", known[0], registry, known[1]))]
+                names = known[0] | _learned(ran) if ran else known[0]
+                out += [(path, kind, i, json.dumps(held)) for i, (kind, held) in enumerate(extract_text(path, text or "", names, registry, known[1]))]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["rel_path", "row_type", "ordinal", "payload"])
 
-    context = F.col("context") if "context" in files.columns else F.lit(None).cast("binary").alias("context")
-    return files.filter(F.lower("rel_path").rlike(r"\.(?:py|ipynb)$")).select("rel_path", "content", context).mapInArrow(run, ROWS)
+    given = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("context", "binary"), ("ran", "array<struct<distance:int,rel_path:string,content:string>>"))]
+    return files.filter(F.lower("rel_path").rlike(r"\.(?:py|ipynb)$")).select("rel_path", "content", *given).mapInArrow(run, ROWS)
 
 
 _TEXT = ("rel_path", "ordinal", "lineno", "target", "sql")
@@ -130,7 +167,7 @@ def lineage_of(spark: SparkSession, files: DataFrame, registry: Registry | None
     scripts = sql_rows(spark, script_texts(files))
     declared = scripts.filter("row_type = 'table'").select("rel_path", "ordinal", F.from_json("payload", TABLE).alias("t")).select("rel_path", "ordinal", "t.fqn", "t.columns", "t.declared").filter("declared")
     known = durable(contexts(files, declared.join(files.select("rel_path", "repo").distinct(), "rel_path")), "contexts")
-    python = durable(extract(files.join(known, "repo", "left"), registry), "rows")
+    python = durable(extract(files.join(known, "repo", "left").join(followed_runs(files), ["repo", "rel_path"], "left"), registry), "rows")
     rows = python.unionByName(scripts).unionByName(sql_rows(spark, held_texts(python)))
     part = lambda kind, schema: rows.filter(F.col("row_type") == kind).select("rel_path", "ordinal", F.from_json("payload", schema).alias("p")).select("ordinal", "p.*")
     edges = part("edge", EDGE).withColumn("ordinal", F.col("ordinal").cast("bigint"))
@@ -138,7 +175,7 @@ def lineage_of(spark: SparkSession, files: DataFrame, registry: Registry | None
     sinks = list((registry or Registry()).sinks)
     if sinks:
         edges = edges.filter(~((F.col("kind") == "opaque_transform") & F.col("opaque_operator").isin(sinks)))
-    merged = part("table", TABLE).groupBy("fqn").agg(F.max("declared").alias("declared"), F.max_by("columns", F.struct("declared", F.size("columns") > 0, -F.col("ordinal"))).alias("columns"))
+    merged = part("table", TABLE).groupBy("fqn").agg(F.max("declared").alias("declared"), F.min_by("columns", F.struct(~F.col("declared"), F.size("columns") == 0, run_order("file"), "file", "ordinal")).alias("columns"))
     touched = edges.filter("kind = 'reads'").select(F.col("source").alias("id")).union(edges.filter("kind = 'writes'").select("target")).distinct()
     orphans = merged.join(touched.select(F.regexp_replace("id", "^table:", "").alias("fqn")), "fqn", "left_anti")
     lost = orphans.select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("lineno"), F.lit("orphan-table").alias("category"), F.concat("fqn", F.lit(" is neither read nor written")).alias("message"))
@@ -150,8 +187,3 @@ def lineage_of(spark: SparkSession, files: DataFrame, registry: Registry | None
         "column_rules": part("column_rule", f"file string, var string, rules {_RULE}").drop("ordinal"),
         "predicates": part("predicate", "file string, var string, label string, predicate string").drop("ordinal"),
     }
-
-
-def runs_of(path: str, text: str) -> list[str]:
-    """The notebooks a notebook runs, as repository paths."""
-    return [run_target(path, t) for t in prepare(path, text).runs]

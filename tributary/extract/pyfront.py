@@ -1,9 +1,10 @@
 """Lineage edges of one Python file, from its syntax tree.
 
 Statements are evaluated in order: an expression that yields a DataFrame yields the id of its node, and each
-method called on one emits the typed edge of what it does. Functions of the same file are evaluated where
-they are called, with their arguments bound; decorated pipeline functions write the table they are named
-after. What is not understood is an edge or a warning, never silence.
+method called on one emits the typed edge of what it does. Functions of the same file, methods of a class on ``self``
+included, are evaluated where they are called, with their arguments bound; functions and methods that nothing in the file calls are
+evaluated after it, where parameters that are DataFrames have an unresolved node. Decorated pipeline functions write
+the table they are named after. What is not understood is an edge or a warning, never silence.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ MODES = {"overwrite": "overwrite", "append": "append", "merge": "merge", "ignore
 PATHS = ("/", "s3://", "s3a://", "abfss://", "abfs://", "wasbs://", "dbfs:/", "gs://", "hdfs://", "file:")
 FORMATS = ("csv", "json", "parquet", "orc", "text", "avro", "delta", "jdbc")
 PIPELINE_DECORATORS = ("table", "view", "materialized_view", "create_table", "create_streaming_table", "create_materialized_view", "temporary_view")
-KEEPING = ("orderBy", "sort", "limit", "distinct", "dropDuplicates", "drop_duplicates", "union", "unionByName", "unionAll", "intersect", "exceptAll", "subtract", "sample", "repartition", "coalesce", "cache", "persist", "checkpoint", "alias", "fillna", "na", "hint", "withWatermark", "dropna", "sortWithinPartitions", "toDF", "pivot", "transform", "select_all")
+KEEPING = ("orderBy", "sort", "limit", "distinct", "dropDuplicates", "drop_duplicates", "union", "unionByName", "unionAll", "intersect", "exceptAll", "subtract", "sample", "repartition", "coalesce", "cache", "persist", "checkpoint", "alias", "fillna", "hint", "withWatermark", "dropna", "sortWithinPartitions")
 AGGREGATES = ("count", "sum", "avg", "mean", "max", "min")
-PASSIVE = ("read", "readStream", "write", "writeStream", "writeTo")
+SESSIONS = ("spark", "dlt", "dp", "sqlContext")
+#: Calls of the functions of one file that are looked into; beyond it a call is opaque and says so.
+MOST_INLINED = 10_000
 
 
 def expr_id(text: str) -> str:
@@ -38,6 +41,7 @@ class Frame:
 
     def __init__(self, node: str, columns: list[str] | None = None, keys: list[str] | None = None):
         self.node, self.columns, self.keys = node, columns, keys
+        self.pivoted: list[str] | None = None  # the columns a pivot gives, empty if only the data tell
 
 
 class Extractor:
@@ -53,7 +57,10 @@ class Extractor:
         self.lists: dict[str, list[ast.AST]] = {}
         self.functions: dict[str, ast.FunctionDef] = {}
         self.imported: set[str] = set()
-        self.depth = self.serial = 0
+        self.sessions: set[str] = set(SESSIONS)
+        self.stack: list[ast.FunctionDef] = []
+        self.entered: set[int] = set()
+        self.inlinings = self.serial = 0
 
     # -- rows ---------------------------------------------------------------------------------------
 
@@ -81,6 +88,7 @@ class Extractor:
         except (SyntaxError, ValueError) as error:
             self.warn(getattr(error, "lineno", 0) or 0, "syntax-error", str(error))
             return self.rows
+        self.symbols.imports(tree)
         self.symbols.learn(tree)
         for item in ast.walk(tree):
             if isinstance(item, (ast.Import, ast.ImportFrom)):
@@ -88,6 +96,9 @@ class Extractor:
             elif isinstance(item, ast.FunctionDef):
                 self.functions[item.name] = item
         self.block(tree.body)
+        called = {n.func.id if isinstance(n.func, ast.Name) else n.func.attr for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))}
+        for later in (called, set()):  # those that others call come last, if nothing that was evaluated called them
+            self.uncalled(tree.body, later)
         for var, node in self.columns.items():
             if rules := self.rules(node):
                 self.rows.append(("column_rule", {"file": self.path, "var": var, "rules": rules}))
@@ -102,10 +113,13 @@ class Extractor:
         for item in body:
             if isinstance(item, ast.FunctionDef):
                 self.pipeline_function(item)
+            elif isinstance(item, ast.ClassDef):
+                self.block([x for x in item.body if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))])
             elif isinstance(item, (ast.Assign, ast.AnnAssign)) and item.value is not None:
                 targets = item.targets if isinstance(item, ast.Assign) else [item.target]
-                if len(targets) == 1 and isinstance(targets[0], ast.Name):
-                    self.assign(targets[0].id, item.value)
+                name = self.dotted(targets[0]) if len(targets) == 1 else None
+                if name and (isinstance(targets[0], ast.Name) or name.startswith("self.")):
+                    self.assign(name, item.value)
                 else:
                     self.evaluate(item.value)
             elif isinstance(item, ast.Expr):
@@ -113,12 +127,33 @@ class Extractor:
                     self.evaluate(item.value)
             elif isinstance(item, ast.Return):
                 given = self.evaluate(item.value) if item.value is not None else None
-            elif isinstance(item, (ast.If, ast.For, ast.While, ast.With, ast.Try)):
-                for part in ("body", "orelse", "finalbody"):
-                    found = self.block(getattr(item, part, []) or [])
+            elif isinstance(item, (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith)):
+                handlers = [x for h in getattr(item, "handlers", []) for x in h.body]
+                for part in (item.body, handlers, getattr(item, "orelse", []), getattr(item, "finalbody", [])):
+                    found = self.block(part or [])
                     given = found or given
+            elif isinstance(item, ast.Match):
+                for case in item.cases:
+                    given = self.block(case.body) or given
         return given
 
+    def uncalled(self, body: list[ast.stmt], later: set[str]) -> None:
+        """The functions and methods that were not evaluated so far, each by itself; what methods keep in ``self`` lasts for their class."""
+        for item in body:
+            if isinstance(item, ast.ClassDef):
+                kept = dict(self.frames)
+                self.uncalled(item.body, later)
+                self.frames = kept
+            elif isinstance(item, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                if id(item) not in self.entered and item.name not in later:
+                    self.inlined(item, None, None)
+                self.uncalled(item.body, later)
+            else:
+                for part in ("body", "orelse", "finalbody"):
+                    held = getattr(item, part, None)
+                    if isinstance(held, list):
+                        self.uncalled(held, later)
+
     def append(self, node: ast.AST) -> bool:
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in ("append", "extend") and isinstance(node.func.value, ast.Name) and node.func.value.id in self.lists:
             self.lists[node.func.value.id] += node.args
@@ -132,6 +167,9 @@ class Extractor:
         if isinstance(value, ast.Dict) and value.keys and all(isinstance(k, ast.Constant) for k in value.keys):
             self.predicates[name] = {str(k.value): v for k, v in zip(value.keys, value.values)}
             return
+        if self.is_session(value):
+            self.sessions.add(name)
+            return
         if isinstance(value, ast.Call):
             called = self.dotted(value.func)
             if called and self.registry.sink(called):
@@ -165,7 +203,7 @@ class Extractor:
             if name and name.rpartition(".")[2] in PIPELINE_DECORATORS and "." in name:
                 keywords = {k.arg: k.value for k in call.keywords} if call else {}
                 target = self.symbols.text(keywords["name"]) if "name" in keywords else item.name
-                frame = self.block(item.body)
+                frame = self.inlined(item, None, None)
                 if frame is not None:
                     self.edge("writes", item.lineno, source=frame.node, target=f"table:{target}", write_mode="overwrite", streaming="stream" in name)
                     self.table(target, frame.columns)
@@ -197,10 +235,41 @@ class Extractor:
             else:
                 return node, steps[::-1]
 
+    def is_session(self, node: ast.AST) -> bool:
+        """Whether an expression gives a session: a known one, or what a session builder or getter gives."""
+        if (self.dotted(node) or "") in self.sessions:
+            return True
+        base, steps = self.chain(node)
+        made = ("getOrCreate", "getActiveSession", "active", "newSession")
+        return bool(steps) and steps[-1][0] in made and isinstance(base, ast.Name) and (base.id in self.sessions or any(w.endswith("SparkSession") for w in (base.id, *(m for m, _ in steps))))
+
+    def session(self, base: ast.AST, steps) -> tuple[str, list] | None:
+        """(name of the session, steps after it) of a chain that begins at a session."""
+        if not isinstance(base, ast.Name) or not steps:
+            return None
+        if base.id in self.sessions:
+            return base.id, steps
+        if steps[0][1] is None and (f"{base.id}.{steps[0][0]}" in self.sessions or (base.id in ("self", "cls") and steps[0][0] == "spark")):
+            return "spark", steps[1:]
+        for i, (method, call) in enumerate(steps[:-1]):
+            if call is not None and self.is_session(call):
+                return "spark", steps[i + 1 :]
+        return None
+
     def evaluate(self, node: ast.AST, name: str | None = None) -> Frame | None:
         base, steps = self.chain(node)
-        if isinstance(base, ast.Name) and base.id in ("spark", "dlt", "dp", "sqlContext") and steps:
-            return self.source(base.id, steps, node, name)
+        begun = self.session(base, steps)
+        if begun and begun[1]:
+            return self.source(begun[0], begun[1], node, name)
+        if isinstance(base, ast.Name) and base.id in ("self", "cls") and steps:
+            method, call = steps[0]
+            if call is not None and method in self.functions and self.may_enter(self.functions[method], call):
+                frame = self.inlined(self.functions[method], call, name if len(steps) == 1 else None)
+                return self.steps(frame, steps[1:], name) if frame is not None else None
+            if call is None and f"self.{method}" in self.frames:
+                return self.steps(self.frames[f"self.{method}"], steps[1:], name)
+            if call is None and f"self.{method}" in self.sinks and len(steps) > 1:
+                return self.sink_call(*self.sinks[f"self.{method}"], steps[1:])
         if isinstance(base, ast.Name) and base.id in self.sinks and steps:
             return self.sink_call(*self.sinks[base.id], steps)
         if isinstance(base, ast.Name) and base.id in self.frames:
@@ -219,16 +288,29 @@ class Extractor:
         return None
 
     def arguments(self, call: ast.Call) -> list[Frame]:
-        found = [self.frames[a.id] if isinstance(a, ast.Name) and a.id in self.frames else None for a in [*call.args, *(k.value for k in call.keywords)]]
-        return [f for f in found if f is not None]
+        """The frames among the arguments, names or chains."""
+        found = []
+        for a in [*call.args, *(k.value for k in call.keywords)]:
+            a = a.value if isinstance(a, ast.Starred) else a
+            frame = self.frames.get(self.dotted(a) or "")
+            if frame is None and isinstance(a, ast.Call):
+                base, steps = self.chain(a)
+                starts = isinstance(base, ast.Name) and (base.id in self.frames or base.id in ("self", "cls")) or self.session(base, steps) or (isinstance(base, ast.Call) and (self.dotted(base.func) or "") in {*self.functions, *self.imported})
+                if starts:
+                    frame = self.evaluate(a)
+            if frame is not None:
+                found.append(frame)
+        return found
 
     def call(self, call: ast.Call, called: str | None, name: str | None) -> Frame | None:
         """A function call that may give a frame: a function of the file, a registered helper, or an opaque one."""
-        if called in self.functions and self.depth < 8:
+        if called in self.functions and self.may_enter(self.functions[called], call):
             return self.inlined(self.functions[called], call, name)
-        frames = self.arguments(call)
-        if not frames or not called or (called.split(".")[0] in ("F", "Window", "functions") and len(frames) == 0):
+        frames = self.arguments(call) if called else []
+        if not frames:
             return None
+        if called.rpartition(".")[2] == "broadcast":  # a hint
+            return frames[0]
         helper = self.registry.helper(called)
         target = self.node(call.lineno, name)
         if helper and helper.get("kind") == "suffix_rename":
@@ -246,25 +328,51 @@ class Extractor:
             self.warn(call.lineno, "opaque-call-fallback", f"{called} is not registered; its columns are unknown")
         return Frame(target, frames[0].columns if passes else None)
 
-    def inlined(self, function: ast.FunctionDef, call: ast.Call, name: str | None) -> Frame | None:
-        """Evaluate a function of the file where it is called, its parameters bound to the arguments."""
-        names = [a.arg for a in function.args.args]
-        defaults = dict(zip(names[len(names) - len(function.args.defaults) :], function.args.defaults))
-        bound = {**defaults, **dict(zip(names, call.args)), **{k.arg: k.value for k in call.keywords if k.arg}}
-        outer = self.frames, self.symbols.values, self.columns
-        frames, values = dict(self.frames), dict(self.symbols.values)
-        for parameter, argument in bound.items():
+    def may_enter(self, function: ast.FunctionDef, call: ast.Call) -> bool:
+        """A function that is being evaluated is not entered again; nor is any after very many calls."""
+        if self.inlinings >= MOST_INLINED:
+            self.warn(call.lineno, "opaque-call-fallback", f"{function.name} is not looked into after {MOST_INLINED} calls")
+            return False
+        return all(f is not function for f in self.stack)
+
+    def inlined(self, function: ast.FunctionDef, call: ast.Call | None, name: str | None) -> Frame | None:
+        """Evaluate a function of the file where it is called, its parameters bound to the arguments; without a call to unresolved nodes."""
+        self.entered.add(id(function))
+        self.inlinings += 1
+        parameters = [*function.args.posonlyargs, *function.args.args]
+        if parameters and parameters[0].arg in ("self", "cls"):
+            parameters = parameters[1:]
+        names = [a.arg for a in parameters]
+        defaults = dict(zip(names[len(names) - len(function.args.defaults) :], function.args.defaults)) | {a.arg: d for a, d in zip(function.args.kwonlyargs, function.args.kw_defaults) if d is not None}
+        given_args = {**dict(zip(names, call.args)), **{k.arg: k.value for k in call.keywords if k.arg}} if call else {}
+        outer = self.frames, self.symbols.values, self.columns, self.sessions
+        frames, values, sessions = dict(self.frames), dict(self.symbols.values), set(self.sessions)
+        for a in [*parameters, *function.args.kwonlyargs]:
+            parameter, argument = a.arg, given_args.get(a.arg, defaults.get(a.arg))
+            kind = (self.dotted(a.annotation) or "").rpartition(".")[2] if a.annotation is not None else ""
+            if kind == "SparkSession":
+                sessions.add(parameter)
+            frames.pop(parameter, None)
+            values.pop(parameter, None)
+            if argument is None:
+                if kind == "DataFrame" or parameter == "df" or parameter.endswith("_df"):
+                    frames[parameter] = Frame(UNRESOLVED)
+                continue
             frame = self.evaluate(argument) if not isinstance(argument, ast.Constant) else None
             if frame is not None:
                 frames[parameter] = frame
             value = self.symbols.value(argument)
             if value is not None:
                 values[parameter] = value
-        self.frames, self.symbols.values, self.columns = frames, values, dict(self.columns)
-        self.depth += 1
+        self.frames, self.symbols.values, self.columns, self.sessions = frames, values, dict(self.columns), sessions
+        self.stack.append(function)
         given = self.block(function.body)
-        self.depth -= 1
-        self.frames, self.symbols.values, self.columns = outer
+        self.stack.pop()
+        lasting = {k: v for k, v in self.frames.items() if k.startswith("self.")}
+        opened = {k for k in self.sessions if k.startswith("self.")}
+        self.frames, self.symbols.values, self.columns, self.sessions = outer
+        self.frames.update(lasting)
+        self.sessions |= opened
         return given
 
     def source(self, base: str, steps, node: ast.AST, name: str | None) -> Frame | None:
@@ -321,8 +429,17 @@ class Extractor:
 
     def steps(self, frame: Frame, steps, name: str | None) -> Frame | None:
         write: dict | None = None
+        nulls = False
         for i, (method, call) in enumerate(steps):
             last = i == len(steps) - 1
+            if method == "na" and call is None:
+                nulls = True
+                continue
+            if nulls and call is not None:  # fill, drop and replace of nulls keep the columns
+                target = self.node(call.lineno, name if last else None)
+                self.edge("opaque_transform", call.lineno, source=frame.node, target=target, opaque_operator=f"na.{method}", is_passthrough=True)
+                frame, nulls = Frame(target, frame.columns), False
+                continue
             if method in ("write", "writeStream") or (method == "writeTo" and call):
                 write = {"streaming": method == "writeStream", "write_mode": "append" if method != "write" else "error", "to": self.symbols.text(call.args[0]) if method == "writeTo" and call.args else None}
                 continue
@@ -392,6 +509,26 @@ class Extractor:
         if method in ("groupBy", "groupby", "rollup", "cube"):
             keys = [c for a in self.unpacked(call.args) for c in (self.refs(a) or [self.symbols.text(a)])]
             return Frame(frame.node, columns, keys)
+        if method == "pivot" and frame.keys is not None and call.args:
+            grouped = Frame(frame.node, columns, frame.keys)
+            given = self.unpacked(call.args[1:]) or self.unpacked([k.value for k in call.keywords if k.arg == "values"])
+            held = [self.symbols.value(v) for v in given]
+            grouped.pivoted = [str(v) for v in held] if held and all(v is not None for v in held) else []
+            grouped.keys = [*frame.keys]
+            grouped.pivot_column = (self.refs(call.args[0]) or [self.symbols.text(call.args[0])])[0]
+            return grouped
+        if method == "toDF":
+            return self.renamed(frame, target, call)
+        if method == "transform" and call.args and isinstance(call.args[0], ast.Name) and call.args[0].id in self.functions and self.may_enter(self.functions[call.args[0].id], call):
+            function = self.functions[call.args[0].id]
+            held = self.frames.get("__transformed")
+            self.frames["__transformed"] = frame
+            bound = ast.Call(func=call.args[0], args=[ast.Name(id="__transformed", ctx=ast.Load()), *call.args[1:]], keywords=call.keywords, lineno=line, col_offset=0)
+            given = self.inlined(function, bound, name)
+            self.frames.pop("__transformed", None)
+            if held is not None:
+                self.frames["__transformed"] = held
+            return given
         if frame.keys is not None and method in ("agg", *AGGREGATES):
             return self.aggregate(frame, target, line, call, method)
         if method == "agg":
@@ -404,9 +541,20 @@ class Extractor:
                 self.edge("opaque_transform", line, source=source, target=target, opaque_operator=method, is_passthrough=True)
             return Frame(target, columns)
         self.edge("opaque_transform", line, source=frame.node, target=target, opaque_operator=method, is_passthrough=False)
-        self.warn(line, "opaque-call-fallback", f"method {method} is not known")
+        self.warn(line, "opaque-call-fallback", f"what {method} does to the columns is not known")
         return Frame(target)
 
+    def renamed(self, frame: Frame, target: str, call: ast.Call) -> Frame:
+        """``toDF``: every column by position under a new name."""
+        names = [self.symbols.text(a) for a in self.unpacked(call.args)]
+        if frame.columns is not None and len(names) == len(frame.columns):
+            for old, new in zip(frame.columns, names):
+                self.edge("derives", call.lineno, source=frame.node, target=target, output_col=new, source_cols=[old], expr_id=self.keep(f"rename({old} → {new})"))
+        else:
+            self.edge("opaque_transform", call.lineno, source=frame.node, target=target, opaque_operator="toDF", is_passthrough=False)
+            self.warn(call.lineno, "opaque-call-fallback", "toDF renames columns that are not known")
+        return Frame(target, names if UNRESOLVED not in names else None)
+
     def unpacked(self, args: list[ast.AST]) -> list[ast.AST]:
         """Arguments with lists, and starred lists of the file, laid open."""
         out: list[ast.AST] = []
@@ -541,6 +689,11 @@ class Extractor:
             strings = [self.symbols.text(a) for n in ast.walk(value) if isinstance(n, ast.Call) and (self.dotted(n.func) or "").rpartition(".")[2] == op for a in n.args if isinstance(self.symbols.value(a), str)]
             inputs = list(dict.fromkeys([*self.refs(value), *strings])) or ["*"]
             aggs += [{"op": op, "input": c, "output": out} for c in inputs]
+        if frame.pivoted is not None:
+            # one column a value and aggregate, from the pivoted column and the aggregate's input
+            several = len({a["output"] for a in aggs}) > 1
+            aggs = [{"op": a["op"], "input": c, "output": f"{v}_{a['output']}" if several else v} for v in frame.pivoted for a in aggs for c in (a["input"], frame.pivot_column)]
+            dynamic = dynamic or not frame.pivoted
         if dynamic:
             self.warn(line, "dynamic-aggregation", "the aggregates are computed when the program runs")
         self.edge("aggregates", line, source=frame.node, target=target, group_keys=keys, aggs=aggs, is_dynamic=dynamic)
@@ -549,7 +702,7 @@ class Extractor:
     # -- columns ------------------------------------------------------------------------------------
 
     def shown(self, node: ast.AST) -> str:
-        return ast.unparse(node)[:2000]
+        return ast.unparse(node)
 
     def refs(self, node: ast.AST | None, seen: frozenset = frozenset()) -> list[str]:
         """Columns an expression names, through column variables and predicate dictionaries."""
@@ -655,7 +808,7 @@ class Extractor:
             bare = self.bare_column(value) or (self.symbols.value(value) if isinstance(self.symbols.value(value), str) else None)
             literal = isinstance(value, ast.Call) and (self.dotted(value.func) or "").rpartition(".")[2] == "lit"
             kind = "lit" if literal else "col" if bare else "expr"
-            fields.append({"field": out if out != UNRESOLVED else bare or UNRESOLVED, "kind": kind, "value": ast.unparse(value.args[0] if literal and value.args else value)[:250], "source_cols": [] if literal else [bare] if bare else self.refs(value), "rule_logic": self.rules(value) or None})
+            fields.append({"field": out if out != UNRESOLVED else bare or UNRESOLVED, "kind": kind, "value": ast.unparse(value.args[0] if literal and value.args else value), "source_cols": [] if literal else [bare] if bare else self.refs(value), "rule_logic": self.rules(value) or None})
         return fields
 
     def window(self, node: ast.AST) -> dict | None:

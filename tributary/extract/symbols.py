@@ -16,13 +16,36 @@ class Symbols:
 
     values: dict[str, object] = field(default_factory=dict)
 
-    def learn(self, tree: ast.AST) -> None:
-        """Top-level assignments of one name to a value that can be worked out, in order."""
-        for node in getattr(tree, "body", []):
-            if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+    def learn(self, tree: ast.AST, module: str | None = None) -> None:
+        """Top-level assignments of one name, and those in classes as ``Class.NAME``, to values that can be worked out, in order.
+
+        With ``module`` they are known as ``module.NAME`` too, which is how a file that imports the module asks for them.
+        """
+        for owner, node in [("", n) for n in getattr(tree, "body", [])] + [(f"{c.name}.", n) for c in getattr(tree, "body", []) if isinstance(c, ast.ClassDef) for n in c.body]:
+            target = node.targets[0] if isinstance(node, ast.Assign) and len(node.targets) == 1 else node.target if isinstance(node, ast.AnnAssign) else None
+            if isinstance(target, ast.Name):
                 value = self.value(node.value)
                 if value is not None:
-                    self.values[node.targets[0].id] = value
+                    for prefix in ("", f"{module}.") if module else ("",):
+                        self.values[f"{prefix}{owner}{target.id}"] = value
+
+    def imports(self, tree: ast.AST) -> None:
+        """Names under which a file imports modules with known values, or such values."""
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Import):
+                for a in node.names:
+                    self._known_as(a.name.rpartition(".")[2], a.asname or a.name)
+            elif isinstance(node, ast.ImportFrom):
+                module = (node.module or "").rpartition(".")[2]
+                for a in node.names:
+                    if f"{module}.{a.name}" in self.values:
+                        self.values[a.asname or a.name] = self.values[f"{module}.{a.name}"]
+                    self._known_as(a.name, a.asname or a.name)
+                    self._known_as(f"{module}.{a.name}", a.asname or a.name)
+
+    def _known_as(self, name: str, alias: str) -> None:
+        if name != alias:
+            self.values |= {f"{alias}.{k[len(name) + 1 :]}": v for k, v in self.values.items() if k.startswith(f"{name}.")}
 
     def value(self, node: ast.AST | None) -> object | None:
         if isinstance(node, ast.Constant):
@@ -30,7 +53,8 @@ class Symbols:
         if isinstance(node, ast.Name):
             return self.values.get(node.id)
         if isinstance(node, ast.Attribute):
-            return self.values.get(node.attr)
+            owner = _dotted(node.value)  # a name of another module or class is not this one's
+            return self.values.get(f"{owner}.{node.attr}") if owner else None
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
             held = self.value(node.operand)
             return -held if isinstance(held, (int, float)) else None
@@ -50,6 +74,15 @@ class Symbols:
         return held if isinstance(held, str) else UNRESOLVED
 
 
+def _dotted(node: ast.AST) -> str | None:
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        owner = _dotted(node.value)
+        return f"{owner}.{node.attr}" if owner else None
+    return None
+
+
 @dataclass
 class Registry:
     """helpers: function to {kind: passthrough or suffix_rename, suffix_arg}; sinks: class to {target_kwarg, mode_kwarg, merge_keys_kwarg, default_mode}."""

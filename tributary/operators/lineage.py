@@ -11,7 +11,7 @@ A column's role is that of the computation nearest the written table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, partitions
@@ -41,7 +41,9 @@ def column_steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     removed = F.col("removed_cols") if "removed_cols" in edges.columns else none
     moving = edges.filter("kind in ('derives', 'filters', 'reads', 'writes', 'projects') or (kind = 'opaque_transform' and is_passthrough)")
     plain = moving.select(*base, F.when(F.col("kind") == "projects", F.col("kept_cols")).alias("only"), F.when(F.col("kind") == "projects", removed).alias("without"))
-    sides = edges.filter("kind = 'joins'").select("graph_id", F.col("target").alias("node"), F.explode(F.array("source", "right_source")).alias("from_node"), none.alias("only"), none.alias("without"))
+    # a semi or anti join gives the columns of its left side only
+    both = F.when(F.col("join_type").isin("left_semi", "left_anti"), F.array("source")).otherwise(F.array("source", "right_source")) if "join_type" in edges.columns else F.array("source", "right_source")
+    sides = edges.filter("kind = 'joins'").select("graph_id", F.col("target").alias("node"), F.explode(both).alias("from_node"), none.alias("only"), none.alias("without"))
     return computed, plain.unionByName(sides).filter("from_node is not null").distinct()
 
 
@@ -165,14 +167,14 @@ def _distributed(computed: DataFrame, passing: DataFrame, start: DataFrame) -> D
     return result.select("graph_id", "table", "column", "role", "from_table", "from_column")
 
 
-def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame) -> DataFrame:
     """(graph_id, table, column): columns that nodes before a write compute or keep, unless a later step of the walk drops them."""
     named = computed.select("graph_id", "node", "col").unionByName(edges.filter("kind = 'projects'").select("graph_id", F.col("target").alias("node"), F.explode("kept_cols").alias("col"))).distinct()
     writes = edges.filter("kind = 'writes' and target is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
     # an aggregation or a projection fixes the columns: nothing above it adds one
     closed = edges.filter("kind = 'aggregates' or (kind = 'projects' and kept_cols is not null)").select("graph_id", F.col("target").alias("node")).distinct()
     frontier, seen = writes, writes
-    for _ in range(max_rounds):
+    while True:
         open_ = frontier.join(closed, ["graph_id", "node"], "left_anti")
         step = durable(open_.join(passing, ["graph_id", "node"]).select("graph_id", "table", F.col("from_node").alias("node")).filter(~is_table("node")).distinct().join(seen, ["graph_id", "table", "node"], "left_anti"), "step")
         if step.isEmpty():
@@ -266,12 +268,5 @@ def breaking(removed: DataFrame, fwd: DataFrame) -> DataFrame:
     """(graph_id, node, n_downstream) of removed columns something in the old graph depends on."""
     from .closure import closure
 
-    tagged = lambda c: F.concat_ws("\u0001", "graph_id", c)
-    reach = closure(fwd.select(tagged("src").alias("src"), tagged("dst").alias("dst")), removed.select(tagged("node").alias("seed"), tagged("node").alias("node")))
-    part = lambda i: F.split_part("seed", F.lit("\u0001"), F.lit(i))
-    return reach.filter("seed <> node").groupBy("seed").agg(F.count("*").alias("n_downstream")).select(part(1).alias("graph_id"), part(2).alias("node"), "n_downstream")
-
-
-def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    reach = closure(fwd, removed.select("graph_id", F.col("node").alias("seed"), "node"), group="graph_id")
+    return reach.filter("seed <> node").groupBy("graph_id", F.col("seed").alias("node")).agg(F.count("*").alias("n_downstream"))

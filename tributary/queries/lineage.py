@@ -10,6 +10,7 @@ from ..operators.closure import closure
 from ..operators.metrics import kappa, prf, sample_candidates, set_prf
 from ..operators.retrieval import bm25, budget_pack, chunks, top_ranked
 from ..operators.versions import latest_version
+from ..session import durable
 from ..sources.repository import Scope, run_order
 from .hierarchies import node_id
 from .registry import Registry
@@ -58,11 +59,8 @@ def merge_tables(spark, d):
 @query(_TABLE_LINKS + """, up AS (SELECT graph_id, src, dst FROM tl UNION SELECT up.graph_id, up.src, tl.dst FROM up JOIN tl ON tl.graph_id = up.graph_id AND tl.src = up.dst)
 SELECT graph_id, src AS seed, dst AS node FROM up""")
 def table_impact(spark, d):
-    links = L.table_links(edges(spark, d))
-    tag = lambda c: F.concat_ws("\u0001", "graph_id", c)
-    reach = closure(links.select(tag("src").alias("src"), tag("dst").alias("dst")), links.select(tag("src").alias("seed"), tag("src").alias("node")))
-    part = lambda c, i: F.split_part(c, F.lit("\u0001"), F.lit(i))
-    return reach.select(part("seed", 1).alias("graph_id"), part("seed", 2).alias("seed"), part("node", 2).alias("node"))
+    links = durable(L.table_links(edges(spark, d)), "links")
+    return closure(links, links.select("graph_id", F.col("src").alias("seed"), F.col("src").alias("node")), group="graph_id").select("graph_id", "seed", "node")
 
 
 @query(EDGES + """, ends AS (SELECT graph_id, source AS id FROM e UNION SELECT graph_id, right_source FROM e UNION SELECT graph_id, target FROM e),
@@ -101,7 +99,7 @@ pass AS (
   SELECT DISTINCT graph_id, target AS node, source AS from_node, CASE WHEN kind = 'projects' THEN kept_cols END AS only_cols FROM e
   WHERE (kind IN ('derives', 'filters', 'reads', 'writes', 'projects') OR (kind = 'opaque_transform' AND is_passthrough)) AND source IS NOT NULL
   UNION SELECT graph_id, target, source, NULL FROM e WHERE kind = 'joins' AND source IS NOT NULL
-  UNION SELECT graph_id, target, right_source, NULL FROM e WHERE kind = 'joins' AND right_source IS NOT NULL
+  UNION SELECT graph_id, target, right_source, NULL FROM e WHERE kind = 'joins' AND right_source IS NOT NULL AND coalesce(join_type, '') NOT IN ('left_semi', 'left_anti')
 ), writes AS (SELECT DISTINCT graph_id, target AS tbl, source AS node FROM e WHERE kind = 'writes' AND target IS NOT NULL),
 closed AS (SELECT DISTINCT graph_id, target AS node FROM e WHERE kind = 'aggregates' OR (kind = 'projects' AND kept_cols IS NOT NULL)),
 scope AS (
@@ -139,11 +137,9 @@ reach AS (SELECT graph_id, src, dst FROM fwd UNION SELECT r.graph_id, r.src, f.d
 SELECT graph_id, src AS seed, CAST(count(*) AS BIGINT) AS impacted FROM reach GROUP BY ALL""")
 def column_impact_counts(spark, d):
     """How many columns a change of each source column reaches."""
-    fwd = L.forward_index(L.provenance(edges(spark, d)))
-    tag = lambda c: F.concat_ws("\u0001", "graph_id", c)
-    reach = closure(fwd.select(tag("src").alias("src"), tag("dst").alias("dst")), fwd.select(tag("src").alias("seed"), tag("src").alias("node")))
-    part = lambda i: F.split_part("seed", F.lit("\u0001"), F.lit(i))
-    return reach.groupBy("seed").agg(F.count("*").alias("impacted")).select(part(1).alias("graph_id"), part(2).alias("seed"), "impacted")
+    fwd = durable(L.forward_index(L.provenance(edges(spark, d))), "forward")
+    reach = closure(fwd, fwd.select("graph_id", F.col("src").alias("seed"), F.col("src").alias("node")), group="graph_id")
+    return reach.groupBy("graph_id", "seed").agg(F.count("*").alias("impacted"))
 
 
 _FLOW = "WITH RECURSIVE s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), l AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL)"
