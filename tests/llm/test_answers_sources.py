@@ -7,10 +7,11 @@ from tributary.llm.answers import COMPLETE, Endings, Languages, defects, end_cla
 from tributary.llm.refusals import Refusals
 from tributary.llm.sources import diagnosed, judged
 
-GOOD_PYTHON = ["", "x = 1\n", "def f(a, /, b=1, *c, d, **e) -> int:\n  return a\n", "match x:\n    case {'a': [1, *_]} if y: pass\n    case A(b=2) | None: pass\n", "f'{x!r:>{w}} {{}} {y=}'\n", "async def g():\n    async with a as b, c: await d\n", "type X[T] = list[T]\nmatch = 3\nprint(match)\n", "try: pass\nexcept* E as e: pass\n", "a: int = (yield)\n", "x = [i async for i in y if (z := i)]\n", "with (open(a) as b, c): pass\n", "lambda *a, k=1, **b: (a, b)\n", "if a:\n\tb\n\tc\n", "a = 1 if b else 2; del a, (c)\n", "@d(1)\nclass A(B, m=C): x: int\n", "x = '''a\nb''' \"c\"\n", "print(*a, **b)\n", "a[1:2, ::3] = b = c\n", "0x_ff + 1_0j\n"]
-BAD_PYTHON = ["x = (", "print 'a'\n", "def f(:\n  pass\n", "  x = 1\n y\n", "f() = 3\n", "'abc\n", "1abc\n", "x = 0777\n", "f'{a'\n", "if a:\npass\n", "<<<<<<< HEAD\n", "return = 1\n", "a b\n", "for x in y\n  z\n", "x = )\n", "class\n", "f'}'\n", "x = 5 +\n", "import\n", "else: x\n"]
+GOOD_PYTHON = ["", "x = 1\n", "def f(a, /, b=1, *c, d, **e) -> int:\n  return a\n", "match x:\n    case {'a': [1, *_]} if y: pass\n    case A(b=2) | None: pass\n", "f'{x!r:>{w}} {{}} {y=}'\n", "async def g():\n    async with a as b, c: await d\n", "type X[T] = list[T]\nmatch = 3\nprint(match)\n", "try: pass\nexcept* E as e: pass\n", "a: int = (yield)\n", "x = [i async for i in y if (z := i)]\n", "with (open(a) as b, c): pass\n", "lambda *a, k=1, **b: (a, b)\n", "if a:\n\tb\n\tc\n", "a = 1 if b else 2; del a, (c)\n", "@d(1)\nclass A(B, m=C): x: int\n", "x = '''a\nb''' \"c\"\n", "print(*a, **b)\n", "f(a, *b, c, d=1, *e, f=2, **g)\n", "f(x for x in y)\n", "def f(a, b, /, c=1, *, d, e=2, g): pass\n", "def f(a, b=1, /, c=2): pass\n", "lambda a, b=1, *c, d: 0\n", "lambda: 0\n", "def f(*, a=1, b): pass\n", "f(a=1, **b, c=2)\n", "f((y := 1), z)\n", "a[1:2, ::3] = b = c\n", "0x_ff + 1_0j\n"]
+BAD_PYTHON = ["x = (", "print 'a'\n", "def f(:\n  pass\n", "  x = 1\n y\n", "f() = 3\n", "'abc\n", "1abc\n", "x = 0777\n", "f'{a'\n", "if a:\npass\n", "<<<<<<< HEAD\n", "return = 1\n", "a b\n", "for x in y\n  z\n", "x = )\n", "class\n", "f'}'\n", "x = 5 +\n", "import\n", "else: x\n", "f(a=1, b)\n", "f(**a, b)\n", "f(**a, *b)\n", "def f(a=1, b): pass\n", "lambda a=1, b: 0\n", "def f(a=1, /, b): pass\n"]
 GOOD_SQL = ["", "SELECT a FROM", "SELECT a, CASE", "SELECT a AS", "SELECT a FROM b WHERE", "-- only a note", "SELECT 1", "select a.b, count(distinct c) filter (where d > 1) over (partition by e order by f desc nulls last rows between 1 preceding and current row) from g a left join h using (k) where x in (select y from z) group by all having n > 1 order by 1 limit 3;", "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT x FROM b UNION ALL SELECT 2;;", "CREATE TABLE IF NOT EXISTS a.b (c STRUCT<d: ARRAY<MAP<STRING, DECIMAL(3,2)>>> COMMENT 'x') USING parquet PARTITIONED BY (c)", "INSERT OVERWRITE TABLE t PARTITION (d = '1') SELECT * FROM s", "MERGE INTO t USING s ON t.k = s.k WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", "SELECT CASE WHEN a THEN 'it''s' END, cast(b AS bigint), c[0].d, x -> x + 1, DATE '2020-01-01' FROM t LATERAL VIEW explode(q) e AS w /* note /* inner */ */", "CREATE OR REPLACE TEMP VIEW v AS SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(x, y)", "SELECT transform(a, (x, i) -> x + i), `odd name` FROM t TABLESAMPLE (10 PERCENT)"]
-BAD_SQL = ["SELECT (1", "SELECT 'abc", "CREATE TABLE t (a", "x = 1", "SELECT a FROM b WHERE c =", "INSERT INTO", "SELECT 1 /* open", "<<<<<<< HEAD\nSELECT 1", "SELECT a,, b FROM t", "import os"]
+GOOD_SQL += ["SHOW TABLES IN a LIKE 'x*'", "SHOW CREATE TABLE a.b", "SHOW COLUMNS IN a", "SHOW SCHEMAS", "SHOW PARTITIONS a", "SHOW USER FUNCTIONS", "SHOW TBLPROPERTIES a"]
+BAD_SQL = ["SHOW TABLES IN", "SHOW CREATE TABLE", "OPTIMIZE a", "SHOW COLUMNS", "SELECT (1", "SELECT 'abc", "CREATE TABLE t (a", "x = 1", "SELECT a FROM b WHERE c =", "INSERT INTO", "SELECT 1 /* open", "<<<<<<< HEAD\nSELECT 1", "SELECT a,, b FROM t", "import os"]
 
 
 @pytest.mark.parametrize("text", GOOD_PYTHON + BAD_PYTHON)
@@ -28,7 +29,7 @@ def test_sql_grammar_against_the_parser(spark):
     parser = spark._jsparkSession.sessionState().sqlParser()
     for text in GOOD_SQL + BAD_SQL:
         assert diagnosed(text, "sql")[0] == (text in GOOD_SQL), text
-    for text in GOOD_SQL[1:5] + GOOD_SQL[6:8] + BAD_SQL[:7]:
+    for text in GOOD_SQL[1:5] + GOOD_SQL[6:8] + GOOD_SQL[-7:] + BAD_SQL[:11]:
         try:
             parser.parsePlan(text.rstrip(";"))
             valid = True
@@ -41,6 +42,7 @@ def test_json_and_causes():
     assert diagnosed('{"a": [1, -2.5e3, "x\\u00e9", null]}\n', "json")[0]
     assert [diagnosed(t, "json")[0] for t in ("", "{} {}", "{'a': 1}", '{"a": NaN}', "[1,]", '"a\n"', "01")] == [False] * 7
     assert diagnosed('{"a": 1', "json")[3] == "end of file"
+    assert diagnosed("[" * 60_000 + "]" * 60_000, "json")[0] and not diagnosed("[" * 60_000 + "]" * 59_999, "json")[0]
     assert diagnosed("x = 1\n<<<<<<< ours\ny = 2\n", "python")[1:] == (2, 1, "conflict marker")
     assert diagnosed("SELECT a FROM b", "python")[3] == "wrong extension: sql"
     assert diagnosed("(" * 5000, "python")[0] is False
@@ -50,6 +52,7 @@ def test_judged_files(spark):
     data = [(1, "r", "a.PY", "x = ("), (2, "r", "b.sql", None), (3, "r", "c.json", None), (4, None, "d.txt", "?"), (5, "r", None, "x"), (None, "r", "e.py", "("), (6, "r", "f.ipynb", "x = 1\n" * 50_000)]
     df = spark.createDataFrame(data, "file_id long, repo string, rel_path string, content string")
     assert rows(judged(df).filter("not valid").select("file_id")) == [(1,), (3,), (6,)]
+    assert rows(judged(df, causes=False).filter("not valid").select("file_id")) == [(1,), (3,), (6,)]
     assert judged(df).filter("valid is null").count() == 2 and judged(df.limit(0)).count() == 0
 
 

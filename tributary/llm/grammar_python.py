@@ -32,15 +32,19 @@ async: 'async' (function / for / with)
 type_params: '[' type_param (',' type_param)* ','? ']'
 type_param: NAME (':' expression)? ('=' expression)? / '*' NAME ('=' star_expression)? / '**' NAME ('=' expression)?
 parameters: parameter_list &')'
-parameter_list: positional (',' '/' (',' rest_of_parameters)?)? ','? / positional ',' star_etc ','? / star_etc ','?
-positional: parameter (',' parameter)* (',' '/' )? (',' parameter)* (',' star_etc)?
-rest_of_parameters: parameter (',' parameter)* (',' star_etc)? / star_etc
+parameter_list: positional (',' star_etc)? ','? / star_etc ','?
+positional: bare (',' bare)* (',' '/' (',' bare)* (',' defaulted)* / (',' defaulted)+ (',' '/' (',' defaulted)*)?)? / defaulted (',' defaulted)* (',' '/' (',' defaulted)*)?
+bare: NAME (':' expression)? !'='
+defaulted: NAME (':' expression)? '=' expression
 parameter: NAME (':' expression)? ('=' expression)?
 star_etc: '*' NAME (':' star_expression)? (',' parameter)* (',' double_star)? / '*' (',' parameter)+ (',' double_star)? / double_star
 double_star: '**' NAME (':' expression)?
 lambda: 'lambda' lambda_parameters? ':' expression
 lambda_parameters: lambda_list ','?
-lambda_list: lambda_parameter (',' lambda_parameter)* (',' '/')? (',' lambda_parameter)* (',' lambda_star)? / lambda_star
+lambda_list: lambda_positional (',' lambda_star)? / lambda_star
+lambda_positional: lambda_bare (',' lambda_bare)* (',' '/' (',' lambda_bare)* (',' lambda_defaulted)* / (',' lambda_defaulted)+ (',' '/' (',' lambda_defaulted)*)?)? / lambda_defaulted (',' lambda_defaulted)* (',' '/' (',' lambda_defaulted)*)?
+lambda_bare: NAME !'='
+lambda_defaulted: NAME '=' expression
 lambda_parameter: NAME ('=' expression)?
 lambda_star: '*' NAME (',' lambda_parameter)* (',' '**' NAME)? / '*' (',' lambda_parameter)+ (',' '**' NAME)? / '**' NAME
 if: 'if' named ':' block ('elif' named ':' block)* else?
@@ -107,8 +111,9 @@ strings: (STRING / fstring)+
 fstring: FSTART fpart* FEND
 fpart: FTEXT / '{' fvalue '}'
 fvalue: (yield / star_expressions) '='? ('!' NAME)? (':' FSPEC fpart* )?
-arguments: argument (',' argument)* ','? &')'
-argument: NAME '=' expression / '**' expression / '*' expression / named comprehension &(')') / named !'='
+arguments: (plain_argument (',' plain_argument)* (',' keywords)? / keywords) ','? &')'
+plain_argument: '*' expression / named comprehension &(')') / !(NAME '=') named !'='
+keywords: (NAME '=' expression / '*' expression) (',' (NAME '=' expression / '*' expression))* (',' (NAME '=' expression / '**' expression))* / (NAME '=' expression / '**' expression) (',' (NAME '=' expression / '**' expression))*
 star_targets: star_target (',' star_target)* ','?
 star_target: '*' plain_target / plain_target
 plain_target: long_target / NAME !target_more / '(' star_targets? ')' !target_more / '[' star_targets? ']' !target_more

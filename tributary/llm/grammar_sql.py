@@ -14,13 +14,15 @@ cache: 'CACHE' 'LAZY'? 'TABLE' name ('OPTIONS' properties)? ('AS'? query)? / 'UN
 refresh: 'REFRESH' ('TABLE' name / 'FUNCTION' name / anything+) / 'MSCK' 'REPAIR' 'TABLE' name (('ADD' / 'DROP' / 'SYNC') 'PARTITIONS')? / 'REPAIR' 'TABLE' name
 analyze: 'ANALYZE' ('TABLE' name partition? 'COMPUTE' 'STATISTICS' ('NOSCAN' / 'FOR' 'COLUMNS' names / 'FOR' 'ALL' 'COLUMNS')? / 'TABLES' (('IN' / 'FROM') name)? 'COMPUTE' 'STATISTICS' 'NOSCAN'?)
 comment_on: 'COMMENT' 'ON' ('TABLE' / 'DATABASE' / 'SCHEMA' / 'NAMESPACE' / 'COLUMN') name 'IS' (STRING / 'NULL')
-grant_like: ('GRANT' / 'REVOKE' / 'LOCK' / 'UNLOCK' / 'ADD' / 'LIST' / 'DFS' / 'OPTIMIZE' / 'VACUUM' / 'RESTORE' / 'COPY') anything+
+grant_like: ('GRANT' / 'REVOKE' / 'LOCK' / 'UNLOCK' / 'ADD' / 'LIST' / 'DFS') anything+
 call: 'CALL' name '(' (call_arg (',' call_arg)*)? ')' / 'EXECUTE' 'IMMEDIATE' expr ('INTO' names)? ('USING' named_exprs)?
 call_arg: ident '=>' expr / expr
 declare: 'DECLARE' ('OR' 'REPLACE')? 'VARIABLE'? names type? (('DEFAULT' / '=') expr)?
 anything: !(';' / EOF) ANY
 describe: ('DESCRIBE' / 'DESC') ('FUNCTION' 'EXTENDED'? (name / STRING) / ('DATABASE' / 'SCHEMA' / 'NAMESPACE') 'EXTENDED'? name / 'QUERY'? query / 'TABLE'? ('EXTENDED' / 'FORMATTED')? name partition? name? ('AS' 'JSON')?)
-show: 'SHOW' anything+
+show: 'SHOW' (('DATABASES' / 'SCHEMAS' / 'NAMESPACES' / 'TABLES' / 'VIEWS' / 'PROCEDURES') in_name? like? / 'TABLE' 'EXTENDED' in_name? 'LIKE' STRING partition? / 'TBLPROPERTIES' name ('(' (name / STRING) ')')? / 'COLUMNS' in_name in_name? / 'PARTITIONS' name partition? / 'CREATE' 'TABLE' name ('AS' 'SERDE')? / 'CURRENT' ident / ('CATALOGS' / 'COLLATIONS') like? / 'FUNCTIONS' in_name? ('LIKE'? (STRING / name))? / ident 'FUNCTIONS' in_name? ('LIKE'? (STRING / name))?)
+in_name: ('FROM' / 'IN') name
+like: 'LIKE'? STRING
 truncate: 'TRUNCATE' 'TABLE' name partition?
 drop: 'DROP' ('TEMPORARY' / 'TEMP')? ('TABLE' / 'VIEW' / 'FUNCTION' / 'DATABASE' / 'SCHEMA' / 'NAMESPACE' / 'VARIABLE' / 'INDEX') if_exists? name ('PURGE' / 'CASCADE' / 'RESTRICT')?
 if_exists: 'IF' 'EXISTS'

@@ -6,8 +6,8 @@ furthest position reached is reported with its cause: a conflict marker on that
 
 Defined results: extensions count in any case; files of other extensions are not judged (``valid`` is
 null); a null content counts as empty, which is a valid Python or SQL file and no JSON text; rows with a
-null file id are left out; a text nested too deep to parse is invalid, as it is for the language's own
-parser. An empty table gives no rows. Extra columns are not read.
+null file id are left out; a Python or SQL text nested too deep to parse is invalid, as it is for the language's
+own parser, and JSON may nest to any depth. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,13 +39,27 @@ def _parser(language: str):
     return grammar_json.tokens, peg.compiled(grammar_json.GRAMMAR, "text")
 
 
+def _depth(kinds: list[str]) -> int:
+    """How deep brackets nest."""
+    depth = deepest = 0
+    for kind in kinds:
+        if kind in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+        elif kind in "]}":
+            depth -= 1
+    return deepest
+
+
 def furthest_failure(text: str, language: str) -> tuple[int, str] | None:
     """None for a text that parses whole, else the offset of the furthest failure and its lexical cause."""
     tokens, parse = _parser(language)
-    if sys.getrecursionlimit() < 20_000:
-        sys.setrecursionlimit(20_000)
+    kinds, at, cause = tokens(text)
+    # JSON may nest to any depth; the other languages' own parsers give up earlier than this
+    room = 20_000 + (8 * _depth(kinds) if language == "json" else 0)
+    if sys.getrecursionlimit() < room:
+        sys.setrecursionlimit(room)
     try:
-        kinds, at, cause = tokens(text)
         failed = parse(kinds)
     except RecursionError:
         return 0, "nesting"
@@ -76,15 +90,20 @@ def diagnosed(text: str | None, language: str) -> tuple[bool, int | None, int |
     return False, len(breaks) + 1, offset - start + 1, cause
 
 
-def judged(files: DataFrame) -> DataFrame:
-    """(file_id, repo, language, valid, line, column, cause) of every file."""
+def judged(files: DataFrame, causes: bool = True) -> DataFrame:
+    """(file_id, repo, language, valid, line, column, cause) of every file; without ``causes`` the last three are null and no other grammar is tried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist()):
                 language = EXTENSIONS.get((path or "").rpartition(".")[2].strip().lower())
-                rows.append((language, *(diagnosed(content, "json" if language == "notebook" else language) if language else (None, None, None, None))))
+                if language is None:
+                    rows.append((None,) * 5)
+                elif causes:
+                    rows.append((language, *diagnosed(content, "json" if language == "notebook" else language)))
+                else:
+                    rows.append((language, furthest_failure(content or "", "json" if language == "notebook" else language) is None, None, None, None))
             kinds = (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo"), *columns], names=["file_id", "repo", "language", "valid", "line", "column", "cause"])
@@ -93,12 +112,12 @@ def judged(files: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "file_id bigint, repo string, language string, valid boolean, line int, column int, cause string")
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(latest_version(table(spark, sf_dir, "source_files").select("file_id", "repo", "rel_path", "content", "ingested_ts"), "file_id"))
+def _files(spark: SparkSession, sf_dir: str, causes: bool = True) -> DataFrame:
+    return judged(latest_version(table(spark, sf_dir, "source_files").select("file_id", "repo", "rel_path", "content", "ingested_ts"), "file_id"), causes)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).filter("not valid").select("file_id")
+    return _files(spark, sf_dir, causes=False).filter("not valid").select("file_id")
 
 
 def p4_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
