@@ -3,17 +3,22 @@
 Expectation-maximisation over items with labels 0 and 1: every judge has a confusion matrix, and the
 prior of an item's label comes from a ridge-regularised logistic model of the item's features, fitted
 jointly. An iteration is one pass over the items, which are stored once with their labels side by side;
-only sums come back: four numbers a judge and two a feature bucket.
+only sums come back: four numbers a judge, two a feature bucket and the likelihood. The first pass starts from the
+votes, and every third is made from parameters that are extrapolated from the two steps before (squared extrapolation,
+SQUAREM), so that a third of the passes of plain EM are enough; a pass whose likelihood falls is taken back. It ends when
+neither likelihood nor parameters move; a fit that has not after ``ROUNDS`` passes says so in a warning.
 
 Defined results: labels other than 0 and 1 and rows without judge or item do not count; of several usable
 labels by one judge for an item the latest holds (on a tie of times the greater record id); an item
 without usable label has no consensus unless it was corrected; a correction overrules. Names are compared
-in lower case without outer blanks. An empty table gives no rows. Judges are people or models: their
-confusion matrices (32 bytes each) are held by every task, up to ``MOST_JUDGES``; more are an error.
+in lower case without outer blanks. An empty table gives no rows. Up to ``HELD_JUDGES`` judges their confusion
+matrices (32 bytes each) are held by every task; beyond it they are a table that is joined to the labels in every pass,
+with the same result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,8 @@ from ..queries.tables import table
 from ..session import durable
 
 BUCKETS = 512
-MOST_JUDGES = 2_000_000
+HELD_JUDGES = 500_000
+ROUNDS = 90
 ITEM = ["bench", "change_col", "candidate"]
 
 
@@ -58,14 +64,26 @@ class Model:
     def __init__(self, n_judges: int, buckets: int):
         self.rates = np.tile(np.array([[0.7, 0.3], [0.3, 0.7]]), (n_judges, 1, 1))
         self.weights = np.zeros(buckets)
+        self.converged, self.passes = False, 0
 
-    def posterior(self, owner: np.ndarray, judge: np.ndarray, label: np.ndarray, f_owner: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of label 1 with and without the judges' labels."""
+    def flat(self) -> np.ndarray:
+        """All parameters, unbounded: logits of the rates and the weights."""
+        return np.concatenate([np.log(self.rates[:, :, 1] / self.rates[:, :, 0]).ravel(), self.weights])
+
+    def set(self, flat: np.ndarray) -> None:
+        n = 2 * len(self.rates)
+        one = 1 / (1 + np.exp(-np.clip(flat[:n], -12, 12))).reshape(-1, 2)
+        self.rates, self.weights = np.stack([1 - one, one], axis=2), flat[n:].copy()
+
+    def posterior(self, owner: np.ndarray, judge: np.ndarray, label: np.ndarray, f_owner: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Probability of label 1 with and without the judges' labels, and the log likelihood of the labels."""
         score = np.bincount(f_owner, weights=self.weights[feature], minlength=n)
-        odds = np.log(self.rates[judge, 1, label]) - np.log(self.rates[judge, 0, label])
-        both = score + np.bincount(owner, weights=odds, minlength=n)
+        log = np.log(self.rates)
+        one, none = (np.bincount(owner, weights=log[judge, t, label], minlength=n) for t in (1, 0))
         squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-        return squash(both), squash(score)
+        # log(p * e^one + (1 - p) * e^none) with p = squash(score)
+        likelihood = np.logaddexp(one - np.logaddexp(0, -score), none - np.logaddexp(0, score))
+        return squash(score + one - none), squash(score), float(likelihood.sum())
 
     def sums(self, q: np.ndarray, prior: np.ndarray, owner, judge, label, f_owner, feature) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.zeros_like(self.rates)
@@ -77,6 +95,11 @@ class Model:
         curve = np.bincount(feature, weights=0.25 * width[f_owner], minlength=len(self.weights))
         return counts, slope, curve
 
+    def penalty(self, ridge: float) -> float:
+        """What the priors of the parameters take from the likelihood."""
+        smooth = np.array([[2.0, 1.0], [1.0, 2.0]])
+        return float(0.5 * ridge * (self.weights[:-1] ** 2).sum() + 0.5e-3 * self.weights[-1] ** 2 - (smooth * np.log(self.rates)).sum())
+
     def step(self, counts: np.ndarray, slope: np.ndarray, curve: np.ndarray, ridge: float) -> float:
         """The next parameters; returns the largest change."""
         smooth = counts + np.array([[2.0, 1.0], [1.0, 2.0]])
@@ -100,36 +123,63 @@ def _arrays(batch: pa.RecordBatch):
     return owner, judge, label, f_owner, feature
 
 
-def fit(items: DataFrame, n_judges: int, buckets: int = BUCKETS, ridge: float = 20.0, rounds: int = 60, tolerance: float = 1e-3) -> Model:
-    """Fit by EM over (judges, labels, features) rows."""
+def _pass(items: DataFrame, model: Model, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One pass over (judges, labels, features) rows: label counts of the judges, slope and curvature of the weights, log likelihood."""
+    shared = items.sparkSession.sparkContext.broadcast(model)
+    n_judges = len(model.rates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = shared.value
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrays = _arrays(batch)
+            q, prior, likelihood = now.posterior(*arrays, batch.num_rows)
+            part = (*now.sums(q, prior, *arrays), np.array([likelihood]))
+            total = part if total is None else tuple(a + b for a, b in zip(total, part))
+        if total is not None:
+            flat = np.concatenate([t.ravel() for t in total])
+            used = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["at", "value"])
+
+    sums = items.select("judges", "labels", "features").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    shared.unpersist()
+    flat = np.zeros(4 * n_judges + 2 * buckets + 1)
+    flat[sums["at"].to_numpy(dtype=np.int64)] = sums["value"].to_numpy(dtype=float)
+    return flat[: 4 * n_judges].reshape(n_judges, 2, 2), flat[4 * n_judges : 4 * n_judges + buckets], flat[4 * n_judges + buckets : -1], float(flat[-1])
+
+
+def fit(items: DataFrame, n_judges: int, buckets: int = BUCKETS, ridge: float = 20.0, rounds: int = ROUNDS, tolerance: float = 1e-3, extrapolate: bool = True) -> Model:
+    """Fit by EM over (judges, labels, features) rows; ``extrapolate=False`` is plain EM."""
     model = Model(n_judges, buckets)
-    context = items.sparkSession.sparkContext
-    for _ in range(rounds):
-        shared = context.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = shared.value
-            total = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                arrays = _arrays(batch)
-                q, prior = now.posterior(*arrays, batch.num_rows)
-                part = now.sums(q, prior, *arrays)
-                total = part if total is None else tuple(a + b for a, b in zip(total, part))
-            if total is not None:
-                flat = np.concatenate([t.ravel() for t in total])
-                used = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["at", "value"])
-
-        sums = items.select("judges", "labels", "features").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(4 * n_judges + 2 * buckets)
-        flat[sums["at"].to_numpy(dtype=np.int64)] = sums["value"].to_numpy(dtype=float)
-        counts, slope, curve = flat[: 4 * n_judges].reshape(n_judges, 2, 2), flat[4 * n_judges : 4 * n_judges + buckets], flat[4 * n_judges + buckets :]
+    last, steps = -np.inf, []  # what is reached, and the parameters before each plain step since the last extrapolation
+    safe = None
+    while model.passes < rounds:
+        before = model.flat()
+        counts, slope, curve, likelihood = _pass(items, model, buckets)
+        model.passes += 1
+        reached = likelihood - model.penalty(ridge)
+        if safe is not None and reached < last - 1e-9 * abs(last):
+            model.set(safe)  # the extrapolated parameters are worse than those they came from
+            safe, steps = None, []
+            continue
         change = model.step(counts, slope, curve, ridge)
-        shared.unpersist()
-        if change < tolerance:
+        if change < tolerance and safe is None:
+            model.converged = True
             break
+        safe, last = None, max(last, reached)
+        steps.append(before)
+        if extrapolate and len(steps) == 2:
+            first, now = steps[1] - steps[0], model.flat() - steps[1]
+            bend = np.linalg.norm(now - first)
+            if bend > 0:
+                length = min(-1.0, -np.linalg.norm(first) / bend)
+                safe = model.flat()
+                model.set(steps[0] - 2 * length * first + length * length * (now - first))
+            steps = []
+    if not model.converged:
+        warnings.warn(f"the fit still moved after {rounds} passes", stacklevel=2)
     return model
 
 
@@ -138,9 +188,11 @@ def consensus(records: DataFrame, buckets: int = BUCKETS, ridge: float = 20.0) -
     spark = records.sparkSession
     records = durable(records, "records")
     labels = durable(usable_labels(records), "labels")
-    names = labels.groupBy("judge").agg(F.count("*").alias("n")).orderBy("judge").limit(MOST_JUDGES + 1).toPandas()
-    if len(names) > MOST_JUDGES:
-        raise ValueError(f"more than {MOST_JUDGES} judges")
+    counted = durable(labels.groupBy("judge").agg(F.count("*").alias("n")), "judges")
+    if counted.count() > HELD_JUDGES:
+        judged, judges = _joined(labels, counted, buckets, ridge)
+        return _reported(records, judged), judges
+    names = counted.orderBy("judge").toPandas()
     numbers = spark.createDataFrame([(j, i) for i, j in enumerate(names["judge"])], "judge string, number int")
     numbered = labels.join(F.broadcast(numbers) if len(names) <= 100_000 else numbers, "judge")
     # an item has a handful of labels, one a judge
@@ -151,10 +203,18 @@ def consensus(records: DataFrame, buckets: int = BUCKETS, ridge: float = 20.0) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, _ = shared.value.posterior(*_arrays(batch), batch.num_rows)
+            q, _, _ = shared.value.posterior(*_arrays(batch), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ITEM), pa.array(q), batch.column("labels")], names=[*ITEM, "probability", "labels"])
 
     judged = items.mapInArrow(run, "bench string, change_col string, candidate string, probability double, labels array<int>")
+    right = model.rates[:, 1, 1], model.rates[:, 0, 0]
+    rows = [(str(j), int(k), float(s), float(t), float((s + t) / 2)) for j, k, s, t in zip(names["judge"], names["n"], *right)]
+    judges = spark.createDataFrame(rows, "judge string, n_labels bigint, right_on_1 double, right_on_0 double, reliability double")
+    return _reported(records, judged), judges
+
+
+def _reported(records: DataFrame, judged: DataFrame) -> DataFrame:
+    """Every item with author, correction, consensus, its probability and the agreement of its labels."""
     own = records.select(*(_plain(c).alias(c) for c in ITEM), F.when(F.col("author").isin(0, 1), F.col("author")).alias("author"), F.when(F.col("corrected_author").isin(0, 1), F.col("corrected_author")).alias("corrected"))
     own = own.filter(F.coalesce(*ITEM).isNotNull()).groupBy(*ITEM).agg(F.max("author").alias("author"), F.max("corrected").alias("corrected"))
     a, b = own.alias("a"), judged.alias("b")
@@ -170,10 +230,43 @@ def consensus(records: DataFrame, buckets: int = BUCKETS, ridge: float = 20.0) -
     ones = F.aggregate("labels", F.lit(0), lambda s, x: s + x)
     pairs = F.when(n > 1, (ones * (ones - 1) + (n - ones) * (n - ones - 1)) / (n * (n - 1)))
     whole = with_label.select(*ITEM, "author", "corrected", "consensus", F.round("probability", 6).alias("probability"), "n_labels", F.when(n > 0, agree / n).alias("agreement"), pairs.alias("pair_agreement"))
-    right = model.rates[:, 1, 1], model.rates[:, 0, 0]
-    rows = [(str(j), int(k), float(s), float(t), float((s + t) / 2)) for j, k, s, t in zip(names["judge"], names["n"], *right)]
-    judges = spark.createDataFrame(rows, "judge string, n_labels bigint, right_on_1 double, right_on_0 double, reliability double")
-    return whole, judges
+    return whole
+
+
+def _joined(labels: DataFrame, counted: DataFrame, buckets: int, ridge: float, rounds: int = ROUNDS, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """The same model where judges are too many to hold: (judged items, judges); plain EM with the rates as a table."""
+    shrink = np.full(buckets, ridge)
+    shrink[-1] = 1e-3
+    named = labels.withColumn("item", F.sha2(F.concat_ws("\u0001", *(F.coalesce(c, F.lit("\u0002")) for c in ITEM)), 256))
+    items = durable(named.groupBy("item").agg(*(F.first(c).alias(c) for c in ITEM)).withColumn("features", item_features(buckets)), "items")
+    votes = durable(named.select("item", "judge", "label"), "votes")
+    rates = counted.select("judge", F.lit(0.7).alias("r1"), F.lit(0.7).alias("r0"))  # right on 1, right on 0
+    weights = np.zeros(buckets)
+    for _ in range(rounds):
+        one = F.log(F.when(F.col("label") == 1, F.col("r1")).otherwise(1 - F.col("r1")))
+        none = F.log(F.when(F.col("label") == 1, 1 - F.col("r0")).otherwise(F.col("r0")))
+        odds = votes.join(rates, "judge").groupBy("item").agg(F.sum(one - none).alias("odds"))
+        table_ = F.array(*[F.lit(float(w)) for w in weights])
+        score = F.aggregate("features", F.lit(0.0), lambda s, f: s + F.element_at(table_, f + 1))
+        q = durable(items.join(odds, "item").withColumn("score", score).select("item", *ITEM, "features", "odds", "score", (1 / (1 + F.exp(-(F.col("score") + F.col("odds"))))).alias("q"), (1 / (1 + F.exp(-F.col("score")))).alias("prior")), "posterior")
+        width = F.size("features")
+        sums = q.select(F.explode("features").alias("f"), (F.col("q") - F.col("prior")).alias("slope"), (0.25 * width).alias("curve")).groupBy("f").agg(F.sum("slope"), F.sum("curve")).toPandas().to_numpy()  # one row a bucket
+        slope, curve = np.zeros(buckets), np.zeros(buckets)
+        slope[sums[:, 0].astype(int)], curve[sums[:, 0].astype(int)] = sums[:, 1], sums[:, 2]
+        fresh = weights + (slope - shrink * weights) / (curve + shrink)
+        on = lambda label, of: F.sum(F.when(F.col("label") == label, of).otherwise(0.0))
+        c = votes.join(q.select("item", "q"), "item").groupBy("judge").agg(on(1, F.col("q")).alias("c11"), on(0, F.col("q")).alias("c10"), on(1, 1 - F.col("q")).alias("c01"), on(0, 1 - F.col("q")).alias("c00"))
+        moved = durable(c.join(rates, "judge").select("judge", ((F.col("c11") + 2) / (F.col("c11") + F.col("c10") + 3)).alias("r1"), ((F.col("c00") + 2) / (F.col("c00") + F.col("c01") + 3)).alias("r0"), F.col("r1").alias("o1"), F.col("r0").alias("o0")), "rates")
+        change = max(float(np.abs(fresh - weights).max()), *moved.agg(F.max(F.abs(F.col("r1") - F.col("o1"))), F.max(F.abs(F.col("r0") - F.col("o0")))).first())
+        weights, rates = fresh, moved.select("judge", "r1", "r0")
+        if change < tolerance:
+            break
+    else:
+        warnings.warn(f"the fit still moved after {rounds} passes", stacklevel=2)
+    given = votes.groupBy("item").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    judged = q.join(given, "item").select(*ITEM, F.col("q").alias("probability"), "labels")
+    judges = counted.join(rates, "judge").select("judge", F.col("n").alias("n_labels"), F.col("r1").alias("right_on_1"), F.col("r0").alias("right_on_0"), ((F.col("r1") + F.col("r0")) / 2).alias("reliability"))
+    return judged, judges
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ to three sizes that fill a container exactly are enumerated, and non-negative le
 often each is used to explain the histogram; the counts are rounded and what they leave is packed
 greedily, longest first, still on the histogram. The result is a short list of patterns with repeat
 counts; the texts then find their slot by their rank among the texts of their size, which is counted in
-salted parts, so a size that a third of the texts have is no single task.
+salted parts of some ``ROWS_A_SALT`` rows each, so a size that a third of the texts have is no single task.
 
 Defined results: a text above the capacity is split into full pieces and a rest; null and empty texts
 have size 0 and go to container 0 without using room; every text has at least one piece; rows that
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..queries.tables import table
-from ..session import durable, partitions
+from ..session import durable
 from .tokens import VOCABULARY, with_token_counts
 
 CAPACITY = 2048
-MOST_SALTS = 256  # the driver gets at most (capacity + 1) x this many counts
+ROWS_A_SALT = 50_000
 
 
 def combinations(capacity: int, grid: int | None = None) -> np.ndarray:
@@ -136,27 +136,29 @@ def slots(found: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, t
 def packed(sizes: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", size_column: str = "n_tokens") -> DataFrame:
     """(id, piece, first_token, n_tokens, container_id) of every text or piece."""
     spark = sizes.sparkSession
-    salts = min(MOST_SALTS, max(16, partitions(spark)))
     size = F.col(size_column)
     last = F.when(size > 0, F.ceil(size / capacity) - 1).otherwise(0)
     pieces = sizes.select(F.col(id_column).cast("bigint").alias("doc_id"), size.alias("size"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("n_tokens"))
-    pieces = durable(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
-    # bounded by capacity x salts rows
-    counts = pieces.groupBy("n_tokens", "salt").count().toPandas()
-    table_ = np.zeros((capacity + 1, salts), dtype=np.int64)
-    table_[counts["n_tokens"].to_numpy(dtype=np.int64), counts["salt"].to_numpy(dtype=np.int64)] = counts["count"].to_numpy(dtype=np.int64)
-    places = slots(patterns(table_.sum(axis=1), capacity), capacity)
-    offsets = np.cumsum(table_, axis=1) - table_
-    shared = spark.sparkContext.broadcast((places, offsets))
+    pieces = durable(pieces, "pieces")
+    of_size = pieces.groupBy("n_tokens").count().toPandas()  # capacity + 1 rows at most
+    histogram = np.zeros(capacity + 1, dtype=np.int64)
+    histogram[of_size["n_tokens"].to_numpy(dtype=np.int64)] = of_size["count"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(slots(patterns(histogram, capacity), capacity))
+    salts = max(16, -(-int(histogram.max(initial=0)) // ROWS_A_SALT))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # one row a size and salt: a thousandth of the pieces or less in the sizes that have many
+    counts = durable(pieces.groupBy("n_tokens", "salt").count(), "counts")
+    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1)
+    # the pieces are not shuffled again for this join: they lie by size and salt
+    ranked = pieces.withColumn("inside", F.row_number().over(order) - 1).join(offsets, ["n_tokens", "salt"]).withColumn("rank", F.col("inside") + F.col("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, offsets = shared.value
+        places = shared.value
         for batch in batches:
-            size, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "salt", "rank"))
-            rank = rank + offsets[size, salt]
+            size, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "rank"))
             container = np.zeros(len(size), dtype=np.int64)
             order = np.argsort(size, kind="stable")
             values, starts = np.unique(size[order], return_index=True)
@@ -194,5 +196,17 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("fewest"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("filled"))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_summary": p8_summary}
+def p8_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: every text is there once and whole, pieces only where a text is longer than a container, no container too full, few wasted."""
+    sizes = durable(_sizes(spark, sf_dir), "sizes")
+    found = durable(packed(sizes), "packed")
+    texts = found.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"))
+    both = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("size")).join(texts, "doc_id", "full_outer")
+    right = (F.col("size") == F.col("n")) & (F.col("size") == F.col("upto")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / CAPACITY)))
+    whole = both.agg(F.count("*").alias("texts"), F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong_texts"))
+    boxes = fill(found).agg(F.count_if(F.col("used") > CAPACITY).alias("too_full"), (F.count("*") <= F.greatest(F.lit(1), F.ceil(1.01 * F.sum("used") / CAPACITY + 1))).alias("within_a_hundredth"))
+    return whole.withColumn("one", F.lit(1)).join(boxes.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+SQL = {"p8_properties": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS wrong_texts, CAST(0 AS BIGINT) AS too_full, true AS within_a_hundredth FROM documents"}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_summary": p8_summary, "p8_properties": p8_properties}
