@@ -7,7 +7,7 @@ from conftest import rows
 
 from tributary.llm.fingerprints import winnow
 from tributary.llm.overlap import TILE, Overlap, least_common, rarest, split_roles, tiles
-from tributary.llm.spans import FingerprintIndex, shared_pairs, shared_spans, verified
+from tributary.llm.spans import FingerprintIndex, document_pairs, links, shared_pairs, shared_spans, text_classes, verified
 
 
 def corpus(seed=3, n=40):
@@ -23,7 +23,7 @@ def corpus(seed=3, n=40):
             begin = rnd.randint(0, max(0, len(p) - size))
             text += p[begin : begin + size] + word() + "é𝄞"
         texts.append(text)
-    return [*enumerate(texts), (100, None), (101, ""), (102, "x" * 500), (103, "x" * 450), (None, passages[0]), (104, texts[0] + "tail")]
+    return [*enumerate(texts), (100, None), (101, ""), (102, "x" * 500), (103, "x" * 450), (105, texts[0]), (106, passages[0] * 2), (107, passages[0] * 2), (108, passages[0] + "#" + passages[1] + "!" + passages[0]), (109, passages[0] + "*" + passages[1] + "?" + passages[0]), (None, passages[0]), (104, texts[0] + "tail")]
 
 
 def brute(docs, span=200):
@@ -46,12 +46,22 @@ def test_pairs_and_spans(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     pairs, marks = brute(docs)
     assert len(pairs) > 5
-    assert {(r.doc_id_a, r.doc_id_b) for r in shared_pairs(df, batches=3).collect()} == pairs
+    classes = text_classes(df)
+    stretches = shared_pairs(df, classes, batches=4, fanout=2)
+    got = [tuple(r) for r in document_pairs(stretches, classes).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    assert {r.doc_id: r.n_links for r in links(stretches, classes).collect() if r.n_links} == {i: sum(i in p for p in pairs) for i in {x for p in pairs for x in p}}
+    text = dict(docs)
+    for r in stretches.collect():
+        a, b = text[r.doc_id_a], text[r.doc_id_b]
+        assert r.length >= 200 and a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length]
+        for x, y in ((r.start_a - 1, r.start_b - 1), (r.start_a + r.length, r.start_b + r.length)):
+            assert min(x, y) < 0 or x >= len(a) or y >= len(b) or a[x] != b[y]
     sums = {}
     for r in shared_spans(df).collect():
         sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
     assert sums == marks
-    assert shared_pairs(df.limit(0)).count() == 0 and shared_spans(df.limit(0)).count() == 0
+    assert shared_pairs(df.limit(0), text_classes(df.limit(0))).count() == 0 and shared_spans(df.limit(0)).count() == 0
 
 
 def test_index_compacts(spark):

@@ -3,7 +3,8 @@
 Each batch of texts is reduced to winnowed window hashes, which are kept as an immutable run: a table
 bucketed and sorted by hash in the shared folder. A new batch is merge-joined with itself and with the
 runs before it (neither side is shuffled or sorted again), matches are verified on the texts, and runs
-are compacted into one when there are more than ``fanout``.
+are compacted into one when there are more than ``fanout``. Equal texts are folded into one class before, so
+that a group of copies is indexed and verified once; only a list of pairs, where one is asked for, expands it.
 
 Defined results: texts that are null or shorter than the span take part in nothing; offsets and lengths
 are Unicode code points; a span repeated inside one text only is not shared; rows with a null id are left
@@ -94,21 +95,21 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _longest_run(a: str, b: str) -> tuple[int, int]:
-    """(start, length) of the longest aligned stretch in which two texts agree."""
+def _stretches(a: str, b: str, span: int) -> list[tuple[int, int]]:
+    """(start, length) of the aligned stretches of at least ``span`` in which two texts agree."""
     n = min(len(a), len(b))
     x, y = (np.frombuffer(t[:n].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
     breaks = np.concatenate(([-1], np.flatnonzero(x != y), [n]))
     lengths = np.diff(breaks) - 1
-    best = int(lengths.argmax())
-    return int(breaks[best]) + 1, int(lengths[best])
+    return [(int(breaks[i]) + 1, int(lengths[i])) for i in np.flatnonzero(lengths >= span)]
 
 
 def verified(diagonals: DataFrame, docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id_a, doc_id_b, start_a, start_b, length): per diagonal the longest stretch that the texts really share, of at least ``span``.
+    """(doc_id_a, doc_id_b, start_a, start_b, length): every stretch of at least ``span`` that the texts really share, on each diagonal.
 
-    Only the part of each text around the equal grams is fetched: a stretch of ``span`` that holds one of
-    them cannot reach further; ``length`` is cut off there.
+    Only the part of each text around the equal grams is fetched. A stretch cannot reach further: each of its windows of
+    ``span`` holds a gram that is selected in both texts, so that it begins at most ``span - gram`` before the first of
+    them and ends at most as much after the last.
     """
     room = span - gram
     back = F.least(F.col("first"), F.col("first") - F.col("shift"), F.lit(room))
@@ -122,28 +123,61 @@ def verified(diagonals: DataFrame, docs: DataFrame, span: int = SPAN, gram: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [_longest_run(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            start, length = (np.array([r[i] for r in runs], dtype=np.int64) for i in (0, 1))
-            keep = np.flatnonzero(length >= span)
-            take = pa.array(keep)
-            at = [pa.array(batch.column(i).to_numpy()[keep] + start[keep], pa.int32()) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *at, pa.array(length[keep], pa.int32())], names=["doc_id_a", "doc_id_b", "start_a", "start_b", "length"])
+            found = [(row, *s) for row, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())) for s in _stretches(a, b, span)]
+            row, start, length = (np.array([f[i] for f in found], dtype=np.int64) for i in range(3))
+            take = pa.array(row)
+            at = [pa.array(batch.column(i).to_numpy()[row] + start, pa.int32()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *at, pa.array(length, pa.int32())], names=["doc_id_a", "doc_id_b", "start_a", "start_b", "length"])
 
     return both.mapInArrow(run, "doc_id_a bigint, doc_id_b bigint, start_a int, start_b int, length int")
 
 
-def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """Every pair of records with at least ``span`` characters in common, batch by batch through the index."""
-    index = FingerprintIndex(ship(docs.sparkSession), span, gram)
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_chars): records with the same text share the smallest id among them."""
+    held = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("content"), F.length("text").alias("n_chars")).dropDuplicates(["doc_id"])
+    held = durable(held, "contents")
+    least = held.groupBy("content").agg(F.min("doc_id").alias("class_id"))
+    return held.join(least, "content").select("doc_id", "class_id", "n_chars")
+
+
+def shared_pairs(docs: DataFrame, classes: DataFrame, span: int = SPAN, gram: int = GRAM, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """(doc_id_a, doc_id_b, start_a, start_b, length) of every stretch of at least ``span`` characters that two classes of texts have in common.
+
+    The texts are indexed batch by batch, and runs are compacted on the way.
+    """
+    copies = durable(classes.filter("doc_id <> class_id").select("doc_id"), "copies")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(copies, "doc_id", "left_anti")
+    index = FingerprintIndex(ship(docs.sparkSession), span, gram, fanout=fanout)
     found = None
-    for number in range(batches):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number)
-        share = index.add(part)
-        found = share if found is None else found.unionByName(share)
-    index.drop()
+    try:
+        for number in range(batches):
+            share = index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
+            found = share if found is None else found.unionByName(share)
+    finally:
+        index.drop()
     return verified(found, docs, span, gram)
 
 
+def document_pairs(pairs: DataFrame, classes: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id_a, doc_id_b), the smaller id first: pairs of classes laid open to their members, and the members of a class among themselves."""
+    member = lambda side: classes.select(F.col("class_id").alias(f"doc_id_{side}"), F.col("doc_id").alias(f"of_{side}"))
+    across = pairs.select("doc_id_a", "doc_id_b").distinct().join(member("a"), "doc_id_a").join(member("b"), "doc_id_b").select("of_a", "of_b")
+    long_enough = classes.filter(F.col("n_chars") >= span)
+    inside = long_enough.select("class_id", F.col("doc_id").alias("of_a")).join(long_enough.select("class_id", F.col("doc_id").alias("of_b")), "class_id").filter("of_a < of_b").select("of_a", "of_b")
+    return across.unionByName(inside).select(F.least("of_a", "of_b").alias("doc_id_a"), F.greatest("of_a", "of_b").alias("doc_id_b"))
+
+
+def links(pairs: DataFrame, classes: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, class_id, n_links): with how many other records each shares a stretch; copies are counted, not laid open."""
+    sizes = durable(classes.groupBy("class_id").agg(F.count("*").alias("n"), F.first("n_chars").alias("n_chars")), "sizes")
+    ends = pairs.select("doc_id_a", "doc_id_b").distinct()
+    both = ends.select(F.col("doc_id_a").alias("class_id"), F.col("doc_id_b").alias("other")).unionByName(ends.select(F.col("doc_id_b").alias("class_id"), F.col("doc_id_a").alias("other")))
+    across = both.join(sizes.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("across"))
+    inside = F.when(F.col("n_chars") >= span, F.col("n") - 1).otherwise(0)
+    whole = sizes.join(across, "class_id", "left").select("class_id", (F.coalesce("across", F.lit(0)) + inside).alias("n_links"))
+    return classes.join(whole, "class_id").select("doc_id", "class_id", "n_links")
+
+
 def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, length) of the maximal stretches of each text whose every window of ``span`` stands in another record too.
 
@@ -184,7 +218,21 @@ def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shared_pairs(docs).select("doc_id_a", "doc_id_b").distinct()
+    classes = durable(text_classes(docs), "classes")
+    return document_pairs(shared_pairs(docs, classes), classes)
+
+
+def p10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: the class of its text and with how many other documents it shares a long stretch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = durable(text_classes(docs), "classes")
+    return links(durable(shared_pairs(docs, classes), "pairs"), classes)
+
+
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch that two different texts share, with its places, as the index finds it; pairs of class representatives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shared_pairs(docs, durable(text_classes(docs), "classes"))
 
 
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +266,19 @@ SQL = {
     "p10_found": _WINDOWS + """
 , groups AS (SELECT h, list(DISTINCT doc_id) AS ids FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
 SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT DISTINCT ids FROM groups), unnest(ids) AS x(a), unnest(ids) AS y(b) WHERE a < b
+""",
+    "p10_links": _WINDOWS + """
+, groups AS (SELECT h, list(DISTINCT doc_id) AS ids FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+p AS (SELECT DISTINCT a, b FROM (SELECT DISTINCT ids FROM groups), unnest(ids) AS x(a), unnest(ids) AS y(b) WHERE a <> b),
+n AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links FROM documents LEFT JOIN n ON a = doc_id WHERE text IS NOT NULL
+""",
+    "p10_stretches": _WINDOWS + """
+, c AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+v AS (SELECT w.* FROM w JOIN c USING (doc_id)),
+m AS (SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, a.start AS pa, b.start AS pb, a.start - b.start AS shift FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id),
+i AS (SELECT *, pa - row_number() OVER (PARTITION BY doc_id_a, doc_id_b, shift ORDER BY pa) AS island FROM m)
+SELECT doc_id_a, doc_id_b, CAST(min(pa) AS INT) AS start_a, CAST(min(pb) AS INT) AS start_b, CAST(max(pa) - min(pa) + 200 AS INT) AS length FROM i GROUP BY doc_id_a, doc_id_b, shift, island
 """,
     "p10_spans": _ISLANDS + "SELECT * FROM spans",
     "p10_shared": _ISLANDS + """
@@ -228,4 +289,4 @@ FROM documents d LEFT JOIN t USING (doc_id)
 """,
 }
 
-QUERIES = {"p10_found": p10_found, "p10_spans": p10_spans, "p10_shared": p10_shared}
+QUERIES = {"p10_found": p10_found, "p10_links": p10_links, "p10_stretches": p10_stretches, "p10_spans": p10_spans, "p10_shared": p10_shared}
