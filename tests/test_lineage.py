@@ -181,6 +181,16 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "p.py").write_text('a = spark.table("m.t").withColumn("c", F.col("x") + 1)\na.write.saveAsTable("m.u")\n')
     assert main(["extract", str(tmp_path)]) == 0 and "m.u" in capsys.readouterr().out
     assert main(["compare", str(tmp_path), str(tmp_path), "--strict"]) == 0
+    newer = tmp_path / "newer"
+    newer.mkdir()
+    (newer / "p.py").write_text('a = spark.table("m.t").withColumn("d", F.col("x") + 1)\na.write.saveAsTable("m.u")\n')
+    (tmp_path / "older").mkdir()
+    (tmp_path / "older" / "p.py").write_text((tmp_path / "p.py").read_text())
+    capsys.readouterr()
+    assert main(["diff", str(tmp_path / "older"), str(newer)]) == 0
+    told = capsys.readouterr().out
+    assert told.startswith("4 changes") and "removed column: m.u.c" in told and "added column: m.u.d" in told
+    assert main(["diff", str(newer), str(newer), "--strict"]) == 0
 
 
 def test_closure(spark):

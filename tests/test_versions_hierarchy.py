@@ -85,3 +85,18 @@ def test_hierarchy_random(spark, links):
     df = spark.createDataFrame([(*x, 1) for x in links], LINK)
     got = {(r.graph_id, r.node_id): (r.root_id, r.depth, r.on_cycle) for r in hierarchy(df).collect()}
     assert got == brute(links)
+
+
+def test_forms_agree_on_random_graphs(spark):
+    """All columns of both forms, over many random graphs with cycles, repeated links and nulls."""
+    import random
+
+    rnd = random.Random(12)
+    links = []
+    for g in range(60):
+        names = [f"n{i}" for i in range(rnd.randint(1, 9))]
+        links += [(f"g{g}", rnd.choice([*names, None]), rnd.choice(names), 0) for _ in range(rnd.randint(1, 12))]
+    df = spark.createDataFrame(links, LINK)
+    near, far = (hierarchy(df, group_rows=n) for n in (10_000, 0))
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.select(*near.columns).collect())) and near.filter("on_cycle").count() > 20
+    assert rows(descendants(df)) == rows(descendants(df, group_rows=0))

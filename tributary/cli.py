@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .extract.assemble import lineage_of
 from .extract.symbols import Registry
 from .operators.closure import closure
-from .operators.lineage import compare, edge_key, forward_index, provenance, resolve_seeds, table_links, table_tiers
+from .operators.lineage import compare, edge_key, forward_index, graph_changes, provenance, resolve_seeds, table_links, table_tiers
 from .plans.serialize import compact_graph, impact_report, line_language, outline, page
-from .session import get_session
+from .session import durable, get_session
 from .sources.repository import Scope, scan_repository
 
 
@@ -82,9 +82,19 @@ def main(argv: list[str] | None = None) -> int:
         text = f"# Lineage of {args.folder}\n\nThe graph below was read from source text; unresolved parts are marked.\n\n```json\n{graph}\n```\n" + (f"\n## Question\n\n{args.question}\n" if args.question else "")
     elif args.command == "impact":
         text = json.dumps(impact(spark, edges, args.table or "", args.column), indent=1)
+    elif args.command == "diff":
+        newer = load(spark, args, args.other)["edges"]
+        told, n = [], 0
+        for r in durable(graph_changes(edges, newer), "changes").orderBy("part", "change", "id").toLocalIterator():
+            n += 1
+            told.append(f"{r['change']} {r['part']}: {r['id']}" + (f" ({'breaks' if r['change'] == 'removed' else 'reaches'} {r['n_downstream']})" if r["n_downstream"] else ""))
+        text = "\n".join([f"{n} changes", *told]) + "\n"
+        if args.strict and n:
+            sys.stdout.write(text)
+            return 1
     else:
         newer = load(spark, args, args.other)["edges"]
-        key = lambda e: e.select(edge_key(with_logic=args.command == "diff").alias("key"))
+        key = lambda e: e.select(edge_key().alias("key"))
         changes = compare(key(edges), key(newer), ["key"]).filter("change <> 'same'").orderBy("key").collect()
         text = "\n".join(f"{r['change']}: {r['key']}" for r in changes) + "\n"
         if args.strict and changes:

@@ -150,7 +150,7 @@ def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000) -> DataF
     write = lambda held: spark.createDataFrame(held, schema).write.mode("append").parquet(path)
     write([])
     for n, t in enumerate(durable(texts, "texts").toLocalIterator(), 1):
-        lineage = SqlLineage(spark, t["rel_path"], t["lineno"], t["sql"], t["target"])
+        lineage = SqlLineage(spark, t["rel_path"], t["lineno"], t["sql"], t["target"], t["ordinal"])
         out += [(t["rel_path"], kind, 1_000_000 + 1_000 * t["ordinal"] + i, json.dumps(held)) for i, (kind, held) in enumerate(lineage.rows)]
         if n % batch == 0:
             write(out)

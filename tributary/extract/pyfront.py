@@ -318,7 +318,7 @@ class Extractor:
             given = next((k.value for k in call.keywords if k.arg == place), None) if isinstance(place, str) else call.args[place] if len(call.args) > place else None
             suffix = self.symbols.text(given)
             for column in frames[0].columns or []:
-                self.edge("derives", call.lineno, source=frames[0].node, target=target, output_col=column + suffix, source_cols=[column], expr_id=self.keep(f"rename({column} → {column}{suffix})"))
+                self.edge("derives", call.lineno, source=frames[0].node, target=target, output_col=column + suffix, source_cols=[column], removed_cols=[column], expr_id=self.keep(f"rename({column} → {column}{suffix})"))
             if not frames[0].columns:
                 self.edge("opaque_transform", call.lineno, source=frames[0].node, target=target, opaque_operator=called, is_passthrough=True)
             return Frame(target, [c + suffix for c in frames[0].columns] if frames[0].columns else None)
@@ -492,7 +492,7 @@ class Extractor:
             return Frame(target, None if columns is None else [*[c for c in columns if c not in outs], *outs])
         if method == "withColumnRenamed" and len(call.args) == 2:
             a, b = (self.symbols.text(x) for x in call.args)
-            self.edge("derives", line, source=frame.node, target=target, output_col=b, source_cols=[a], expr_id=self.keep(f"rename({a} → {b})"))
+            self.edge("derives", line, source=frame.node, target=target, output_col=b, source_cols=[a], removed_cols=[a], expr_id=self.keep(f"rename({a} → {b})"))
             return Frame(target, None if columns is None else [b if c == a else c for c in columns])
         if method in ("select", "selectExpr"):
             return self.select(frame, target, line, self.unpacked(call.args), method == "selectExpr")
@@ -549,7 +549,7 @@ class Extractor:
         names = [self.symbols.text(a) for a in self.unpacked(call.args)]
         if frame.columns is not None and len(names) == len(frame.columns):
             for old, new in zip(frame.columns, names):
-                self.edge("derives", call.lineno, source=frame.node, target=target, output_col=new, source_cols=[old], expr_id=self.keep(f"rename({old} → {new})"))
+                self.edge("derives", call.lineno, source=frame.node, target=target, output_col=new, source_cols=[old], removed_cols=[old] if old not in names else [], expr_id=self.keep(f"rename({old} → {new})"))
         else:
             self.edge("opaque_transform", call.lineno, source=frame.node, target=target, opaque_operator="toDF", is_passthrough=False)
             self.warn(call.lineno, "opaque-call-fallback", "toDF renames columns that are not known")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, partitions
+from .closure import closure
 
 UNRESOLVED = "<unresolved>"
 
@@ -39,12 +40,17 @@ def column_steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     computed = by_column.unionByName(values).unionByName(keys).filter("col is not null").distinct()
     none = F.lit(None).cast("array<string>")
     removed = F.col("removed_cols") if "removed_cols" in edges.columns else none
-    moving = edges.filter("kind in ('derives', 'filters', 'reads', 'writes', 'projects') or (kind = 'opaque_transform' and is_passthrough)")
+    if "removed_cols" in edges.columns:  # what a rename takes away passes none of the derivations of its node
+        renamed = F.array_distinct(F.flatten(F.collect_list("removed_cols")))
+        derives = derived.groupBy(*base).agg(renamed.alias("without")).select("graph_id", "node", "from_node", none.alias("only"), F.when(F.size("without") > 0, F.col("without")).alias("without"))
+    else:
+        derives = derived.select(*base, none.alias("only"), none.alias("without"))
+    moving = edges.filter("kind in ('filters', 'reads', 'writes', 'projects') or (kind = 'derives' and output_col is null) or (kind = 'opaque_transform' and is_passthrough)")
     plain = moving.select(*base, F.when(F.col("kind") == "projects", F.col("kept_cols")).alias("only"), F.when(F.col("kind") == "projects", removed).alias("without"))
     # a semi or anti join gives the columns of its left side only
     both = F.when(F.col("join_type").isin("left_semi", "left_anti"), F.array("source")).otherwise(F.array("source", "right_source")) if "join_type" in edges.columns else F.array("source", "right_source")
     sides = edges.filter("kind = 'joins'").select("graph_id", F.col("target").alias("node"), F.explode(both).alias("from_node"), none.alias("only"), none.alias("without"))
-    return computed, plain.unionByName(sides).filter("from_node is not null").distinct()
+    return computed, plain.unionByName(derives).unionByName(sides).filter("from_node is not null").distinct()
 
 
 PROVENANCE = "graph_id string, `table` string, `column` string, role string, from_table string, from_column string"
@@ -168,19 +174,21 @@ def _distributed(computed: DataFrame, passing: DataFrame, start: DataFrame) -> D
 
 
 def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame) -> DataFrame:
-    """(graph_id, table, column): columns that nodes before a write compute or keep, unless a later step of the walk drops them."""
+    """(graph_id, table, column): columns that nodes before a write compute or keep, and those of written tables that it passes on; a later step of the walk may still drop them."""
     named = computed.select("graph_id", "node", "col").unionByName(edges.filter("kind = 'projects'").select("graph_id", F.col("target").alias("node"), F.explode("kept_cols").alias("col"))).distinct()
     writes = edges.filter("kind = 'writes' and target is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
     # an aggregation or a projection fixes the columns: nothing above it adds one
     closed = edges.filter("kind = 'aggregates' or (kind = 'projects' and kept_cols is not null)").select("graph_id", F.col("target").alias("node")).distinct()
-    frontier, seen = writes, writes
-    while True:
-        open_ = frontier.join(closed, ["graph_id", "node"], "left_anti")
-        step = durable(open_.join(passing, ["graph_id", "node"]).select("graph_id", "table", F.col("from_node").alias("node")).filter(~is_table("node")).distinct().join(seen, ["graph_id", "table", "node"], "left_anti"), "step")
-        if step.isEmpty():
-            break
-        seen, frontier = seen.unionByName(step), step
-    return seen.join(named, ["graph_id", "node"]).select("graph_id", "table", F.col("col").alias("column")).distinct()
+    # a table passes on all columns of what its open steps lead to, other written tables included
+    tagged = writes.withColumn("at", F.concat(F.lit("w:"), "table"))
+    open_ = passing.join(closed, ["graph_id", "node"], "left_anti").filter("from_node is not null").select("graph_id", F.col("node").alias("src"), F.col("from_node").alias("dst"))
+    open_ = open_.filter(~is_table("src")).unionByName(tagged.select("graph_id", F.col("at").alias("src"), F.col("node").alias("dst"))).distinct()
+    seen = closure(open_, tagged.select("graph_id", F.col("at").alias("seed"), F.col("at").alias("node")).distinct(), group="graph_id")
+    seen = durable(seen.select("graph_id", F.substring("seed", 3, 1 << 30).alias("table"), "node"), "seen")
+    own = durable(seen.join(named, ["graph_id", "node"]).select("graph_id", "table", F.col("col").alias("column")).distinct(), "own")
+    onto = seen.filter(is_table("node")).select("graph_id", F.col("table").alias("src"), F.col("node").alias("dst"))
+    above = closure(onto, onto.select("graph_id", F.col("src").alias("seed"), F.col("src").alias("node")), group="graph_id").select("graph_id", F.col("seed").alias("of"), F.col("node").alias("table"))
+    return own.unionByName(above.join(own, ["graph_id", "table"]).select("graph_id", F.col("of").alias("table"), "column")).distinct()
 
 
 def forward_index(found: DataFrame) -> DataFrame:
@@ -240,12 +248,12 @@ def merged_tables(edges: DataFrame) -> DataFrame:
     return first.groupBy("graph_id", "table").agg(ordered("w").alias("written_by"), ordered("r").alias("read_by"))
 
 
-def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(problem, graph_id, id): edge ids that occur twice, and ends that are no node; unresolved ends are exempt."""
-    twice = edges.groupBy("graph_id", "edge_id").count().filter("count > 1").select(F.lit("duplicate id").alias("problem"), "graph_id", F.col("edge_id").alias("id"))
-    ends = edges.select("graph_id", F.explode(F.array("source", "right_source", "target")).alias("id")).filter(f"id is not null and not startswith(id, '{UNRESOLVED}')").distinct()
-    loose = ends.join(nodes.select("graph_id", F.col("node").alias("id")).distinct(), ["graph_id", "id"], "left_anti").select(F.lit("dangling end").alias("problem"), "graph_id", "id")
-    return twice.unionByName(loose)
+def integrity(readings: DataFrame, edges: DataFrame) -> DataFrame:
+    """(problem, graph_id, id): edge ids that occur twice in the readings, and intermediate ends of edges that nothing produces; unresolved ends are exempt."""
+    twice = readings.groupBy("graph_id", "edge_id").count().filter("count > 1").select(F.lit("duplicate id").alias("problem"), "graph_id", F.col("edge_id").alias("id"))
+    ends = edges.select("graph_id", F.explode(F.array("source", "right_source")).alias("id")).filter(f"id is not null and not startswith(id, '{UNRESOLVED}')").filter(~is_table("id")).distinct()
+    made = edges.select("graph_id", F.col("target").alias("id")).filter("id is not null").distinct()
+    return twice.unionByName(ends.join(made, ["graph_id", "id"], "left_anti").select(F.lit("dangling end").alias("problem"), "graph_id", "id"))
 
 
 def edge_key(with_logic: bool = False) -> Column:
@@ -264,9 +272,31 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").select(*keys, F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("same").alias("change"))
 
 
+def columns_by_table(found: DataFrame) -> DataFrame:
+    """(graph_id, table, columns): the columns of every written table in a provenance, in order."""
+    return found.groupBy("graph_id", "table").agg(F.array_sort(F.collect_set("column")).alias("columns"))
+
+
+def graph_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(graph_id, part, id, change, n_downstream) of two states of graphs: tables, columns of written tables, and edges with their logic, added or removed.
+
+    ``n_downstream`` counts, for a column, what depends on it in the state that has it; a removed column with any is a breaking change.
+    """
+    old, new = durable(old, "old"), durable(new, "new")
+    was, now = durable(provenance(old), "was"), durable(provenance(new), "now")
+    ends = lambda e: e.filter("kind = 'reads'").select("graph_id", F.col("source").alias("id")).unionByName(e.filter("kind = 'writes'").select("graph_id", F.col("target").alias("id"))).filter(is_table("id")).distinct()
+    columns = lambda p: p.select("graph_id", F.concat(F.regexp_replace("table", "^(?:table|ext):", ""), F.lit("."), "column").alias("id")).distinct()
+    keys = lambda e: e.select("graph_id", edge_key(True).alias("id")).distinct()
+    parts = []
+    for name, a, b in (("table", ends(old), ends(new)), ("column", columns(was), columns(now)), ("edge", keys(old), keys(new))):
+        parts.append(compare(a, b, ["graph_id", "id"]).filter("change <> 'same'").select("graph_id", F.lit(name).alias("part"), "id", "change"))
+    changes = durable(parts[0].unionByName(parts[1]).unionByName(parts[2]), "changes")
+    reach = [breaking(changes.filter(f"part = 'column' and change = '{change}'").select("graph_id", F.col("id").alias("node")), forward_index(p)).withColumn("change", F.lit(change)) for change, p in (("removed", was), ("added", now))]
+    reach = reach[0].unionByName(reach[1]).select("graph_id", F.col("node").alias("id"), "change", "n_downstream").withColumn("part", F.lit("column"))
+    return changes.join(reach, ["graph_id", "part", "id", "change"], "left").select("graph_id", "part", "id", "change", F.coalesce("n_downstream", F.lit(0)).alias("n_downstream"))
+
+
 def breaking(removed: DataFrame, fwd: DataFrame) -> DataFrame:
     """(graph_id, node, n_downstream) of removed columns something in the old graph depends on."""
-    from .closure import closure
-
     reach = closure(fwd, removed.select("graph_id", F.col("node").alias("seed"), "node"), group="graph_id")
     return reach.filter("seed <> node").groupBy("graph_id", F.col("seed").alias("node")).agg(F.count("*").alias("n_downstream"))

@@ -36,5 +36,5 @@ def sample_candidates(df: DataFrame, group: list[str], label: str, key: str, neg
     """All positives and at most ``negatives`` negatives of each group, chosen by a seeded hash; a sampling operator."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*group, label).orderBy(F.xxhash64(F.lit(seed), key), key)
+    order = Window.partitionBy(*group, label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return df.withColumn("__n", F.row_number().over(order)).filter((F.col(label) == 1) | (F.col("__n") <= negatives)).drop("__n")

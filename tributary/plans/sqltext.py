@@ -26,8 +26,9 @@ class _Tree:
 class SqlLineage:
     """Edges, tables and warnings of one SQL text whose result is the node ``target`` (none for a statement)."""
 
-    def __init__(self, spark: SparkSession, path: str, line: int, sql: str, target: str | None):
-        self.path, self.line, self.rows, self.serial = path, line, [], 0
+    def __init__(self, spark: SparkSession, path: str, line: int, sql: str, target: str | None, number: int = 0):
+        """``number`` tells the texts of one file apart in the ids of their nodes."""
+        self.path, self.line, self.rows, self.serial, self.number = path, line, [], 0, number
         self.ctes: dict[str, tuple[str, list[str] | None]] = {}
         try:
             plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
@@ -41,7 +42,7 @@ class SqlLineage:
 
     def fresh(self, name: str = "") -> str:
         self.serial += 1
-        return f"df:{self.path}:{self.line}:{name or f'sql{self.serial}'}"
+        return f"df:{self.path}:{self.line}:{f'{name}@{self.number}' if name else f'sql{self.number}_{self.serial}'}"
 
     def table(self, name: str, columns: list[str] | None = None, declared: bool = False) -> None:
         self.rows.append(("table", {"file": self.path, "fqn": name, "columns": columns or [], "declared": declared}))

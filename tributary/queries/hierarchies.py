@@ -66,7 +66,35 @@ WITH RECURSIVE held AS (
 )
 """
 
+_DOWN = _UP + """
+, ring_root AS (SELECT r.graph_id, r.node, min(up.anc) AS root FROM ring r JOIN up ON up.graph_id = r.graph_id AND up.node = r.node GROUP BY ALL),
+rp AS (
+  SELECT graph_id, node, root, node AS path, 0 AS pos FROM ring_root WHERE node = root
+  UNION ALL SELECT rp.graph_id, p.node, rp.root, rp.path || ' > ' || p.node, rp.pos + 1
+  FROM rp JOIN par p ON p.graph_id = rp.graph_id AND p.parent = rp.node JOIN ring k ON k.graph_id = p.graph_id AND k.node = p.node WHERE p.node <> rp.root
+), ring_length AS (SELECT graph_id, root, count(*) AS len FROM rp GROUP BY ALL),
+start_at AS (
+  SELECT n.graph_id, n.node, CAST(NULL AS VARCHAR) AS parent, n.node AS root, false AS on_cycle, n.node AS path, n.node AS entry FROM nodes n LEFT JOIN par ON par.graph_id = n.graph_id AND par.node = n.node WHERE par.parent IS NULL
+  UNION ALL SELECT rp.graph_id, rp.node, par.parent, rp.root, true, rp.path, rp.node FROM rp JOIN par ON par.graph_id = rp.graph_id AND par.node = rp.node
+), down AS (
+  SELECT graph_id, node, parent, root, 0 AS depth, on_cycle, false AS below_cycle, path, entry FROM start_at
+  UNION ALL SELECT d.graph_id, p.node, p.parent, d.root, d.depth + 1, false, d.on_cycle OR d.below_cycle, d.path || ' > ' || p.node, d.entry
+  FROM down d JOIN par p ON p.graph_id = d.graph_id AND p.parent = d.node WHERE NOT EXISTS (SELECT 1 FROM ring k WHERE k.graph_id = p.graph_id AND k.node = p.node)
+)
+"""
+
 SQL = {
+    "p1_hierarchy": _DOWN + """
+, below AS (SELECT graph_id, anc, count(*) AS n FROM up WHERE node <> anc GROUP BY ALL)
+SELECT d.graph_id, d.node AS node_id, d.parent AS parent_id, d.root AS root_id, CAST(d.depth AS INT) AS depth, d.on_cycle, d.below_cycle, CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants, d.path
+FROM down d LEFT JOIN below b ON b.graph_id = d.graph_id AND b.anc = d.node
+""",
+    "p1_descendants": _DOWN + """
+SELECT u.graph_id, u.anc AS ancestor_id, u.node AS descendant_id, CAST(CASE WHEN a.on_cycle THEN d.depth + (e.pos - r.pos + l.len) % l.len ELSE d.depth - a.depth END AS INT) AS distance
+FROM up u JOIN down d ON d.graph_id = u.graph_id AND d.node = u.node JOIN down a ON a.graph_id = u.graph_id AND a.node = u.anc
+LEFT JOIN rp r ON r.graph_id = u.graph_id AND r.node = u.anc LEFT JOIN rp e ON e.graph_id = u.graph_id AND e.node = d.entry LEFT JOIN ring_length l ON l.graph_id = u.graph_id AND l.root = r.root
+WHERE u.node <> u.anc
+""",
     "p1_found": _UP + """
 , top AS (
   SELECT up.graph_id, up.node,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..extract.assemble import lineage_of
 from ..extract.symbols import Registry
+from ..operators import lineage as L
+from ..operators.closure import closure
 from ..operators.metrics import set_prf
 from ..session import durable
 from .registry import Registry as Queries
@@ -186,8 +188,8 @@ def labelled_edges(spark: SparkSession) -> DataFrame:
     e = lineage_of(spark, spark.createDataFrame(list(FILES.items()), "rel_path string, content string"), REGISTRY)["edges"]
 
     def node(column: str):
-        name = F.regexp_extract(column, r"^df:.*:([^:]*)$", 1)
-        return F.when(F.col(column).startswith("df:"), F.when(name.rlike(r"^(?:_|_\d+|sql\d+)$"), "_").otherwise(name)).otherwise(F.col(column))
+        name = F.regexp_extract(column, r"^df:.*:([^:@]*)(?:@\d+)?$", 1)
+        return F.when(F.col(column).startswith("df:"), F.when(name.rlike(r"^(?:_|_\d+|sql\d+_\d+)$"), "_").otherwise(name)).otherwise(F.col(column))
 
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     keys = F.array_join(F.transform("join_keys", lambda k: F.concat(k["l"], F.lit("="), k["r"])), ",")
@@ -222,4 +224,74 @@ def extraction_scored(spark, d):
     return set_prf(truth.select("kind", key), durable(labelled_edges(spark), "found").select("kind", key), "kind", "key")
 
 
+# ---- scenarios ---------------------------------------------------------------------------------------------
+
+# What a change of a column reaches, labelled by hand: scenario | seed | columns reached.
+IMPACT = """
+born | main.raw.people.born | main.silver.people.year main.silver.people.n main.gold.hashed.year main.gold.hashed.n
+city | main.raw.people.city | main.silver.people.town main.silver.people.n main.gold.hashed.town main.gold.hashed.n main.gold.towns.town main.gold.sums.town main.gold.copy.town main.gold.aim.town main.gold.keyed.city_p
+minutes | main.raw.visits.minutes | main.north.visits.total main.gold.top.total main.gold.sums.total main.gold.copy.total main.gold.aim.total /out/wide.long /out/wide.short
+day | main.raw.visits.day | main.north.visits.days main.gold.top.days
+nothing | main.raw.people.shoe_size |
+"""
+
+# Edits of one file: name | file | text | its replacement | breaking columns that go | columns that come.
+EDITS = [
+    ("rename used column", "silver/people.py", 'F.upper("city").alias("town")', 'F.upper("city").alias("place")', "main.silver.people.town", "main.silver.people.place main.gold.hashed.place"),
+    ("drop used column", "silver/people.py", '"year", "n")', '"n")', "main.silver.people.year", ""),
+    ("add column", "silver/visits.py", 'F.countDistinct("day").alias("days")', 'F.countDistinct("day").alias("days"), F.max("day").alias("last")', "", "main.north.visits.last main.gold.top.last"),
+    ("drop unused column", "gold/sinks.py", 'raw.select("id", "city")', 'raw.select("id")', "", ""),
+    ("change a threshold", "silver/visits.py", "> 60", "> 90", "", ""),
+    ("comment", "gold/job.py", "from pyspark.sql import functions as F\n", "from pyspark.sql import functions as F\n# no change\n", "", ""),
+]
+
+
+def _lines(text: str) -> list[list[str]]:
+    return [[p.strip() for p in line.split("|")] for line in text.strip().split("\n")]
+
+
+def repositories(spark: SparkSession, held: dict[str, dict[str, str]]) -> DataFrame:
+    """Edges of several repositories (name to files), each a graph of its own."""
+    rows = [(f"{name}/{path}", text, name) for name, files in held.items() for path, text in files.items()]
+    found = lineage_of(spark, spark.createDataFrame(rows, "rel_path string, content string, repo string"), REGISTRY)["edges"]
+    inner = lambda c: F.regexp_replace(c, r"^df:[^/]*/", "df:")
+    return found.withColumns({"graph_id": F.split_part("file", F.lit("/"), F.lit(1)), "source": inner("source"), "right_source": inner("right_source"), "target": inner("target")})
+
+
+def _impact_truth() -> list[tuple[str, str, str]]:
+    return [(name, seed, node) for name, seed, nodes in _lines(IMPACT) for node in nodes.split()]
+
+
+def _values(rows, columns: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + str(p).replace("'", "''") + "'" for p in row) + ")" for row in rows) + f") AS t({columns})"
+
+
+@query(_values(_impact_truth(), "scenario, seed, node"))
+def impact_scenarios(spark, d):
+    """What each scenario's seed reaches: the hand labels are the expected rows."""
+    fwd = durable(L.forward_index(L.provenance(repositories(spark, {"main": FILES}))), "forward")
+    seeds = spark.createDataFrame([(name, seed) for name, seed, _ in _lines(IMPACT)], "seed string, node string")
+    reach = closure(fwd.select("src", "dst"), seeds).select(F.col("seed").alias("scenario"), "node")
+    return reach.join(seeds.withColumnRenamed("seed", "scenario").withColumnRenamed("node", "seed"), "scenario").select("scenario", "seed", "node")
+
+
+@query("WITH t AS (" + _values(_impact_truth(), "scenario, seed, node") + ") SELECT scenario, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1 FROM t GROUP BY ROLLUP (scenario)")
+def impact_eval(spark, d):
+    """Seeded closures scored against the labelled scenarios, by scenario and pooled."""
+    truth = spark.createDataFrame(_impact_truth(), "scenario string, seed string, node string")
+    return set_prf(truth, durable(impact_scenarios(spark, d), "reach"), "scenario", "node")
+
+
+@query(_values([(name, "removed", c, "breaking") for name, _, _, _, gone, _ in EDITS for c in gone.split()] + [(name, "added", c, "addition") for name, *_, come in EDITS for c in come.split()], "scenario, change, id, verdict"))
+def diff_eval(spark, d):
+    """Edits of the repository: columns that go though others depend on them, and columns that come; the hand labels are the expected rows."""
+    edited = {name.replace(" ", "_"): {**FILES, path: FILES[path].replace(old, new)} for name, path, old, new, _, _ in EDITS}
+    new = durable(repositories(spark, edited), "edited")
+    before = repositories(spark, {"before": FILES})
+    names = spark.createDataFrame([(n,) for n in edited], "name string")
+    old = before.drop("graph_id").join(F.broadcast(names)).withColumnRenamed("name", "graph_id").select(*new.columns)
+    found = L.graph_changes(old, new).filter("part = 'column' and (change = 'added' or n_downstream > 0)")
+    return found.select(F.translate("graph_id", "_", " ").alias("scenario"), "change", "id", F.when(F.col("change") == "removed", "breaking").otherwise("addition").alias("verdict"))
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -78,13 +78,13 @@ def orphan_parts(spark, d):
     return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
-@query("""WITH dup AS (SELECT graph_id, edge_id, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) > 1)
-SELECT 'duplicate id' AS problem, graph_id, edge_id AS id FROM dup""")
+@query(EDGES + """, dup AS (SELECT graph_id, edge_id FROM edges GROUP BY ALL HAVING count(*) > 1),
+ends AS (SELECT graph_id, source AS id FROM e UNION SELECT graph_id, right_source FROM e)
+SELECT 'duplicate id' AS problem, graph_id, edge_id AS id FROM dup
+UNION ALL SELECT 'dangling end', graph_id, id FROM ends WHERE id IS NOT NULL AND NOT starts_with(id, '<unresolved>') AND NOT starts_with(id, 'table:') AND NOT starts_with(id, 'ext:') AND NOT EXISTS (SELECT 1 FROM e w WHERE w.graph_id = ends.graph_id AND w.target = ends.id)""")
 def integrity_checks(spark, d):
-    """Edge ids that occur twice in the raw readings."""
-    raw = table(spark, d, "edges").select("graph_id", "edge_id", "source", "right_source", "target")
-    nodes = raw.select("graph_id", F.explode(F.array("source", "right_source", "target")).alias("node"))
-    return L.integrity(raw, nodes)
+    """Edge ids that occur twice in the raw readings, and intermediate nodes that are read though nothing makes them."""
+    return L.integrity(table(spark, d, "edges").select("graph_id", "edge_id"), edges(spark, d))
 
 
 # ---- provenance and impact -----------------------------------------------------------------------
@@ -107,7 +107,13 @@ scope AS (
   UNION SELECT s.graph_id, s.tbl, p.from_node FROM scope s JOIN pass p ON p.graph_id = s.graph_id AND p.node = s.node
     WHERE NOT starts_with(p.from_node, 'table:') AND NOT starts_with(p.from_node, 'ext:') AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.graph_id = s.graph_id AND c.node = s.node)
 ), named AS (SELECT graph_id, node, col FROM comp UNION SELECT graph_id, target, c FROM e, unnest(kept_cols) AS u(c) WHERE kind = 'projects'),
-wanted AS (SELECT DISTINCT s.graph_id, s.tbl, n.col FROM scope s JOIN named n ON n.graph_id = s.graph_id AND n.node = s.node WHERE n.col IS NOT NULL),
+base_cols AS (SELECT DISTINCT s.graph_id, s.tbl, n.col FROM scope s JOIN named n ON n.graph_id = s.graph_id AND n.node = s.node WHERE n.col IS NOT NULL),
+onto AS (
+  SELECT DISTINCT s.graph_id, s.tbl, p.from_node AS up FROM scope s JOIN pass p ON p.graph_id = s.graph_id AND p.node = s.node
+  WHERE (starts_with(p.from_node, 'table:') OR starts_with(p.from_node, 'ext:')) AND NOT starts_with(s.node, 'table:') AND NOT starts_with(s.node, 'ext:') AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.graph_id = s.graph_id AND c.node = s.node)
+  UNION SELECT graph_id, tbl, node FROM writes WHERE starts_with(node, 'table:') OR starts_with(node, 'ext:')
+), above AS (SELECT graph_id, tbl, up FROM onto UNION SELECT a.graph_id, a.tbl, o.up FROM above a JOIN onto o ON o.graph_id = a.graph_id AND o.tbl = a.up),
+wanted AS (SELECT graph_id, tbl, col FROM base_cols UNION SELECT a.graph_id, a.tbl, b.col FROM above a JOIN base_cols b ON b.graph_id = a.graph_id AND b.tbl = a.up),
 step AS (
   SELECT graph_id, node, col, from_node, from_col, CAST(NULL AS VARCHAR[]) AS only_cols, 1 AS how FROM comp WHERE from_col IS NOT NULL
   UNION ALL SELECT graph_id, node, NULL, from_node, NULL, only_cols, 2 FROM pass
@@ -126,7 +132,22 @@ def provenance_sources(spark, d):
     return L.provenance(edges(spark, d)).drop("role")
 
 
-@query()
+@query(_STEPS + """
+, role_of AS (
+  SELECT DISTINCT graph_id, target AS node, output_col AS col, source AS from_node, c AS from_col, 'derived' AS role FROM (SELECT * FROM e WHERE kind = 'derives' AND output_col IS NOT NULL) LEFT JOIN LATERAL unnest(source_cols) AS u(c) ON true
+  UNION SELECT graph_id, target, a.output, source, a.input, 'aggregate' FROM e, unnest(aggs) AS u(a) WHERE kind = 'aggregates' AND a.output IS NOT NULL
+  UNION SELECT graph_id, target, k, source, k, 'group_key' FROM e, unnest(group_keys) AS u(k) WHERE kind = 'aggregates' AND k IS NOT NULL
+), rstep AS (
+  SELECT graph_id, node, col, from_node, from_col, role, CAST(NULL AS VARCHAR[]) AS only_cols, 1 AS how FROM role_of WHERE from_col IS NOT NULL
+  UNION ALL SELECT graph_id, node, NULL, from_node, NULL, NULL, only_cols, 2 FROM pass
+), rwalk AS (
+  SELECT w.graph_id, w.tbl, x.col AS column_name, w.node, x.col, 'passthrough' AS role, 0 AS round FROM writes w JOIN wanted x ON x.graph_id = w.graph_id AND x.tbl = w.tbl
+  UNION
+  SELECT k.graph_id, k.tbl, k.column_name, s.from_node, coalesce(s.from_col, k.col), CASE WHEN k.role = 'passthrough' THEN coalesce(s.role, k.role) ELSE k.role END, k.round + 1 FROM rwalk k JOIN rstep s ON s.graph_id = k.graph_id AND s.node = k.node
+  WHERE k.round < 60 AND NOT starts_with(k.node, 'table:') AND NOT starts_with(k.node, 'ext:')
+    AND ((s.how = 1 AND s.col = k.col) OR (s.how = 2 AND (s.only_cols IS NULL OR list_contains(s.only_cols, k.col)) AND NOT EXISTS (SELECT 1 FROM computed_keys c WHERE c.graph_id = k.graph_id AND c.node = k.node AND c.col = k.col)))
+), first_seen AS (SELECT *, min(round) OVER (PARTITION BY graph_id, tbl, column_name, node, col) AS soonest FROM rwalk)
+SELECT graph_id, tbl AS "table", column_name AS "column", min(role) AS role, node AS from_table, col AS from_column FROM first_seen WHERE round = soonest AND (starts_with(node, 'table:') OR starts_with(node, 'ext:')) GROUP BY ALL""")
 def provenance_roles(spark, d):
     return L.provenance(edges(spark, d))
 
@@ -265,13 +286,14 @@ def relabel(spark, d):
 @query(f"""WITH j AS ({_JUDGED}), s AS (SELECT lower(trim(bench)) AS bench, count(*) FILTER (author = 1 AND judge_label = 1) AS tp, count(*) FILTER (author = 0 AND judge_label = 1) AS fp, count(*) FILTER (author = 1 AND judge_label = 0) AS fn FROM j WHERE author IN (0, 1) AND judge_label IN (0, 1) GROUP BY ROLLUP (lower(trim(bench)))),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS r FROM s)
 SELECT bench, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM r""")
-def impact_eval(spark, d):
+def judged_impact(spark, d):
     """Judges' impact labels measured against the author's, by bench and pooled."""
     held = _judged(spark, d).withColumn("bench", F.lower(F.trim("bench"))).filter("author in (0, 1) and judge_label in (0, 1)")
     return prf(held, ["bench"], F.col("author") == 1, F.col("judge_label") == 1)
 
 
-@query()
+@query(f"""WITH j AS ({_JUDGED}), n AS (SELECT record_id, bench, change_col, candidate, judge_label, row_number() OVER (PARTITION BY bench, change_col, judge_label ORDER BY md5('7:' || record_id), record_id) AS n FROM j WHERE judge_label IN (0, 1))
+SELECT record_id, bench, change_col, candidate, judge_label FROM n WHERE judge_label = 1 OR n <= 8""")
 def sampled_candidates(spark, d):
     held = _judged(spark, d).filter("judge_label in (0, 1)")
     return sample_candidates(held, ["bench", "change_col"], "judge_label", "record_id").select("record_id", "bench", "change_col", "candidate", "judge_label")
@@ -303,17 +325,24 @@ def token_usage(spark, d):
     return _qa(spark, d).groupBy("context_mode").agg(F.sum("context_tokens").alias("context"), F.sum("prompt_tokens").alias("prompt"), F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT split_file, benchmark, sealed, num_questions FROM split_manifest QUALIFY row_number() OVER (PARTITION BY split_file ORDER BY sealed_at DESC NULLS LAST) = 1),
+@query("""WITH m AS (SELECT split_file, sealed, num_questions, sha256 FROM split_manifest WHERE split_file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY split_file ORDER BY sealed_at DESC NULLS LAST) = 1),
+seals AS (SELECT split_file, count(*) AS n_seals, count(DISTINCT sha256) AS n_digests FROM split_manifest WHERE split_file IS NOT NULL GROUP BY ALL),
 q AS (SELECT question_key, split_file, sha256(coalesce(question, '')) AS h FROM questions QUALIFY row_number() OVER (PARTITION BY question_key ORDER BY ingested_ts DESC NULLS LAST) = 1),
-a AS (SELECT split_file, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM q GROUP BY ALL)
-SELECT m.split_file, m.sealed, m.num_questions, coalesce(a.n, 0) AS actual, a.digest, CASE WHEN a.n IS NULL THEN 'missing' WHEN m.num_questions IS NULL THEN 'undeclared' WHEN a.n = m.num_questions THEN 'ok' ELSE 'changed' END AS state FROM m LEFT JOIN a USING (split_file)""")
+a AS (SELECT split_file, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS digest FROM q WHERE split_file IS NOT NULL GROUP BY ALL)
+SELECT m.split_file, m.sealed, m.num_questions, m.sha256, n_seals, n_digests > 1 AS resealed_differently, coalesce(a.n, 0) AS actual, a.digest, CASE WHEN a.n IS NULL THEN 'missing' WHEN m.num_questions IS NULL THEN 'undeclared' WHEN a.n = m.num_questions THEN 'ok' ELSE 'changed' END AS state
+FROM m JOIN seals USING (split_file) LEFT JOIN a USING (split_file)""")
 def seal_verify(spark, d):
-    """Digest and size of each sealed split's questions against what the manifest declares."""
-    m = latest_version(table(spark, d, "split_manifest").select("split_file", "sealed", "num_questions", "sealed_at"), "split_file", "sealed_at")
-    q = latest_version(table(spark, d, "questions").select("question_key", "split_file", "question", "ingested_ts"), "question_key")
-    a = q.select("split_file", F.sha2(F.coalesce("question", F.lit("")), 256).alias("h")).groupBy("split_file").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    """Each split as it was sealed last (with whether an earlier seal had another sha256) against its questions now: their number, and a digest of their hashes' sums that needs no order."""
+    manifest = table(spark, d, "split_manifest").select("split_file", "sealed", "num_questions", "sha256", "sealed_at").filter("split_file is not null")
+    m = latest_version(manifest, "split_file", "sealed_at").drop("sealed_at")
+    seals = manifest.groupBy("split_file").agg(F.count("*").alias("n_seals"), (F.countDistinct("sha256") > 1).alias("resealed_differently"))
+    q = latest_version(table(spark, d, "questions").select("question_key", "split_file", "question", "ingested_ts"), "question_key").filter("split_file is not null")
+    h = F.sha2(F.coalesce("question", F.lit("")), 256)
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    a = q.select("split_file", h.alias("h")).groupBy("split_file").agg(F.count("*").alias("n"), F.concat_ws("-", part(1), part(13)).alias("digest"))
     state = F.when(F.col("n").isNull(), "missing").when(F.col("num_questions").isNull(), "undeclared").when(F.col("n") == F.col("num_questions"), "ok").otherwise("changed")
-    return m.join(a, "split_file", "left").select("split_file", "sealed", "num_questions", F.coalesce("n", F.lit(0)).alias("actual"), "digest", state.alias("state"))
+    whole = m.join(seals, "split_file").join(a, "split_file", "left")
+    return whole.select("split_file", "sealed", "num_questions", "sha256", "n_seals", "resealed_differently", F.coalesce("n", F.lit(0)).alias("actual"), "digest", state.alias("state"))
 
 
 # ---- sources, chunks, retrieval, lines -----------------------------------------------------------

@@ -48,10 +48,13 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of the machine stands in.
+    Only where that setting is absent and the master is local (tests, a laptop) a temporary folder of the machine
+    stands in; on a cluster its absence is an error, as executors could not read each other's tables.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.getCheckpointDir() and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tributary-")
     if not context.getCheckpointDir():
