@@ -239,15 +239,26 @@ def table_tiers(edges: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "table").agg(F.bool_or("r").alias("r"), F.bool_or("w").alias("w")).select("graph_id", "table", F.when(F.col("r") & F.col("w"), "mid").when(F.col("w"), "sink").otherwise("source").alias("tier"))
 
 
-def merged_tables(edges: DataFrame) -> DataFrame:
-    """(graph_id, table, written_by, read_by): one row a table, the files that touch it in the order of their first edge."""
-    touch = edges.filter("kind = 'reads' and source like 'table:%'").select("graph_id", F.col("source").alias("table"), "file", "ordinal", F.lit("r").alias("how"))
-    touch = touch.unionByName(edges.filter("kind = 'writes' and target like 'table:%'").select("graph_id", F.col("target").alias("table"), "file", "ordinal", F.lit("w").alias("how")))
+def merged_tables(edges: DataFrame, prefix: str = "table:") -> DataFrame:
+    """(graph_id, table, written_by, read_by): one row a table (or what else the prefix names), the files that touch it in the order of their first edge."""
+    touch = edges.filter((F.col("kind") == "reads") & F.col("source").startswith(prefix)).select("graph_id", F.col("source").alias("table"), "file", "ordinal", F.lit("r").alias("how"))
+    touch = touch.unionByName(edges.filter((F.col("kind") == "writes") & F.col("target").startswith(prefix)).select("graph_id", F.col("target").alias("table"), "file", "ordinal", F.lit("w").alias("how")))
     first = touch.filter("file is not null").groupBy("graph_id", "table", "how", "file").agg(F.min("ordinal").alias("at"))
     ordered = lambda how: F.transform(F.array_sort(F.collect_list(F.when(F.col("how") == how, F.struct("at", "file")))), lambda x: x["file"])
     return first.groupBy("graph_id", "table").agg(ordered("w").alias("written_by"), ordered("r").alias("read_by"))
 
 
+def predicate_use(edges: DataFrame) -> DataFrame:
+    """(graph_id, predicate_id, cond, uses, n_edges, targets): the conditions of rules and of the rules in structs, each once in a graph."""
+    own = edges.select("graph_id", "edge_id", "target", F.explode("rule_logic").alias("r"))
+    inner = edges.select("graph_id", "edge_id", "target", F.explode("struct_fields").alias("f")).select("graph_id", "edge_id", "target", F.explode("f.rule_logic").alias("r"))
+    conds = own.unionByName(inner).select("graph_id", "edge_id", "target", "r.cond").filter("cond is not null and cond <> 'otherwise'")
+    # first by edge, so that a condition of very many edges is not gathered
+    by_edge = conds.groupBy("graph_id", "cond", "edge_id", "target").agg(F.count("*").alias("uses"))
+    held = by_edge.groupBy("graph_id", "cond").agg(F.sum("uses").alias("uses"), F.countDistinct("edge_id").alias("n_edges"), F.countDistinct("target").alias("targets"))
+    return held.select("graph_id", F.concat(F.lit("P"), F.substring(F.md5("cond"), 1, 10)).alias("predicate_id"), "cond", "uses", "n_edges", "targets")
+
+
 def integrity(readings: DataFrame, edges: DataFrame) -> DataFrame:
     """(problem, graph_id, id): edge ids that occur twice in the readings, and intermediate ends of edges that nothing produces; unresolved ends are exempt."""
     twice = readings.groupBy("graph_id", "edge_id").count().filter("count > 1").select(F.lit("duplicate id").alias("problem"), "graph_id", F.col("edge_id").alias("id"))

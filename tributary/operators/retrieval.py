@@ -56,3 +56,17 @@ def chunks(df: DataFrame, key: str, text: str, most_tokens: int = 220) -> DataFr
     placed = lines.withColumn("part", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most_tokens).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n")
     return placed.groupBy(key, "chunk", "part").agg(joined.alias("body")).withColumn("tokens", F.ceil(F.length("body") / 4).cast("bigint"))
+
+
+def code_chunks(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chunk, first_line, last_line, body_md5, kind) of Python text: cut before each notebook cell mark and each top-level definition.
+
+    Null texts give no rows, an empty one a single empty chunk.
+    """
+    lines = files.select(key, F.posexplode(F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n", -1)).alias("line", "body")).withColumn("line", F.col("line") + 1)
+    mark = F.when(F.col("body").rlike(r"^# COMMAND -+[ \t]*$"), 2).when(F.col("body").rlike(r"^(?:async +def|def|class) "), 1).otherwise(0)
+    order = Window.partitionBy(key).orderBy("line")  # the lines of one file
+    cut = lines.withColumn("mark", mark).withColumn("chunk", F.sum((F.col("mark") > 0).cast("bigint")).over(order))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n")
+    kind = F.when(F.max("mark") == 2, "cell").when(F.max("mark") == 1, "definition").otherwise("head")
+    return cut.groupBy(key, "chunk").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.md5(body).alias("body_md5"), kind.alias("kind"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lineage as L
 from ..operators.closure import closure
 from ..operators.metrics import kappa, prf, sample_candidates, set_prf
-from ..operators.retrieval import bm25, budget_pack, chunks, top_ranked
+from ..operators.retrieval import bm25, budget_pack, chunks, code_chunks, top_ranked
 from ..operators.versions import latest_version
 from ..session import durable
 from ..sources.repository import Scope, run_order
@@ -56,6 +56,14 @@ def merge_tables(spark, d):
     return L.merged_tables(edges(spark, d)).select("graph_id", "table", F.array_join("written_by", ";").alias("written_by"), F.array_join("read_by", ";").alias("read_by"))
 
 
+@query(EDGES + """, t AS (SELECT graph_id, source AS id, file, ordinal, 'r' AS how FROM e WHERE kind = 'reads' AND source LIKE 'ext:%' UNION ALL SELECT graph_id, target, file, ordinal, 'w' FROM e WHERE kind = 'writes' AND target LIKE 'ext:%'),
+f AS (SELECT graph_id, id, how, file, min(ordinal) AS pos FROM t WHERE file IS NOT NULL GROUP BY ALL)
+SELECT graph_id, id AS external, coalesce(string_agg(file, ';' ORDER BY pos, file) FILTER (how = 'w'), '') AS written_by, coalesce(string_agg(file, ';' ORDER BY pos, file) FILTER (how = 'r'), '') AS read_by FROM f GROUP BY ALL""")
+def merge_external(spark, d):
+    """Files and streams outside the catalog, with the files of the repository that touch them."""
+    return L.merged_tables(edges(spark, d), "ext:").select("graph_id", F.col("table").alias("external"), F.array_join("written_by", ";").alias("written_by"), F.array_join("read_by", ";").alias("read_by"))
+
+
 @query(_TABLE_LINKS + """, up AS (SELECT graph_id, src, dst FROM tl UNION SELECT up.graph_id, up.src, tl.dst FROM up JOIN tl ON tl.graph_id = up.graph_id AND tl.src = up.dst)
 SELECT graph_id, src AS seed, dst AS node FROM up""")
 def table_impact(spark, d):
@@ -163,6 +171,21 @@ def column_impact_counts(spark, d):
     return reach.groupBy("graph_id", "seed").agg(F.count("*").alias("impacted"))
 
 
+@query(_STEPS + """SELECT graph_id, tbl AS "table", array_to_string(list_sort(list(DISTINCT column_name)), ',') AS columns FROM prov GROUP BY ALL""")
+def columns_by_table(spark, d):
+    """The columns of every written table that are known where they come from."""
+    return L.columns_by_table(L.provenance(edges(spark, d))).withColumn("columns", F.array_join("columns", ","))
+
+
+@query(EDGES + """, c AS (SELECT graph_id, edge_id, target, output_col, r.cond AS cond FROM e, unnest(rule_logic) AS u(r) WHERE r IS NOT NULL AND r.cond IS NOT NULL),
+s AS (SELECT graph_id, edge_id, target, f.field AS output_col, r.cond AS cond FROM e, unnest(struct_fields) AS u(f), unnest(f.rule_logic) AS v(r) WHERE f IS NOT NULL AND r IS NOT NULL AND r.cond IS NOT NULL),
+x AS (SELECT * FROM c UNION ALL SELECT * FROM s WHERE cond <> 'otherwise'), p AS (SELECT graph_id, cond, count(*) AS uses, count(DISTINCT edge_id) AS n_edges, count(DISTINCT target) AS targets FROM x WHERE cond <> 'otherwise' GROUP BY ALL)
+SELECT graph_id, 'P' || substr(md5(cond), 1, 10) AS predicate_id, cond, uses, n_edges, targets FROM p""")
+def predicate_use(spark, d):
+    """The predicates of rules, each once in a graph under an id that its text gives, with how often and by how many edges and nodes it is used."""
+    return L.predicate_use(edges(spark, d))
+
+
 _FLOW = "WITH RECURSIVE s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), l AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL)"
 
 
@@ -320,6 +343,23 @@ def grade_tables(spark, d):
     return held.rollup("model", "context_mode").agg(F.sum("score").alias("earned"), F.count("score").alias("graded"), F.round(100.0 * F.sum("score") / (2 * F.count("score")), 4).alias("pct"))
 
 
+@query(f"""WITH q AS ({_QA}), m AS (SELECT model, context_mode, 100.0 * sum(score) / (2 * count(score)) AS pct FROM q WHERE score IS NOT NULL AND model IS NOT NULL AND context_mode IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, max(pct) OVER (PARTITION BY model) AS best FROM m) SELECT model, context_mode, round(pct, 4) AS pct, round(pct - best, 4) AS delta, CAST(rank() OVER (PARTITION BY model ORDER BY round(pct, 4) DESC) AS INT) AS place FROM w""")
+def grade_deltas(spark, d):
+    """How far each context mode is from the best one of its model."""
+    held = _qa(spark, d).filter("score is not null and model is not null and context_mode is not null")
+    pct = held.groupBy("model", "context_mode").agg((100.0 * F.sum("score") / (2 * F.count("score"))).alias("pct"))
+    w = Window.partitionBy("model")
+    return pct.select("model", "context_mode", F.round("pct", 4).alias("pct"), F.round(F.col("pct") - F.max("pct").over(w), 4).alias("delta"), F.rank().over(w.orderBy(F.desc(F.round("pct", 4)))).alias("place"))
+
+
+@query(f"""WITH q AS ({_QA}), m AS (SELECT model, lower(difficulty) AS difficulty, score FROM q WHERE score IS NOT NULL AND model IS NOT NULL)
+SELECT model, CAST(sum(score) FILTER (difficulty = 'easy') AS BIGINT) AS easy, CAST(sum(score) FILTER (difficulty = 'medium') AS BIGINT) AS medium, CAST(sum(score) FILTER (difficulty = 'hard') AS BIGINT) AS hard FROM m GROUP BY ALL""")
+def grade_pivot(spark, d):
+    held = _qa(spark, d).filter("score is not null and model is not null").withColumn("difficulty", F.lower("difficulty"))
+    return held.groupBy("model").pivot("difficulty", ["easy", "medium", "hard"]).agg(F.sum("score"))
+
+
 @query(f"""WITH q AS ({_QA}) SELECT context_mode, CAST(sum(context_tokens) AS BIGINT) AS context, CAST(sum(prompt_tokens) AS BIGINT) AS prompt, count(*) AS n FROM q GROUP BY ALL""")
 def token_usage(spark, d):
     return _qa(spark, d).groupBy("context_mode").agg(F.sum("context_tokens").alias("context"), F.sum("prompt_tokens").alias("prompt"), F.count("*").alias("n"))
@@ -368,6 +408,17 @@ def chunk_documents(spark, d):
     return chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk", "part", F.md5("body").alias("body_md5"), "tokens")
 
 
+@query(r"""WITH f AS (SELECT file_id, rel_path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body FROM source_files WHERE lower(rel_path) LIKE '%.py' AND content IS NOT NULL AND file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_ts DESC NULLS LAST) = 1),
+l AS (SELECT file_id, CAST(i AS INT) AS line, string_split(body, chr(10))[i] AS text FROM f, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS u(i)),
+m AS (SELECT *, CASE WHEN regexp_matches(text, '^# COMMAND -+[ \t]*$') THEN 2 WHEN regexp_matches(text, '^(?:async[ ]+def|def|class)[ ]') THEN 1 ELSE 0 END AS mark FROM l),
+c AS (SELECT *, sum(CASE WHEN mark > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line) AS chunk FROM m)
+SELECT file_id, CAST(chunk AS BIGINT) AS chunk, min(line) AS first_line, max(line) AS last_line, md5(string_agg(text, chr(10) ORDER BY line)) AS body_md5, CASE max(mark) WHEN 2 THEN 'cell' WHEN 1 THEN 'definition' ELSE 'head' END AS kind FROM c GROUP BY ALL""")
+def chunk_code(spark, d):
+    """Python sources by notebook cell and top-level definition."""
+    files = latest_version(table(spark, d, "source_files").select("file_id", "rel_path", "content", "ingested_ts").filter("content is not null and lower(rel_path) like '%.py'"), "file_id").filter("file_id is not null")
+    return code_chunks(files, "file_id", "content")
+
+
 _ASKED = [(1, "which tables does the join key reach"), (2, "rename of a column in the silver layer"), (3, "rows arrived late after the incremental run"), (4, "ask the reviewer why the window picks the latest")]
 _BM25 = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 ln AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z_][a-z0-9_]*')) AS DOUBLE) AS n FROM documents), st AS (SELECT count(*) AS cnt, avg(n) AS av FROM ln),
