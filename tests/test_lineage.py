@@ -84,7 +84,11 @@ def test_provenance_impact_and_texts(spark, found):
     assert report["status"] == "impact_detected" and "main.gold.totals.total" in report["impacted_columns"] and report["coverage_complete"] is False
     assert impact(spark, found["edges"], "nowhere", "amount_x")["status"] == "cannot_determine"
     assert "main.u" in str(impact(spark, found["edges"], "main.t", None)["impacted_tables"])
-    text = line_language(found["edges"], prov, found["warnings"])
+    text = line_language(found["edges"], prov, found["warnings"], found["predicates"])
+    named = next(x for x in text.split("\n") if x.endswith("F.col('amount') > 100") and x.startswith("P")).split("|")[0]
+    assert f"{named}>'big';" in text.split("@RULES")[1] and f"big={named}" in text.split("@PDICTS")[1] and f"{named}|1|1" in text.split("@PUSE")[1]
+    ops = {(r.table, r.column): r.op for r in L.operations(found["edges"]).collect()}
+    assert ops["table:main.gold.totals", "total"] == "sum" and ops["table:main.gold.totals", "pid"] == "group_key"
     assert "@PROV" in text and "main.gold.totals" in text and "|J|" not in text.split("@EDGES")[0]
     assert compact_graph(found["edges"], prov)["tables"]["table:main.gold.totals"]["total"]["role"] == "aggregate"
     assert "total<-" in outline(prov) and "<svg" in page(found["edges"], L.table_tiers(found["edges"]))

@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
                 frame.write.mode("overwrite").parquet(f"{args.output or 'lineage'}/{name}")
             return 0
         prov = provenance(edges)
-        text = {"json": lambda: json.dumps(compact_graph(edges, prov, found["warnings"]), indent=1), "outline": lambda: outline(prov), "html": lambda: page(edges, table_tiers(edges), args.folder), "lines": lambda: line_language(edges, prov, found["warnings"])}[args.format]()
+        text = {"json": lambda: json.dumps(compact_graph(edges, prov, found["warnings"]), indent=1), "outline": lambda: outline(prov), "html": lambda: page(edges, table_tiers(edges), args.folder), "lines": lambda: line_language(edges, prov, found["warnings"], found["predicates"])}[args.format]()
     elif args.command == "context":
         graph = json.dumps(compact_graph(edges, provenance(edges), found["warnings"]), separators=(",", ":"))
         text = f"# Lineage of {args.folder}\n\nThe graph below was read from source text; unresolved parts are marked.\n\n```json\n{graph}\n```\n" + (f"\n## Question\n\n{args.question}\n" if args.question else "")

@@ -173,9 +173,8 @@ def _distributed(computed: DataFrame, passing: DataFrame, start: DataFrame) -> D
     return result.select("graph_id", "table", "column", "role", "from_table", "from_column")
 
 
-def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame) -> DataFrame:
-    """(graph_id, table, column): columns that nodes before a write compute or keep, and those of written tables that it passes on; a later step of the walk may still drop them."""
-    named = computed.select("graph_id", "node", "col").unionByName(edges.filter("kind = 'projects'").select("graph_id", F.col("target").alias("node"), F.explode("kept_cols").alias("col"))).distinct()
+def nodes_before(edges: DataFrame, passing: DataFrame) -> DataFrame:
+    """(graph_id, table, node, depth): the nodes whose columns a written table may have, over steps that pass columns, up to those that fix them."""
     writes = edges.filter("kind = 'writes' and target is not null").select("graph_id", F.col("target").alias("table"), F.col("source").alias("node")).distinct()
     # an aggregation or a projection fixes the columns: nothing above it adds one
     closed = edges.filter("kind = 'aggregates' or (kind = 'projects' and kept_cols is not null)").select("graph_id", F.col("target").alias("node")).distinct()
@@ -184,7 +183,31 @@ def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame) ->
     open_ = passing.join(closed, ["graph_id", "node"], "left_anti").filter("from_node is not null").select("graph_id", F.col("node").alias("src"), F.col("from_node").alias("dst"))
     open_ = open_.filter(~is_table("src")).unionByName(tagged.select("graph_id", F.col("at").alias("src"), F.col("node").alias("dst"))).distinct()
     seen = closure(open_, tagged.select("graph_id", F.col("at").alias("seed"), F.col("at").alias("node")).distinct(), group="graph_id")
-    seen = durable(seen.select("graph_id", F.substring("seed", 3, 1 << 30).alias("table"), "node"), "seen")
+    return seen.select("graph_id", F.substring("seed", 3, 1 << 30).alias("table"), "node", "depth")
+
+
+def operations(edges: DataFrame) -> DataFrame:
+    """(graph_id, table, column, op, window): what computes a column of a written table nearest to it: 'derive', the aggregate's name or 'group_key', and the window it is taken over.
+
+    Of several computations equally near, the first by name counts.
+    """
+    edges = durable(edges.filter("graph_id is not null"), "edges")
+    text = lambda c: F.coalesce(F.array_join(f"window_spec.{c}", ","), F.lit(""))
+    over = F.when(F.col("window_spec").isNotNull(), F.concat(text("partition_cols"), F.lit("|"), text("order_cols"), F.lit("|"), F.coalesce("window_spec.frame", F.lit(""))))
+    base = ["graph_id", F.col("target").alias("node")]
+    made = edges.filter("kind = 'derives' and output_col is not null").select(*base, F.col("output_col").alias("column"), F.lit("derive").alias("op"), over.alias("window"))
+    none = F.lit(None).cast("string").alias("window")
+    made = made.unionByName(edges.filter("kind = 'aggregates'").select(*base, F.explode("aggs").alias("a")).select("graph_id", "node", F.col("a.output").alias("column"), F.col("a.op").alias("op"), none))
+    made = made.unionByName(edges.filter("kind = 'aggregates'").select(*base, F.explode("group_keys").alias("column")).withColumn("op", F.lit("group_key")).withColumn("window", none)).filter("column is not null")
+    seen = durable(nodes_before(edges, durable(column_steps(edges)[1], "steps")), "seen")
+    near = seen.join(made, ["graph_id", "node"]).groupBy("graph_id", "table", "column").agg(F.min(F.struct("depth", F.coalesce("op", F.lit("")).alias("op"), F.coalesce("window", F.lit("")).alias("window"))).alias("m"))
+    return near.select("graph_id", "table", "column", "m.op", F.nullif("m.window", F.lit("")).alias("window"))
+
+
+def known_outputs(edges: DataFrame, computed: DataFrame, passing: DataFrame) -> DataFrame:
+    """(graph_id, table, column): columns that nodes before a write compute or keep, and those of written tables that it passes on; a later step of the walk may still drop them."""
+    named = computed.select("graph_id", "node", "col").unionByName(edges.filter("kind = 'projects'").select("graph_id", F.col("target").alias("node"), F.explode("kept_cols").alias("col"))).distinct()
+    seen = durable(nodes_before(edges, passing).drop("depth"), "seen")
     own = durable(seen.join(named, ["graph_id", "node"]).select("graph_id", "table", F.col("col").alias("column")).distinct(), "own")
     onto = seen.filter(is_table("node")).select("graph_id", F.col("table").alias("src"), F.col("node").alias("dst"))
     above = closure(onto, onto.select("graph_id", F.col("src").alias("seed"), F.col("src").alias("node")), group="graph_id").select("graph_id", F.col("seed").alias("of"), F.col("node").alias("table"))

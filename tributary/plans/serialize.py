@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import predicate_use
+
 _SHORT = {"reads": "R", "writes": "W", "derives": "D", "filters": "F", "projects": "P", "joins": "J", "aggregates": "A", "opaque_transform": "O"}
 LEGEND = {"R": "read", "W": "write", "D": "derive a column", "F": "filter", "P": "project", "J": "join", "A": "aggregate", "O": "opaque step"}
 
@@ -62,13 +64,24 @@ def _column(df: DataFrame, name: str, order: list) -> list:
     return [r[0] for r in df.orderBy(*order).select(name).collect()]
 
 
-def line_language(edges: DataFrame, provenance: DataFrame, warnings: DataFrame | None = None) -> str:
-    """Sections of tables, nodes, provenance, edges and warnings. Names that are no columns of a table (qualified ones) are left out of the provenance."""
+def line_language(edges: DataFrame, provenance: DataFrame, warnings: DataFrame | None = None, predicates: DataFrame | None = None) -> str:
+    """Sections of tables, nodes, provenance, predicates with their use, rules, edges and warnings; each predicate stands once under its id. Names that are no columns of a table (qualified ones) are left out of the provenance."""
     names = symbols(edges)
     shown = names.select("symbol", F.concat_ws("|", "symbol", "id").alias("line"))
     prov = provenance.filter(~F.col("column").contains(".")).groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.regexp_replace("from_table", "^(?:table|ext):", ""), F.lit("."), "from_column"))), ",").alias("origin"), F.min("role").alias("role"))
     lines = ["@TABLES", *_column(shown.filter("symbol like 'T%'"), "line", [F.length("symbol"), "symbol"]), "@NODES", *_column(shown.filter("symbol like 'D%'"), "line", [F.length("symbol"), "symbol"])]
     lines += ["@PROV", *_column(prov.select("table", "column", F.concat_ws("|", "table", "column", "role", "origin").alias("line")), "line", ["table", "column"])]
+    if {"rule_logic", "struct_fields"} <= set(edges.columns):
+        used = predicate_use(edges)
+        lines += ["@PREDS", *_column(used.select("predicate_id", F.concat_ws("|", "predicate_id", _escaped(F.col("cond"))).alias("line")).distinct(), "line", ["predicate_id"])]
+        lines += ["@PUSE", *_column(used.groupBy("predicate_id").agg(F.sum("uses").alias("n"), F.sum("targets").alias("t")).select("predicate_id", F.concat_ws("|", "predicate_id", "n", "t").alias("line")), "line", ["predicate_id"])]
+        rule = F.transform("rule_logic", lambda r: F.concat(F.when(r["cond"] == "otherwise", "else").otherwise(F.concat(F.lit("P"), F.substring(F.md5(r["cond"]), 1, 10))), F.lit(">"), _escaped(F.coalesce(r["value"], F.lit("")))))
+        ruled = edges.filter("rule_logic is not null").select("ordinal", "edge_id", F.concat_ws("|", F.coalesce("output_col", F.lit("")), F.array_join(rule, ";")).alias("line"))
+        lines += ["@RULES", *_column(ruled, "line", ["ordinal", "edge_id"])]
+    if predicates is not None:
+        entry = F.concat("label", F.lit("="), F.lit("P"), F.substring(F.md5("predicate"), 1, 10))
+        held = predicates.groupBy("file", "var").agg(F.array_join(F.array_sort(F.collect_set(entry)), ";").alias("entries"))
+        lines += ["@PDICTS", *_column(held.select("file", "var", F.concat_ws("|", "var", "entries").alias("line")), "line", ["file", "var"])]
     lines += ["@EDGES", *_column(edge_lines(edges), "line", ["ordinal", "edge_id"])]
     if warnings is not None:
         lines += ["@WARN", *_column(warnings.select(F.concat_ws("|", F.coalesce("file", F.lit("")), F.coalesce(F.col("lineno").cast("string"), F.lit("")), "category", _escaped(F.col("message"))).alias("line")), "line", ["line"])]

@@ -171,6 +171,22 @@ def column_impact_counts(spark, d):
     return reach.groupBy("graph_id", "seed").agg(F.count("*").alias("impacted"))
 
 
+@query(_STEPS + """
+, before AS (
+  SELECT graph_id, tbl, node, 1 AS depth FROM writes
+  UNION SELECT s.graph_id, s.tbl, p.from_node, s.depth + 1 FROM before s JOIN pass p ON p.graph_id = s.graph_id AND p.node = s.node
+    WHERE s.depth < 60 AND NOT starts_with(s.node, 'table:') AND NOT starts_with(s.node, 'ext:') AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.graph_id = s.graph_id AND c.node = s.node)
+), made AS (
+  SELECT graph_id, target AS node, output_col AS col, 'derive' AS op, CASE WHEN window_spec IS NOT NULL THEN coalesce(array_to_string(window_spec.partition_cols, ','), '') || '|' || coalesce(array_to_string(window_spec.order_cols, ','), '') || '|' || coalesce(window_spec.frame, '') ELSE '' END AS win FROM e WHERE kind = 'derives' AND output_col IS NOT NULL
+  UNION SELECT graph_id, target, a.output, coalesce(a.op, ''), '' FROM e, unnest(aggs) AS u(a) WHERE kind = 'aggregates' AND a.output IS NOT NULL
+  UNION SELECT graph_id, target, k, 'group_key', '' FROM e, unnest(group_keys) AS u(k) WHERE kind = 'aggregates' AND k IS NOT NULL
+), near AS (SELECT b.graph_id, b.tbl, m.col, m.op, m.win, row_number() OVER (PARTITION BY b.graph_id, b.tbl, m.col ORDER BY b.depth, m.op, m.win) AS n FROM before b JOIN made m ON m.graph_id = b.graph_id AND m.node = b.node)
+SELECT graph_id, tbl AS "table", col AS "column", op, nullif(win, '') AS "window" FROM near WHERE n = 1""")
+def provenance_operations(spark, d):
+    """What computes each column of a written table nearest to it, and over which window."""
+    return L.operations(edges(spark, d))
+
+
 @query(_STEPS + """SELECT graph_id, tbl AS "table", array_to_string(list_sort(list(DISTINCT column_name)), ',') AS columns FROM prov GROUP BY ALL""")
 def columns_by_table(spark, d):
     """The columns of every written table that are known where they come from."""
