@@ -7,9 +7,11 @@ the SQL texts the files hold (on the driver, where the parser is), and merging.
 
 from __future__ import annotations
 
+import itertools
 import json
 import pickle
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,20 +145,21 @@ def script_texts(files: DataFrame) -> DataFrame:
     return scripts.withColumn("lineno", F.lit(1)).withColumn("target", F.lit(None).cast("string")).select(*_TEXT)
 
 
-def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000) -> DataFrame:
-    """The same rows for SQL texts, parsed on the driver: any number of texts, ``batch`` at a time."""
-    path, out = scratch_path(spark, "sql"), []
+def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000, threads: int = 16) -> DataFrame:
+    """The same rows for SQL texts, parsed on the driver: any number of texts, ``batch`` at a time, by several threads that wait for the JVM."""
+    path = scratch_path(spark, "sql")
     schema = spark.createDataFrame([], ROWS).schema
     write = lambda held: spark.createDataFrame(held, schema).write.mode("append").parquet(path)
     write([])
-    for n, t in enumerate(durable(texts, "texts").toLocalIterator(), 1):
+
+    def parsed(t) -> list[tuple[str, str, int, str]]:
         lineage = SqlLineage(spark, t["rel_path"], t["lineno"], t["sql"], t["target"], t["ordinal"])
-        out += [(t["rel_path"], kind, 1_000_000 + 1_000 * t["ordinal"] + i, json.dumps(held)) for i, (kind, held) in enumerate(lineage.rows)]
-        if n % batch == 0:
-            write(out)
-            out = []
-    if out:
-        write(out)
+        return [(t["rel_path"], kind, 1_000_000 + 1_000 * t["ordinal"] + i, json.dumps(held)) for i, (kind, held) in enumerate(lineage.rows)]
+
+    every = durable(texts, "texts").toLocalIterator()
+    with ThreadPoolExecutor(threads) as pool:
+        while part := list(itertools.islice(every, batch)):
+            write([row for rows in pool.map(parsed, part) for row in rows])
     return spark.read.schema(schema).parquet(path)
 
 
