@@ -10,11 +10,20 @@ from .planmode import _seq
 _PASS = ("Sort", "GlobalLimit", "LocalLimit", "Distinct", "Deduplicate", "Sample", "Repartition", "RepartitionByExpression", "Offset", "UnresolvedHint", "WithWindowDefinition", "UnresolvedOrderBy", "Tail")
 
 
+_MARK = "\u0001"
+
+
+def _texts(held) -> list[str]:
+    """A sequence of texts in one call to the JVM."""
+    whole = held.mkString(_MARK)
+    return whole.split(_MARK) if whole else []
+
+
 class _Tree:
     """An expression whose class and children are asked of the JVM once."""
 
     def __init__(self, held):
-        self.held, self.kind, self._children = held, held.getClass().getSimpleName(), None
+        self.held, self.kind, self._children = held, held.nodeName(), None
 
     @property
     def children(self) -> list[_Tree]:
@@ -72,9 +81,9 @@ class SqlLineage:
         name = plan.nodeName()
         if name in ("UnresolvedIdentifier", "UnresolvedTable"):
             held = plan.nameParts() if name == "UnresolvedIdentifier" else plan.multipartIdentifier()
-            return ".".join(_seq(held))
+            return ".".join(_texts(held))
         if name == "UnresolvedRelation":
-            return ".".join(_seq(plan.multipartIdentifier()))
+            return ".".join(_texts(plan.multipartIdentifier()))
         children = _seq(plan.children())
         return self.identifier(children[0]) if children else "<unresolved>"
 
@@ -87,7 +96,7 @@ class SqlLineage:
         """Column names in an expression, without qualifiers, each once."""
         tree = expression if isinstance(expression, _Tree) else _Tree(expression)
         if tree.kind == "UnresolvedAttribute":
-            return [_seq(tree.held.nameParts())[-1]]
+            return [_texts(tree.held.nameParts())[-1]]
         return list(dict.fromkeys(n for c in tree.children for n in self.names(c)))
 
     def find(self, expression, kind: str):
@@ -97,11 +106,13 @@ class SqlLineage:
         return next((f for c in tree.children if (f := self.find(c, kind)) is not None), None)
 
     def pairs(self, condition) -> list[tuple[str, str]]:
-        kind = condition.getClass().getSimpleName()
+        kind = condition.nodeName()
+        if kind not in ("And", "EqualTo", "EqualNullSafe"):
+            return []
         sides = _seq(condition.children())
         if kind == "And":
             return self.pairs(sides[0]) + self.pairs(sides[1])
-        if kind in ("EqualTo", "EqualNullSafe") and all(s.getClass().getSimpleName() == "UnresolvedAttribute" for s in sides):
+        if kind in ("EqualTo", "EqualNullSafe") and all(s.nodeName() == "UnresolvedAttribute" for s in sides):
             return [(self.names(sides[0])[0], self.names(sides[1])[0])]
         return []
 
@@ -115,7 +126,7 @@ class SqlLineage:
                 self.ctes[cte.lower()] = self.relation(held._2(), self.fresh(cte))
             return self.relation(children[0], target)
         if name == "UnresolvedRelation":
-            where = ".".join(_seq(plan.multipartIdentifier()))
+            where = ".".join(_texts(plan.multipartIdentifier()))
             if where.lower() in self.ctes:
                 node, columns = self.ctes[where.lower()]
                 if target:
@@ -161,7 +172,7 @@ class SqlLineage:
 
     def using(self, kind) -> list[tuple[str, str]]:
         if kind.getClass().getSimpleName() == "UsingJoin":
-            return [(c, c) for c in _seq(kind.usingColumns())]
+            return [(c, c) for c in _texts(kind.usingColumns())]
         return []
 
     def projection(self, plan, name: str, source: str, columns: list[str] | None, node: str) -> tuple[str, list[str] | None]:
@@ -169,7 +180,7 @@ class SqlLineage:
         keys = [n for e in (_seq(plan.groupingExpressions()) if name == "Aggregate" else []) for n in self.names(e)]
         outs, aggs, star = [], [], False
         for item in items:
-            kind = item.getClass().getSimpleName()
+            kind = item.nodeName()
             if kind == "UnresolvedStar":
                 star = True
                 continue
@@ -183,7 +194,7 @@ class SqlLineage:
             call = self.find(tree, "UnresolvedFunction")
             window = self.find(tree, "WindowExpression") or self.find(tree, "UnresolvedWindowExpression")
             if name == "Aggregate" and call is not None and window is None and not (plain and out in keys):
-                op = ".".join(_seq(call.nameParts())).lower()
+                op = ".".join(_texts(call.nameParts())).lower()
                 aggs += [{"op": op, "input": c, "output": out} for c in refs or ["*"]]
             elif not plain or (alias and refs and refs[0] != out):
                 text = inner.sql()
@@ -199,7 +210,7 @@ class SqlLineage:
         return node, outs
 
     def window(self, expression) -> dict | None:
-        if expression is None or expression.getClass().getSimpleName() != "WindowExpression":
+        if expression is None or expression.nodeName() != "WindowExpression":
             return None
         spec = expression.windowSpec()
         parts = [n for e in _seq(spec.partitionSpec()) for n in self.names(e)]

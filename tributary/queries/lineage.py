@@ -221,7 +221,7 @@ def _dag(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     parts = [li.select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst")), li.select(key("p", "l_partkey").alias("src"), key("o", "l_orderkey").alias("dst")), o.select(key("o", "o_orderkey").alias("src"), key("c", "o_custkey").alias("dst"))]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
+    return parts[0].union(parts[1]).union(parts[2])  # the closure counts repeated links once
 
 
 @query(_DAG + ", up AS (SELECT 's1' AS node, 0 AS depth UNION SELECT l.dst, up.depth + 1 FROM up JOIN l ON l.src = up.node) SELECT node, CAST(min(depth) AS INT) AS depth FROM up WHERE depth > 0 GROUP BY node")
