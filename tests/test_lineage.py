@@ -127,6 +127,42 @@ def test_sql_texts_in_batches(spark):
     assert rows(got.select("rel_path", F.get_json_object("payload", "$.fqn"))) == [(f"f{i}.sql", f"t{i}") for i in range(7)]
 
 
+def lineage_of_texts(spark, monkeypatch, *texts):
+    """(row_type, payload) by text; none of them may come to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    held = spark.createDataFrame([(f"f{i}.sql", 0, 3, None, t) for i, t in enumerate(texts)], "rel_path string, ordinal int, lineno int, target string, sql string")
+    with monkeypatch.context() as patch:
+        for way in ("toLocalIterator", "collect", "toPandas", "toArrow", "take"):
+            patch.setattr(DataFrame, way, lambda *_: pytest.fail("the driver asked for rows"))
+        got = sql_rows(spark, held)
+    out = [[] for _ in texts]
+    for r in got.orderBy("rel_path", "ordinal").collect():
+        out[int(r.rel_path[1:-4])].append((r.row_type, json.loads(r.payload)))
+    return out
+
+
+def test_sql_texts_are_parsed_in_the_executors(spark, monkeypatch):
+    ranked = "CREATE TABLE u AS WITH c AS (SELECT a, rank() OVER (PARTITION BY p ORDER BY q DESC) AS r FROM t) SELECT CASE WHEN r > 1 THEN a ELSE 0 END AS x FROM c JOIN d USING (a) WHERE r < 9"
+    merged = "MERGE INTO m.n AS t USING s ON t.id = s.key AND t.v > 1 WHEN MATCHED THEN UPDATE SET t.v = s.v"
+    first, second, third, fourth = lineage_of_texts(spark, monkeypatch, ranked, merged, "CREATE TABLE o (k INT, `l m` STRING)", "SELEC a")
+    edges = {e["kind"]: e for kind, e in first if kind == "edge" and e.get("output_col") != "r"}
+    assert next(e for kind, e in first if e.get("output_col") == "r")["window_spec"] == {"partition_cols": ["p"], "order_cols": ["q desc"], "frame": None}
+    assert edges["derives"]["source_cols"] == ["r", "a"] and edges["derives"]["rule_logic"] == [{"cond": "(r > 1)", "value": "a"}, {"cond": "otherwise", "value": "0"}]
+    assert edges["joins"]["join_keys"] == [{"l": "a", "r": "a"}] and edges["filters"]["referenced_cols"] == ["r"]
+    assert (edges["writes"]["target"], edges["writes"]["write_mode"]) == ("table:u", "overwrite")
+    assert [(e["target"], e["merge_keys"]) for kind, e in second if e.get("kind") == "writes"] == [("table:m.n", ["id"])]
+    assert [e["columns"] for kind, e in third if kind == "table" and e["declared"]] == [["k", "l m"]]
+    assert [(kind, e["category"]) for kind, e in fourth] == [("warning", "sql-parse-error")]
+
+
+def test_odd_sql_texts_are_rows(spark, monkeypatch):
+    deep = " UNION ALL ".join(f"SELECT a FROM t{i}" for i in range(3000))
+    function, union, long, plain = lineage_of_texts(spark, monkeypatch, "INSERT INTO u SELECT id FROM range(9)", deep, "SELECT " + " + ".join(["a"] * 3000) + " AS s FROM t", "SELECT a FROM t")
+    assert [e["target"] for kind, e in function if e.get("kind") == "writes"] == ["table:u"] and "warning" in {kind for kind, _ in function}
+    assert union and long and [e["kind"] for kind, e in plain if kind == "edge"] == ["reads", "projects"]
+
+
 def edges_of(text, path="p.py", **known):
     from tributary.extract.assemble import extract_text
 

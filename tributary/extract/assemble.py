@@ -2,24 +2,23 @@
 
 Three barriers replace the order in which files would have to run: constants and declared schemas first
 (small tables of a repository's configuration and DDL), then every file by itself in the workers, then
-the SQL texts the files hold (on the driver, where the parser is), and merging.
+the SQL texts the files hold (parsed by Spark's parser in the executors), and merging.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import pickle
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.closure import closure
+from ..plans.parser import digest
 from ..plans.sqltext import SqlLineage
-from ..session import durable, scratch_path
+from ..session import durable
 from ..sources.repository import run_order
 from .notebook import prepare, run_target
 from .pyfront import Extractor
@@ -145,22 +144,21 @@ def script_texts(files: DataFrame) -> DataFrame:
     return scripts.withColumn("lineno", F.lit(1)).withColumn("target", F.lit(None).cast("string")).select(*_TEXT)
 
 
-def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000, threads: int = 16) -> DataFrame:
-    """The same rows for SQL texts, parsed on the driver: any number of texts, ``batch`` at a time, by several threads that wait for the JVM."""
-    path = scratch_path(spark, "sql")
-    schema = spark.createDataFrame([], ROWS).schema
-    write = lambda held: spark.createDataFrame(held, schema).write.mode("append").parquet(path)
-    write([])
+def sql_rows(spark: SparkSession, texts: DataFrame, batch: int = 2_000) -> DataFrame:
+    """The same rows for SQL texts, parsed in the executors: any number of texts, at most some ``batch`` to a task."""
+    texts = durable(texts, "texts")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-texts.count() // batch))
 
-    def parsed(t) -> list[tuple[str, str, int, str]]:
-        lineage = SqlLineage(spark, t["rel_path"], t["lineno"], t["sql"], t["target"], t["ordinal"])
-        return [(t["rel_path"], kind, 1_000_000 + 1_000 * t["ordinal"] + i, json.dumps(held)) for i, (kind, held) in enumerate(lineage.rows)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            out: list[tuple[str, str, int, str]] = []
+            for path, ordinal, lineno, target, plan in zip(*(held.column(i).to_pylist() for i in range(5))):
+                out += [(path, kind, 1_000_000 + 1_000 * ordinal + i, json.dumps(row)) for i, (kind, row) in enumerate(SqlLineage(path, lineno, plan, target, ordinal).rows)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["rel_path", "row_type", "ordinal", "payload"])
 
-    every = durable(texts, "texts").toLocalIterator()
-    with ThreadPoolExecutor(threads) as pool:
-        while part := list(itertools.islice(every, batch)):
-            write([row for rows in pool.map(parsed, part) for row in rows])
-    return spark.read.schema(schema).parquet(path)
+    # written, as several readers follow and each would parse anew
+    return durable(texts.repartition(tasks).select("rel_path", "ordinal", "lineno", "target", digest(spark, "sql")).mapInArrow(run, ROWS), "sql")
 
 
 def lineage_of(spark: SparkSession, files: DataFrame, registry: Registry | None = None) -> dict[str, DataFrame]:
